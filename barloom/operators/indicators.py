@@ -110,11 +110,11 @@ FIBONACCI = {
 
 PIVOTS = {
     0: previous,
-    1: lambda s, c: {"pivot": (C("_ph") + C("_pl") + C("_pc")) / 3},
+    1: lambda s, c: {"pivot_point": (C("_ph") + C("_pl") + C("_pc")) / 3},
     3: lambda s, c: {
-        "pivot_r1": C("pivot") * 2 - C("_pl"), "pivot_s1": C("pivot") * 2 - C("_ph"),
-        "pivot_r2": C("pivot") + (C("_ph") - C("_pl")), "pivot_s2": C("pivot") - (C("_ph") - C("_pl")),
-        "near_support": flag(F.abs(C("close") - (C("pivot") * 2 - C("_ph"))) / C("close") < 0.015),
+        "pivot_r1": C("pivot_point") * 2 - C("_pl"), "pivot_s1": C("pivot_point") * 2 - C("_ph"),
+        "pivot_r2": C("pivot_point") + (C("_ph") - C("_pl")), "pivot_s2": C("pivot_point") - (C("_ph") - C("_pl")),
+        "near_support": flag(F.abs(C("close") - (C("pivot_point") * 2 - C("_ph"))) / C("close") < 0.015),
     },
 }
 

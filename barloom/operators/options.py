@@ -11,7 +11,14 @@ from barloom.functions.cols import clip, div, fill, ladder, norm_cdf, norm_pdf,
 
 C = F.col
 DAY = ["trade_date", "symbol"]
-CALL, PUT = C("option_type") == "CE", C("option_type") == "PE"
+
+
+def is_call() -> Column:
+    return C("option_type") == "CE"
+
+
+def is_put() -> Column:
+    return C("option_type") == "PE"
 
 
 def nearest_expiry(contracts: DataFrame) -> DataFrame:
@@ -23,9 +30,9 @@ def nearest_expiry(contracts: DataFrame) -> DataFrame:
 def by_strike(contracts: DataFrame, keys: list[str] = DAY) -> DataFrame:
     """Call and put open interest, and the call settle price, per strike."""
     return contracts.groupBy(*keys, "expiry_date", "strike").agg(
-        F.sum(F.when(CALL, C("open_int")).otherwise(0)).alias("call_oi"),
-        F.sum(F.when(PUT, C("open_int")).otherwise(0)).alias("put_oi"),
-        F.max(F.when(CALL, C("settle_price"))).alias("call_settle"))
+        F.sum(F.when(is_call(), C("open_int")).otherwise(0)).alias("call_oi"),
+        F.sum(F.when(is_put(), C("open_int")).otherwise(0)).alias("put_oi"),
+        F.max(F.when(is_call(), C("settle_price"))).alias("call_settle"))
 
 
 def pcr(strikes: DataFrame, keys: list[str] = DAY, digits: int = 4) -> DataFrame:
@@ -149,8 +156,8 @@ def price(df: DataFrame) -> DataFrame:
     d1, d2 = C("_d1"), C("_d2")
     call = s * norm_cdf(d1) - pv * norm_cdf(d2)
     put = pv * norm_cdf(-d2) - s * norm_cdf(-d1)
-    intrinsic = F.greatest(num(0), F.when(CALL, s - k).otherwise(k - s))
-    value = F.when(live, F.greatest(num(0), F.when(CALL, call).otherwise(put))).otherwise(intrinsic)
+    intrinsic = F.greatest(num(0), F.when(is_call(), s - k).otherwise(k - s))
+    value = F.when(live, F.greatest(num(0), F.when(is_call(), call).otherwise(put))).otherwise(intrinsic)
     return df.withColumn("bs_price", value).drop("_d1", "_d2")
 
 
@@ -162,11 +169,11 @@ def greeks(df: DataFrame) -> DataFrame:
     d1, d2 = C("_d1"), C("_d2")
     drift = -(s * norm_pdf(d1) * v) / (F.sqrt(t) * 2)
     values = {
-        "delta": (F.when(CALL, norm_cdf(d1)).otherwise(norm_cdf(d1) - 1), 4),
+        "delta": (F.when(is_call(), norm_cdf(d1)).otherwise(norm_cdf(d1) - 1), 4),
         "gamma": (norm_pdf(d1) / (s * v * F.sqrt(t)), 6),
-        "theta": (F.when(CALL, drift - r * pv * norm_cdf(d2)).otherwise(drift + r * pv * norm_cdf(-d2)) / 365, 2),
+        "theta": (F.when(is_call(), drift - r * pv * norm_cdf(d2)).otherwise(drift + r * pv * norm_cdf(-d2)) / 365, 2),
         "vega": (s * norm_pdf(d1) * F.sqrt(t) / 100, 2),
-        "rho": (F.when(CALL, pv * t * norm_cdf(d2)).otherwise(-pv * t * norm_cdf(-d2)) / 100, 4),
+        "rho": (F.when(is_call(), pv * t * norm_cdf(d2)).otherwise(-pv * t * norm_cdf(-d2)) / 100, 4),
     }
     return df.withColumns({n: F.when(live, F.round(e, d)).otherwise(num(0)) for n, (e, d) in values.items()}
                           ).drop("_d1", "_d2")
@@ -182,7 +189,7 @@ def implied_vol(df: DataFrame, steps: int = 60) -> DataFrame:
         d1 = (F.ln(s / k) + (r + v * v * 0.5) * t) / (v * F.sqrt(t))
         d2 = d1 - v * F.sqrt(t)
         call = s * norm_cdf(d1) - pv * norm_cdf(d2)
-        return F.greatest(num(0), F.when(CALL, call).otherwise(call - s + pv))
+        return F.greatest(num(0), F.when(is_call(), call).otherwise(call - s + pv))
 
     def halve(acc, _):
         mid = (acc["lo"] + acc["hi"]) / 2
@@ -193,7 +200,7 @@ def implied_vol(df: DataFrame, steps: int = 60) -> DataFrame:
     start = F.struct(num(1e-6).alias("lo"), num(10).alias("hi"))
     root = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, halve,
                        lambda acc: (acc["lo"] + acc["hi"]) / 2)
-    intrinsic = F.greatest(num(0), F.when(CALL, s - k).otherwise(k - s))
+    intrinsic = F.greatest(num(0), F.when(is_call(), s - k).otherwise(k - s))
     able = (m > 0) & (t > 0) & (m >= intrinsic) & (value(num(10)) >= m) & (value(num(1e-6)) <= m)
     return df.withColumn("iv", F.when(able, F.round(root, 4)).otherwise(num(0)))
 

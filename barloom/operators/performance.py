@@ -10,7 +10,11 @@ from pyspark.sql import functions as F
 from barloom.functions.cols import div, fill, num
 
 C = F.col
-WHOLE = Window.orderBy("ts")  # only ever over one row per date
+
+
+def dates():
+    """Ordered by date; only ever over one row per date."""
+    return Window.orderBy("ts")
 
 
 def equity_curve(flows: DataFrame, capital: float, marks: DataFrame | None = None) -> DataFrame:
@@ -24,18 +28,18 @@ def equity_curve(flows: DataFrame, capital: float, marks: DataFrame | None = Non
         daily = daily.join(marks.groupBy("ts").agg(F.sum("value").alias("value")), "ts", "full")
     else:
         daily = daily.withColumn("value", num(0))
-    run = F.sum(fill(C("cash"), 0)).over(WHOLE.rowsBetween(Window.unboundedPreceding, 0))
+    run = F.sum(fill(C("cash"), 0)).over(dates().rowsBetween(Window.unboundedPreceding, 0))
     return daily.select("ts", (run + capital + fill(C("value"), 0)).alias("equity"))
 
 
 def drawdowns(equity: DataFrame) -> DataFrame:
-    peak = F.max("equity").over(WHOLE.rowsBetween(Window.unboundedPreceding, 0))
+    peak = F.max("equity").over(dates().rowsBetween(Window.unboundedPreceding, 0))
     return equity.withColumn("peak", peak).withColumn("drawdown", (C("equity") - C("peak")) / C("peak") * 100)
 
 
 def summary(equity: DataFrame, capital: float) -> DataFrame:
     """Total return, CAGR, Sharpe, Sortino, Calmar and maximum drawdown, one row."""
-    df = drawdowns(equity).withColumn("_r", div(C("equity"), F.lag("equity").over(WHOLE)) - 1)
+    df = drawdowns(equity).withColumn("_r", div(C("equity"), F.lag("equity").over(dates())) - 1)
     out = df.agg(
         F.max_by("equity", "ts").alias("final"), F.min("ts").alias("_a"), F.max("ts").alias("_b"),
         F.avg("_r").alias("_m"), F.stddev_samp("_r").alias("_s"),

@@ -6,23 +6,26 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def asof_calendar(left: DataFrame, right: DataFrame, value: str, on: str = "ts",
-                  default=None) -> DataFrame:
-    """Latest `value` of a market-wide daily series at or before each left date.
+def market_table(*series: DataFrame, on: str = "ts") -> DataFrame:
+    """Daily series (ts, value...) side by side, one row per date that occurs in any of them."""
+    out = series[0]
+    for other in series[1:]:
+        out = out.join(other, on, "full")
+    return out
 
-    The fill runs over distinct dates only (bounded by the calendar); rows then take
-    their value by a plain equi join, broadcast by Spark when its size check allows.
+
+def asof_calendar(left: DataFrame, right: DataFrame, defaults: dict, on: str = "ts") -> DataFrame:
+    """Latest known values of market-wide daily series at or before each left date.
+
+    The fill runs over distinct dates only (bounded by the calendar), for all columns at once;
+    rows then take their values by one equi join, broadcast by Spark when its size check allows.
     """
-    dates = left.select(on).distinct().withColumn("_r", F.lit(0))
-    points = right.groupBy(on).agg(F.max(value).alias("_v")).withColumn("_r", F.lit(1))
+    names = [c for c in right.columns if c != on]
     whole = Window.orderBy(on).rowsBetween(Window.unboundedPreceding, 0)
-    calendar = (
-        dates.join(points.drop("_r"), on, "full")
-        .withColumn(value, F.last("_v", ignorenulls=True).over(whole))
-        .select(on, value)
-    )
-    out = left.drop(value).join(calendar, on, "left")
-    return out if default is None else out.withColumn(value, F.coalesce(value, F.lit(default)))
+    calendar = left.select(on).distinct().join(right, on, "full").select(
+        on, *[F.last(c, ignorenulls=True).over(whole).alias(c) for c in names])
+    out = left.drop(*names).join(calendar, on, "left")
+    return out.withColumns({c: F.coalesce(c, F.lit(d)) for c, d in defaults.items() if c in names and d is not None})
 
 
 def asof_join(left: DataFrame, right: DataFrame, by: list[str], value: str, on: str = "ts",

@@ -343,15 +343,12 @@ WINDOWED = [RETURNS, RANGES, VOLATILITY, CANDLES, GAPS, VOLUME, HULL, EDGE, PARK
 RECURRENT = [FORCE, VWMACD, OSCILLATORS, ATR_RATIOS, TREND_STATE]
 
 
-def with_market(bars: DataFrame, market: dict[str, DataFrame] | None = None) -> DataFrame:
-    """Attach market-wide daily series (name -> (ts, name)) as of each date; neutral when absent."""
-    market = market or {}
-    for name, default in MARKET_DEFAULTS.items():
-        if name in market:
-            bars = asof_calendar(bars, market[name], name, default=default)
-        else:
-            bars = bars.withColumn(name, F.lit(default).cast("double"))
-    return bars
+def with_market(bars: DataFrame, market: DataFrame | None = None) -> DataFrame:
+    """Attach market-wide daily series (ts and any of MARKET_DEFAULTS) as of each date; neutral when absent."""
+    if market is not None:
+        bars = asof_calendar(bars, market, MARKET_DEFAULTS)
+    absent = [n for n in MARKET_DEFAULTS if n not in bars.columns]
+    return bars.withColumns({n: F.lit(MARKET_DEFAULTS[n]).cast("double") for n in absent}) if absent else bars
 
 
 def only(bars: DataFrame, *families: dict, base: list | None = None) -> DataFrame:
@@ -361,7 +358,7 @@ def only(bars: DataFrame, *families: dict, base: list | None = None) -> DataFram
     return out.select("symbol", "ts", *[C(c).alias(c[2:]) for c in names])
 
 
-def features(bars: DataFrame, market: dict[str, DataFrame] | None = None,
+def features(bars: DataFrame, market: DataFrame | None = None,
              cfg: IndicatorConfig = CFG, keep: tuple = ("atr",)) -> DataFrame:
     """All 80 features after the epilogue (forward fill, 0, +-10), plus the bar and `keep` columns."""
     base = kalman(with_market(bars, market))

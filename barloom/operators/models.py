@@ -40,8 +40,8 @@ def forest(cfg: ModelConfig) -> RandomForestClassifier:
 
 def boosted(cfg: ModelConfig, valid: str | None = None) -> GBTClassifier:
     model = GBTClassifier(featuresCol="vector", labelCol="label", weightCol="weight", maxIter=cfg.rounds,
-                          maxDepth=cfg.boost_depth, seed=cfg.seed, probabilityCol="boost_p",
-                          rawPredictionCol="boost_raw", predictionCol="boost_label")
+                          maxDepth=cfg.boost_depth, seed=cfg.seed, predictionCol="boost_label")
+    model = model.setProbabilityCol("boost_p").setRawPredictionCol("boost_raw")
     return model.setValidationIndicatorCol(valid) if valid else model
 
 

@@ -119,7 +119,7 @@ def is_relevant(text, symbol):
 def mentions(articles: DataFrame, symbols: DataFrame, key: str = "doc_id") -> DataFrame:
     """(article, symbol) pairs where a name occurs anywhere in the text, also inside a word.
 
-    Every position of a text is cut to the first GRAM letters; names meet texts on those letters in
+    Every position of a text is cut to GRAM letters; names meet texts on those letters in
     an equi join and only such pairs are compared in full, so no pair is lost and none is formed
     without a reason. Names shorter than that are matched by their own length.
     """
@@ -128,12 +128,16 @@ def mentions(articles: DataFrame, symbols: DataFrame, key: str = "doc_id") -> Da
         F.lower("symbol"), F.when(F.length(short_name(C("symbol"))) > 3, short_name(C("symbol")))))).alias("name"))
     names = names.filter("name is not null and name <> ''").withColumn("size", F.least(F.length("name"), F.lit(GRAM)))
     names = names.withColumn("gram", C("name").substr(F.lit(1), C("size")))
-    grams = F.array_distinct(F.flatten(F.array(*[
-        F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(low) - (n - 1))),
-                    lambda i, n=n: low.substr(i, F.lit(n))) for n in range(1, GRAM + 1)])))
-    # one row per distinct gram of an article, kept only where some name starts so
-    cut = articles.select(key, "text", F.explode(grams).alias("gram"))
-    return (cut.join(names, "gram").filter(F.lower("text").contains(C("name")))
+
+    def cut_at(n):
+        places = F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(low) - (n - 1)))
+        return F.transform(places, lambda i: low.substr(i, F.lit(n)))
+
+    grams = F.array_distinct(F.flatten(F.array(*[cut_at(n) for n in range(1, GRAM + 1)])))
+    # only keys and grams are exploded; the text meets its candidates again afterwards
+    cut = articles.select(key, F.explode(grams).alias("gram"))
+    pairs = cut.join(names, "gram").select(key, "symbol", "name")
+    return (pairs.join(articles.select(key, "text"), key).filter(F.lower("text").contains(C("name")))
             .select(key, "symbol").distinct())
 
 

@@ -88,12 +88,16 @@ def daily_summary(contracts: DataFrame) -> DataFrame:
             .select(*DAY, "pcr", "atm_iv", "max_pain", "call_oi", "put_oi"))
 
 
-def iv_rank(summary: DataFrame, window: int = 252) -> DataFrame:
-    """Place of the volatility between its extremes of the current and `window` previous days."""
-    w = Window.partitionBy("symbol").orderBy("trade_date").rowsBetween(-window, 0)
+def iv_rank(summary: DataFrame, window: int = 252, keep_all: bool = False) -> DataFrame:
+    """Place of the volatility between its extremes of the current and `window` previous days with one.
+
+    Days without a volatility are dropped, or kept with a null rank.
+    """
+    known = C("atm_iv") > 0
+    df = summary if keep_all else summary.filter(known)
+    w = Window.partitionBy("symbol", known).orderBy("trade_date").rowsBetween(-window, 0)
     lo, hi = F.min("atm_iv").over(w), F.max("atm_iv").over(w)
-    return summary.filter("atm_iv > 0").withColumn(
-        "iv_rank", F.when(hi > lo, (C("atm_iv") - lo) * 100 / (hi - lo)).otherwise(num(50)))
+    return df.withColumn("iv_rank", F.when(known, F.when(hi > lo, (C("atm_iv") - lo) * 100 / (hi - lo)).otherwise(num(50))))
 
 
 def series(summary: DataFrame, symbol: str, value: str, name: str | None = None) -> DataFrame:

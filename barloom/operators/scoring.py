@@ -48,8 +48,8 @@ def tech_score(ind: DataFrame, cfg: IndicatorConfig = CFG) -> DataFrame:
         raw = raw + C(f"_sc_{name}") * weight
         top += weight
     out = ind.withColumns({**cols, "confirmations": bull, "bear_confirmations": bear})
-    out = out.withColumn("_score", clip((raw + top) / (2 * top) * 100, 0, 100))
-    score = C("_score")
+    out = out.withColumn("score", clip((raw + top) / (2 * top) * 100, 0, 100))
+    score = C("score")
     label = ladder([
         ((C("confirmations") >= cfg.min_confirmations) & (score >= 75), "STRONG BUY"),
         (score >= 60, "BUY"),
@@ -60,7 +60,7 @@ def tech_score(ind: DataFrame, cfg: IndicatorConfig = CFG) -> DataFrame:
         "tech_score": F.round(score, 1), "signal": label, "breakdown": parts,
         "stop_loss": F.round(F.coalesce("stop_loss", C("close") * 0.97), 2),
         "take_profit": F.round(F.coalesce("take_profit", C("close") * 1.05), 2)})
-    return out.drop("_score", *cols)
+    return out.drop(*cols)
 
 
 def model_signal(df: DataFrame, prob: str = "prob") -> DataFrame:

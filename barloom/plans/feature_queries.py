@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from barloom.functions.joins import market_table
 from barloom.operators import datasets, features as fe, indicators as ind, labels, options
 from barloom.plans.registry import near, query, tidy
 from barloom.plans import sql_base as q
@@ -15,13 +16,12 @@ WITH_KALMAN = q.with_(q.BARS, q.IND, q.NEUTRAL, q.FEATURE, q.KALMAN)
 MARKET_CTES = (q.BARS, q.VIX, q.CONTRACTS, q.OPTIONS, q.IND, q.MARKET, q.FEATURE)
 
 
-def market(spark, sf_dir) -> dict:
+def market(spark, sf_dir):
     """Volatility level, and put-call ratio, IV rank and max pain of the first index symbol."""
-    summary = options.daily_summary(tables.contracts(spark, sf_dir))
-    lead = tables.INDEX_SYMBOLS[0]
-    return {"vix": tables.vix(spark, sf_dir), "pcr": options.series(summary, lead, "pcr"),
-            "max_pain": options.series(summary, lead, "max_pain"),
-            "iv_rank_level": options.series(options.iv_rank(summary), lead, "iv_rank", "iv_rank_level")}
+    summary = options.daily_summary(tables.contracts(spark, sf_dir)).filter(F.col("symbol") == tables.INDEX_SYMBOLS[0])
+    ranked = options.iv_rank(summary, keep_all=True).select(
+        F.col("trade_date").alias("ts"), "pcr", "max_pain", F.col("iv_rank").alias("iv_rank_level"))
+    return market_table(tables.vix(spark, sf_dir), ranked)
 
 
 # name -> (feature columns, families, base families)

@@ -68,7 +68,7 @@ def score(model: PipelineModel, df: DataFrame) -> DataFrame:
 def out_of_fold(df: DataFrame, columns: list[str], k: int = 4, purge: int = 10,
                 cfg: ModelConfig = ModelConfig()) -> DataFrame:
     """Test-side predictions of every fold, each from a model fitted on that fold's training side."""
-    rows = assign(df, k, purge)
+    rows = assign(df, k, purge).persist()  # read by every stage of every fold
     parts = [score(fit(rows.filter((C("fold") == f) & (C("side") == "train")), columns, cfg),
                    rows.filter((C("fold") == f) & (C("side") == "test"))) for f in range(k)]
     out = parts[0]

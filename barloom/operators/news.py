@@ -119,26 +119,32 @@ def is_relevant(text, symbol):
 def mentions(articles: DataFrame, symbols: DataFrame, key: str = "doc_id") -> DataFrame:
     """(article, symbol) pairs where a name occurs anywhere in the text, also inside a word.
 
-    Every position of a text is cut to GRAM letters; names meet texts on those letters in
-    an equi join and only such pairs are compared in full, so no pair is lost and none is formed
-    without a reason. Names shorter than that are matched by their own length.
+    Texts become their distinct words; the vocabulary (each word once) meets the names on the
+    first letters of the name at every place in the word, in an equi join, and is compared in
+    full there. Matching words then lead back to the articles that use them, so no pair is
+    lost and none is formed without a reason. Names of several words are anchored on the
+    first one and checked against the whole text.
     """
-    low = F.lower(C("text"))
-    names = symbols.select("symbol", F.explode(F.array_distinct(F.array(
-        F.lower("symbol"), F.when(F.length(short_name(C("symbol"))) > 3, short_name(C("symbol")))))).alias("name"))
-    names = names.filter("name is not null and name <> ''").withColumn("size", F.least(F.length("name"), F.lit(GRAM)))
-    names = names.withColumn("gram", C("name").substr(F.lit(1), C("size")))
+    forms = F.array_distinct(F.array(F.lower("symbol"), F.when(
+        F.length(short_name(C("symbol"))) > 3, short_name(C("symbol")))))
+    names = symbols.select("symbol", F.explode(forms).alias("name")).filter("name is not null and name <> ''")
+    names = names.withColumn("anchor", F.get(F.split("name", "\\s+"), F.lit(0)))
+    names = names.withColumn("gram", F.substring("anchor", 1, GRAM))
+    used = articles.select(key, F.explode(F.array_distinct(F.split(F.lower("text"), "\\s+"))).alias("word"))
 
     def cut_at(n):
-        places = F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(low) - (n - 1)))
-        return F.transform(places, lambda i: low.substr(i, F.lit(n)))
+        places = F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("word") - (n - 1)))
+        return F.transform(places, lambda i: C("word").substr(i, F.lit(n)))
 
     grams = F.array_distinct(F.flatten(F.array(*[cut_at(n) for n in range(1, GRAM + 1)])))
-    # only keys and grams are exploded; the text meets its candidates again afterwards
-    cut = articles.select(key, F.explode(grams).alias("gram"))
-    pairs = cut.join(names, "gram").select(key, "symbol", "name")
-    return (pairs.join(articles.select(key, "text"), key).filter(F.lower("text").contains(C("name")))
-            .select(key, "symbol").distinct())
+    vocabulary = used.select("word").distinct().select("word", F.explode(grams).alias("gram"))
+    found = (vocabulary.join(names, "gram").filter(C("word").contains(C("anchor")))
+             .select("word", "symbol", "name", "anchor").distinct())
+    pairs = used.join(found, "word")
+    whole = pairs.filter(C("name") == C("anchor")).select(key, "symbol")
+    phrases = pairs.filter(C("name") != C("anchor")).select(key, "symbol", "name").distinct()
+    phrases = phrases.join(articles.select(key, "text"), key).filter(F.lower("text").contains(C("name")))
+    return whole.unionByName(phrases.select(key, "symbol")).distinct()
 
 
 GRAM = 4

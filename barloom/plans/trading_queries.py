@@ -346,10 +346,10 @@ def monthly_returns(spark, sf_dir):
     return tidy(performance.monthly_returns(equity(spark, sf_dir)))
 
 
-@query("trade_log", TRADE_SQL + f"SELECT fill_id, symbol, ts AS entry_ts, {rnd(['round(entry_price, 2) AS entry_price', 'round(exit_price, 2) AS exit_price', 'round(net_pnl, 2) AS net_pnl'], 2)} FROM closed")
+@query("trade_log", TRADE_SQL + f"SELECT fill_id, symbol, ts AS entry_ts, {rnd(['round(CAST(entry_price AS DECIMAL(18, 6)), 2) AS entry_price', 'round(CAST(charges AS DECIMAL(18, 6)), 2) AS charges', 'round(CAST(net_pnl AS DECIMAL(18, 6)), 2) AS net_pnl'], 2)} FROM closed")
 def trade_log(spark, sf_dir):
     return tidy(performance.trade_log(priced_trades(spark, sf_dir)),
-                ["fill_id", "symbol", "entry_ts", "entry_price", "exit_price", "net_pnl"], 2)
+                ["fill_id", "symbol", "entry_ts", "entry_price", "charges", "net_pnl"], 2)
 
 
 @query("buy_and_hold", q.with_(q.BARS) + f"""SELECT symbol, {rnd(['g * 100000 AS final_capital'], 2)}, {rnd(['(g - 1) * 100 AS total_return_pct', '(pow(g, 1 / y) - 1) * 100 AS cagr_pct', 'sharpe', 'max_drawdown_pct'])} FROM

@@ -1,6 +1,6 @@
 """Byte-level BPE by a rank queue over a hierarchical bitmap, and decoding.
 
-Every merge rank has a bucket of positions of the token list. A bitmap of three levels marks
+Every merge rank has a bucket of positions of the token list. A bitmap of two levels marks
 the buckets that hold something; find-first-set on it gives the lowest rank, and the bucket
 its leftmost position. Entries whose pair has changed meanwhile are stale and skipped. A
 merge costs a constant number of steps, so a pre-token of a million bytes takes no longer
@@ -11,54 +11,14 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import heapq
+from heapq import heappop, heappush
 
 from pyspark.sql import DataFrame
 
 from barloom.llm.common import per_row, texts
 
-WORD = 64  # bits of a bitmap word
-CACHE = 200_000  # distinct pre-tokens a task remembers; then it forgets all and goes on
-
-
-class RankQueue:
-    """Positions by rank, lowest rank and leftmost position first."""
-
-    def __init__(self, ranks: int):
-        sizes = [ranks]
-        while sizes[-1] > 1:
-            sizes.append(-(-sizes[-1] // WORD))
-        self.levels = [[0] * size for size in sizes[1:]]
-        self.buckets: dict[int, list[int]] = {}
-
-    def push(self, rank: int, position: int) -> None:
-        bucket = self.buckets.get(rank)
-        if bucket is not None:
-            heapq.heappush(bucket, position)
-            return
-        self.buckets[rank] = [position]
-        for level in self.levels:
-            rank, bit = divmod(rank, WORD)
-            level[rank] |= 1 << bit
-
-    def pop(self) -> tuple[int, int] | None:
-        if not self.levels[-1][0]:
-            return None
-        rank = 0
-        for level in reversed(self.levels):
-            word = level[rank]
-            rank = rank * WORD + (word & -word).bit_length() - 1
-        bucket = self.buckets[rank]
-        position = heapq.heappop(bucket)
-        if not bucket:
-            del self.buckets[rank]
-            at = rank
-            for level in self.levels:
-                at, bit = divmod(at, WORD)
-                level[at] &= ~(1 << bit)
-                if level[at]:
-                    break
-        return rank, position
+WORD = 64  # bits of a word of the lower level
+CACHE = 150_000  # distinct short pre-tokens a task remembers, and as many older ones
 
 
 class ByteBpe:
@@ -67,7 +27,6 @@ class ByteBpe:
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
         self.values = {rank: token for token, rank in ranks.items()}
-        self.queue = RankQueue(max(ranks.values()) + 1)
 
     @classmethod
     def load(cls, path: str) -> ByteBpe:
@@ -76,36 +35,59 @@ class ByteBpe:
 
     def encode(self, piece: bytes) -> list[int]:
         """Ids of one pre-token."""
-        ranks, queue, n = self.ranks, self.queue, len(piece)
-        if piece in ranks:
-            return [ranks[piece]]
-        after, before, paired = list(range(1, n + 1)), list(range(-1, n)), [-1] * n
-
-        def pair(i: int, end: int) -> None:
-            """The pair that starts at i and ends before `end`."""
-            rank = ranks.get(piece[i:end], -1)
-            paired[i] = rank
-            if rank >= 0:
-                queue.push(rank, i)
-
+        rank_of, n = self.ranks.get, len(piece)
+        if (whole := rank_of(piece)) is not None:
+            return [whole]
+        after, before, paired = list(range(1, n + 1)), list(range(-1, n)), [None] * n
+        buckets: dict[int, list[int]] = {}  # heaps of positions
+        words: dict[int, int] = {}  # lower level of the bitmap: ranks that have a bucket
+        top = 0  # upper level: words that are not zero
         for i in range(n - 1):
-            pair(i, i + 2)
-        while (best := queue.pop()) is not None:
-            rank, i = best
-            if paired[i] != rank:
+            rank = paired[i] = rank_of(piece[i:i + 2])
+            if rank is not None:
+                if rank in buckets:
+                    buckets[rank].append(i)
+                else:
+                    buckets[rank] = [i]
+                    word = rank // WORD
+                    words[word] = words.get(word, 0) | 1 << rank % WORD
+                    top |= 1 << word
+        while top:
+            word = (top & -top).bit_length() - 1
+            bits = words[word]
+            rank = word * WORD + (bits & -bits).bit_length() - 1
+            bucket = buckets[rank]
+            i = heappop(bucket)
+            if not bucket:
+                del buckets[rank]
+                words[word] = bits = bits & bits - 1
+                if not bits:
+                    top &= top - 1
+            if paired[i] != rank:  # stale: one of the two has been merged since
                 continue
             gone = after[i]
             end = after[gone]
             after[i] = end
-            paired[gone] = paired[i] = -1
+            paired[gone] = paired[i] = None
+            changed = []
             if end < n:
                 before[end] = i
-                pair(i, after[end])
+                changed.append((i, after[end]))
             if i:
-                pair(before[i], end)
+                changed.append((before[i], end))
+            for left, past in changed:
+                rank = paired[left] = rank_of(piece[left:past])
+                if rank is not None:
+                    if rank in buckets:
+                        heappush(buckets[rank], left)
+                    else:
+                        buckets[rank] = [left]
+                        word = rank // WORD
+                        words[word] = words.get(word, 0) | 1 << rank % WORD
+                        top |= 1 << word
         ids, i = [], 0
         while i < n:
-            ids.append(ranks[piece[i:after[i]]])
+            ids.append(self.ranks[piece[i:after[i]]])
             i = after[i]
         return ids
 
@@ -118,21 +100,27 @@ class TextCodec:
 
     def __init__(self, bpe: ByteBpe, pattern: str):
         import regex
-        self.bpe, self.split, self.known = bpe, regex.compile(pattern).findall, {}
-
-    def pieces(self, text: str):
+        self.bpe, self.split = bpe, regex.compile(pattern).findall
+        self.young: dict[str, tuple[int, str, bytes]] = {}
+        self.old: dict[str, tuple[int, str, bytes]] = {}
+
+    def learn(self, piece: str) -> tuple[int, str, bytes]:
+        found = self.old.get(piece)
+        if found is None:
+            ids = self.bpe.encode(piece.encode())
+            found = len(ids), ",".join(map(str, ids)), self.bpe.decode(ids)
+        if len(piece) <= WORD:
+            if len(self.young) >= CACHE:
+                self.old, self.young = self.young, {}
+            self.young[piece] = found
+        return found
+
+    def pieces(self, text: str) -> list[tuple[int, str, bytes]]:
         """(number of ids, ids as decimal text, decoded bytes) of each pre-token."""
-        known = self.known
+        out = []
         for piece in self.split(text):
-            found = known.get(piece)
-            if found is None:
-                ids = self.bpe.encode(piece.encode())
-                found = len(ids), ",".join(map(str, ids)), self.bpe.decode(ids)
-                if len(known) >= CACHE:
-                    known.clear()
-                if len(piece) <= WORD:
-                    known[piece] = found
-            yield found
+            out.append(self.young.get(piece) or self.learn(piece))
+        return out
 
     def encode(self, text: str) -> list[int]:
         return [i for piece in self.split(text) for i in self.bpe.encode(piece.encode())]
@@ -151,7 +139,7 @@ def round_trip(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
             out = []
             for row in rows:
                 ids, decoded, n, first = hashlib.sha256(), hashlib.sha256(), 0, True
-                parts = list(codec.pieces(row["text"]))
+                parts = codec.pieces(row["text"])
                 for at in range(0, len(parts), 4096):
                     some = parts[at:at + 4096]
                     n += sum(p[0] for p in some)

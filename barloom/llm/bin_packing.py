@@ -11,70 +11,80 @@ same length; ranks come from counts per salted bucket, so no task sees a whole l
 from __future__ import annotations
 
 import os
+import re
 import zlib
-from collections.abc import Callable
+from array import array
+from functools import cache
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from barloom.llm.common import cut, per_row, spread, texts
 
-CACHE = 300_000  # distinct words a task remembers; then it forgets all and goes on
+CACHE = 400_000  # distinct words a worker remembers; then it forgets all and goes on
 BUCKET = 100_000  # pieces of one length in a bucket
 TAIL = b".,!?*#$%&|;:"  # marks that the pattern always splits from the letters before them
 
 
-class WordIds:
+LETTERS = re.compile("[a-zß-öø-ÿ]+")  # lower case, composed, one pre-token whatever the language
+
+
+class WordIds(dict):
     """Ids of white-space separated words, packed as little-endian unsigned 32 bits.
 
     The tokenizer drops white space and never merges across it, so the ids of a text are those
-    of its words one after another, and repeated words are encoded once.
+    of its words one after another, and repeated words are encoded once. Plain words go to the
+    tokenizer's model as they are, other ones through all of its steps.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
         self.tok = Tokenizer.from_file(path)
         self.tok.no_truncation()
         self.tok.no_padding()
-        self.known: dict[bytes, bytes] = {}
-
-    def words(self, text: str) -> list[bytes]:
+        self.model, self.level = self.tok.model, ByteLevel(add_prefix_space=False, use_regex=False)
+
+    def plain(self, word: str) -> bytes:
+        spelled = word if word.isascii() else self.level.pre_tokenize_str(word)[0][0]
+        return array("I", [t.id for t in self.model.tokenize(spelled)]).tobytes()
+
+    def __missing__(self, word: bytes) -> bytes:
+        if len(self) >= CACHE:
+            self.clear()
+        core = word.rstrip(TAIL)
+        text, tail = core.decode(), word[len(core):]
+        if LETTERS.fullmatch(text):
+            found = self.plain(text) + (self[tail] if tail else b"")
+        else:
+            found = array("I", self.tok.encode(word.decode(), add_special_tokens=False).ids).tobytes()
+        if len(word) <= 64:
+            self[word] = found
+        return found
+
+    def ids(self, text: str) -> bytes:
         raw = text.encode()
-        return (raw if b"<|" in raw else raw.lower()).split()  # special strings are matched as they are written
-
-    def encode(self, words: list[bytes]) -> None:
-        import numpy as np
-        found = self.tok.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)
-        for w, e in zip(words, found, strict=True):
-            self.known[w] = np.array(e.ids, "<u4").tobytes()
-
-    def learn(self, words: set[bytes]) -> None:
-        """Make all of `words` known."""
-        if len(self.known) > CACHE:
-            self.known.clear()
-        known, split = self.known, {}
-        for w in words:
-            if w not in known:
-                core = w.rstrip(TAIL)
-                split[w] = (core, w[len(core):]) if core.isalpha() and core.islower() else (w, b"")
-        self.encode(list({part for pair in split.values() for part in pair if part and part not in known}))
-        for w, (core, tail) in split.items():
-            known[w] = known[core] + (known[tail] if tail else b"")
+        words = (raw if b"<|" in raw else raw.lower()).split()  # special strings are matched as they are written
+        return b"".join(map(self.__getitem__, words))
+
+
+@cache
+def word_ids(path: str) -> WordIds:
+    """One per Python worker, which serves many tasks."""
+    return WordIds(path)
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int = 0) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32: the ids of each document and its end, cut at `capacity`."""
     def make():
-        ids = WordIds(tokenizer_path)
+        ids = word_ids(tokenizer_path)
         end = end_id.to_bytes(4, "little")
 
         def work(rows):
-            split = [ids.words(r["text"]) for r in rows]
-            ids.learn(set().union(*split))
             out = []
-            for row, words in zip(rows, split, strict=True):
-                packed = b"".join(map(ids.known.__getitem__, words)) + end
+            for row in rows:
+                packed = ids.ids(row["text"]) + end
                 for piece, at in enumerate(range(0, len(packed), 4 * capacity)):
                     part = packed[at:at + 4 * capacity]
                     out.append({"doc_id": row["doc_id"], "piece": piece, "start": at // 4, "length": len(part) // 4, "ids_crc32": zlib.crc32(part)})

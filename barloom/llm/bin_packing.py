@@ -44,10 +44,11 @@ class WordIds(dict):
         self.tok = Tokenizer.from_file(path)
         self.tok.no_truncation()
         self.tok.no_padding()
-        self.model, self.level = self.tok.model, ByteLevel(add_prefix_space=False, use_regex=False)
+        self.model, level = self.tok.model, ByteLevel(add_prefix_space=False, use_regex=False)
+        self.spelling = {c: level.pre_tokenize_str(chr(c))[0][0] for c in range(0xDF, 0x100)}  # bytes beyond ASCII as the model spells them
 
     def plain(self, word: str) -> bytes:
-        spelled = word if word.isascii() else self.level.pre_tokenize_str(word)[0][0]
+        spelled = word if word.isascii() else word.translate(self.spelling)
         return array("I", [t.id for t in self.model.tokenize(spelled)]).tobytes()
 
     def __missing__(self, word: bytes) -> bytes:

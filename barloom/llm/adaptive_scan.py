@@ -3,7 +3,8 @@
 Vectors go to the list of their nearest centroid. A query probes the lists whose centroids
 have the largest inner product with it. Within a list vectors lie rotated in blocks of
 columns: after each block a hypothesis test on the partial distance, scaled to all
-dimensions, abandons the candidates that will not reach the query's k-th best so far.
+dimensions, abandons the candidates that will not reach the query's k-th best so far. The
+nearest few lists are scanned first; their k-th best score bounds the scan of the others.
 Scores of what survives are taken on the original vectors.
 
 Centroids and the share of lists to probe are fitted on a bounded sample of vectors (FIT
@@ -29,6 +30,8 @@ PER_LIST = 1024  # vectors a list should hold
 COLUMNS = 16  # dimensions of a block
 TRUST = 2.1  # how many standard errors the test allows
 BLOCK_ROWS = 4096  # vectors, and queries, that one group compares
+FIRST = 4  # lists whose best scores bound the search of the others
+SLACK = 1e-9  # of bounds, for sums in another order
 
 
 def usable(vector: Column) -> Column:
@@ -70,13 +73,18 @@ class Lists:
     def order(self, queries: np.ndarray) -> np.ndarray:
         return np.argsort(-(queries @ self.centroids.T), axis=1, kind="stable")
 
-    def probed(self, queries: np.ndarray, sizes: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """(query, list): `probes` lists each, more where they hold no more than k vectors."""
+    def probed(self, queries: np.ndarray, sizes: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query, list, turn): `probes` lists each, more where they hold no more than k vectors.
+
+        The first lists, FIRST of them or what it takes to hold more than k, are scanned in turn 1.
+        """
         order = self.order(queries)
         held = np.cumsum(sizes[order], axis=1)
-        needed = np.maximum(self.probes, np.minimum((held <= k).sum(1) + 1, order.shape[1]))
-        keep = np.arange(order.shape[1])[None, :] < needed[:, None]
-        return np.nonzero(keep)[0], order[keep]
+        enough = np.minimum((held <= k).sum(1) + 1, order.shape[1])
+        place = np.broadcast_to(np.arange(order.shape[1]), order.shape)
+        keep = place < np.maximum(self.probes, enough)[:, None]
+        turn = np.where(place < np.maximum(FIRST, enough)[:, None], 1, 2)
+        return np.nonzero(keep)[0], order[keep], turn[keep]
 
 
 def rotation(d: int) -> np.ndarray:
@@ -92,42 +100,53 @@ class ColumnBlocks:
         y = x @ self.turn
         self.edges = [*range(0, d, COLUMNS), d]
         self.blocks = [np.ascontiguousarray(y[:, a:b]) for a, b in zip(self.edges, self.edges[1:], strict=False)]
-        self.squares = [(b**2).sum(1) for b in self.blocks]
-        self.norm = sum(self.squares)
-
-    def search(self, query: np.ndarray, k: int, skip: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Indices and scores of the candidates that survive, at least the k best of them; `skip` masks rows out."""
-        q = query @ self.turn
-        alive, dots, parts = np.flatnonzero(~skip), 0.0, 0.0
-        total = float(q @ q)
+        self.seen = list(np.cumsum([(b**2).sum(1) for b in self.blocks], axis=0))  # squared length in the first blocks
+
+    def search(self, queries: np.ndarray, own: np.ndarray, least: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query, row, score) of the candidates that survive for a few queries at a time, with all that reach `least`.
+
+        `own` masks out a query's own row; `least` is a lower bound of its k-th best score.
+        """
+        turned = queries @ self.turn
+        lengths = (turned**2).sum(1)
+        dots = turned[:, :self.edges[1]] @ self.blocks[0].T
+        if len(self.x) > 2 * k:  # k exact scores of likely ones: the k-th best is no worse than their least
+            likely = np.argpartition(np.where(own, np.inf, -dots), k - 1, axis=1)[:, :k]
+            scores = np.where(np.take_along_axis(own, likely, 1), -np.inf, np.einsum("qkd,qd->qk", self.x[likely], queries))
+            least = np.maximum(least, scores.min(1) - SLACK)
+        q, row = np.nonzero(~own)
+        dots, parts = dots[q, row], np.zeros(len(q))
         for i, block in enumerate(self.blocks):
             a, b = self.edges[i], self.edges[i + 1]
-            step = block[alive] @ q[a:b]
-            dots = dots + step
-            parts = parts + self.squares[i][alive] + float(q[a:b] @ q[a:b]) - 2 * step
-            if b == self.d or len(alive) <= 2 * k:
-                continue
-            likely = alive[np.argpartition(-dots, k)[:k]]  # k exact scores: the k-th best of all is no worse than their least
-            least = float((self.x[likely] @ query).min())
-            bound = np.sqrt(np.maximum(self.norm[alive] + total - 2 * least, 0)) * (1 + TRUST / np.sqrt(b))
-            stays = np.sqrt(np.maximum(parts, 0) * self.d / b) <= bound
-            stays |= np.isin(alive, likely)
-            alive, dots, parts = alive[stays], dots[stays], parts[stays]
-        return alive, (self.x[alive] * query).sum(1)
+            if i:
+                dots = dots + np.einsum("nd,nd->n", block[row], turned[q, a:b])
+            seen = (turned[:, :b]**2).sum(1)
+            parts = self.seen[i][row] + seen[q] - 2 * dots
+            if b < self.d:
+                far = np.maximum(self.seen[-1][row] + lengths[q] - 2 * least[q], 0)
+                stays = np.maximum(parts, 0) * (self.d / b) <= far * (1 + TRUST / np.sqrt(b)) ** 2
+                q, row, dots = q[stays], row[stays], dots[stays]
+        stays = dots >= least[q]
+        q, row = q[stays], row[stays]
+        return q, row, (self.x[row] * queries[q]).sum(1)
 
 
 def scan(queries: pd.DataFrame, vectors: pd.DataFrame, k: int) -> pd.DataFrame:
-    """The k best vectors of one group for each of its queries."""
-    found: list[tuple[np.ndarray, ...]] = []
+    """The best vectors of one group for each of its queries: at most k each, none below the query's bound."""
+    found: list[pd.DataFrame] = []
     if len(queries) and len(vectors):
-        vectors = vectors.sort_values("vec_id", kind="stable")
         ids, blocks = vectors["vec_id"].to_numpy(), ColumnBlocks(matrix(vectors["v"]))
-        for query_id, query in zip(queries["query_id"], queries["v"], strict=True):
-            rows, scores = blocks.search(np.asarray(query, np.float64), k, ids == query_id)
-            best = np.lexsort((ids[rows], -scores))[:k]
-            found.append((np.full(len(best), query_id), ids[rows][best], scores[best]))
-    columns = [np.concatenate(c) for c in zip(*found, strict=True)] if found else [[], [], []]
-    return pd.DataFrame(dict(zip(("query_id", "vec_id", "score"), columns, strict=True))).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
+        for at in range(0, len(queries), 32):
+            some = queries.iloc[at:at + 32]
+            asked = some["query_id"].to_numpy()
+            q, row, score = blocks.search(matrix(some["v"]), asked[:, None] == ids[None, :], some["least"].to_numpy(), k)
+            best = np.lexsort((ids[row], -score, q))
+            q, row, score = q[best], row[best], score[best]
+            keep = np.arange(len(q)) - np.searchsorted(q, q) < k
+            found.append(pd.DataFrame({"query_id": asked[q[keep]], "vec_id": ids[row[keep]], "score": score[keep]}))
+    if not found:
+        found = [pd.DataFrame({"query_id": [], "vec_id": [], "score": []})]
+    return pd.concat(found).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, target: float = 0.97) -> DataFrame:
@@ -167,13 +186,14 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, target: float =
         for b in batches:
             for at in range(0, len(b), 256):
                 some = b.iloc[at:at + 256]
-                who, where = lists.probed(matrix(some["v"]), held, k)
-                yield some.iloc[who].assign(list=where)
+                who, where, turn = lists.probed(matrix(some["v"]), held, k)
+                yield some.iloc[who].assign(list=where, turn=turn)
 
-    probed = asked.mapInPandas(probe, "query_id long, v array<float>, list long")
-    wanted = np.zeros(n, np.int64)
-    for r in asked.mapInPandas(lambda batches: (p[["list"]] for p in probe(batches)), "list long").groupBy("list").count().collect():
-        wanted[r["list"]] = r["count"]
+    probed = asked.mapInPandas(probe, "query_id long, v array<float>, list long, turn int")
+    wanted = np.zeros((3, n), np.int64)
+    counts = asked.mapInPandas(lambda batches: (p[["list", "turn"]] for p in probe(batches)), "list long, turn int").groupBy("list", "turn").count()
+    for r in counts.collect():  # at most twice LISTS rows
+        wanted[r["turn"], r["list"]] = r["count"]
 
     def grid(df: DataFrame, key: str, own: str, other: str, mine: np.ndarray, others: np.ndarray) -> DataFrame:
         """A row's own block of its list, and a copy for each block of the other side."""
@@ -182,9 +202,19 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, target: float =
         return (df.withColumn(own, F.pmod(F.xxhash64(key), parts(mine)))
                 .withColumn(other, F.explode(F.sequence(F.lit(0), parts(others) - 1).cast("array<bigint>"))))
 
-    left = grid(probed, "query_id", "qb", "vb", wanted, held).groupBy("list", "qb", "vb")
-    right = grid(placed, "vec_id", "vb", "qb", held, wanted).groupBy("list", "qb", "vb")
-    near = (left.cogroup(right).applyInPandas(lambda q, v: scan(q, v, k), "query_id long, vec_id long, score double")
-            .groupBy("query_id", "vec_id").agg(F.max("score").alias("score")))
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return near.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    def scanned(bounded: DataFrame, turn: int) -> DataFrame:
+        left = grid(bounded, "query_id", "qb", "vb", wanted[turn], held).groupBy("list", "qb", "vb")
+        right = grid(placed, "vec_id", "vb", "qb", held, wanted[turn]).groupBy("list", "qb", "vb")
+        return left.cogroup(right).applyInPandas(lambda q, v: scan(q, v, k), "query_id long, vec_id long, score double")
+
+    def best(near: DataFrame) -> DataFrame:
+        near = near.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+        order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+        return near.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+
+    none = F.lit(float("-inf"))
+    first = cut(best(scanned(probed.filter("turn = 1").withColumn("least", none), 1)))
+    bound = first.groupBy("query_id").agg(F.when(F.count(F.lit(1)) == k, F.min("score") - SLACK).otherwise(none).alias("least"))
+    rest = probed.filter("turn = 2").join(bound, "query_id", "left").withColumn("least", F.coalesce("least", none))
+    both = scanned(rest, 2).unionByName(first.drop("rank"))
+    return best(both).select("query_id", "rank", "vec_id", "score")

@@ -12,12 +12,23 @@ value at the start of the part from `carried`. `merge_series` drops the copies.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from barloom.config import IndicatorConfig
 from barloom.functions.cols import Series
+from barloom.functions.recur import FAINT
+
+FRAMES = 512  # longest look-back of chained frames
+
 
-HALO = 1024  # longest look-back (252 rows of chained frames) plus decay of every recurrence
+def halo_rows(cfg: IndicatorConfig) -> int:
+    """Rows to copy so that frames are whole and two chained recurrences of the longest period forget what is missing."""
+    slowest = max(*(1 - 2 / (n + 1) for n in (cfg.ema_fast, cfg.ema_slow, cfg.macd_fast, cfg.macd_slow, cfg.macd_signal, 20)),
+                  *(1 - 1 / n for n in (cfg.rsi_period, cfg.atr_period, cfg.adx_period, cfg.st_atr_period)))
+    return max(FRAMES, cfg.sma_long + cfg.fib_rows) + (2 * math.ceil(FAINT / -math.log2(slowest)) if slowest > 0 else 0)
 
 
 def numbered(df: DataFrame, bucket: str = "day", by: str = "symbol") -> DataFrame:
@@ -38,9 +49,13 @@ def numbered(df: DataFrame, bucket: str = "day", by: str = "symbol") -> DataFram
             .withColumn("_row", F.col("_start") + inside).drop("_bucket", "_start"))
 
 
-def split_series(df: DataFrame, rows: int = 65536, halo: int = HALO, ahead: int = 64,
-                 bucket: str = "day") -> DataFrame:
-    """Cut long series into parts of `rows` rows with copied edges; `_side` 0 marks the real rows."""
+def split_series(df: DataFrame, rows: int = 65536, halo: int | None = None, ahead: int = 64,
+                 bucket: str = "day", cfg: IndicatorConfig = IndicatorConfig()) -> DataFrame:
+    """Cut long series into parts of `rows` rows with copied edges; `_side` 0 marks the real rows.
+
+    The edge before a part follows from the periods of `cfg` unless `halo` gives it.
+    """
+    halo = halo_rows(cfg) if halo is None else halo
     if halo > rows or ahead > rows:
         raise ValueError("a part must be at least as long as its copied edges")
     r = F.col("_row")

@@ -1,22 +1,29 @@
-"""First-order recurrences y[t] = q*y[t-1] + u[t] as plain window sums.
-
-Within a block of BLOCK rows the recurrence is a running sum of u[i] * q**-p(i) scaled
-by q**p(t); the value at the end of the previous block is carried in with one running
-`last`. What lies further back is weighed by q**BLOCK, below double precision for every
-decay used here, so nothing is cut that could be seen in the result. All work stays in
-JVM window functions, is linear in the rows, and runs in one ordering.
+"""First-order recurrences y[t] = q*y[t-1] + u[t] as plain window sums, exact for every decay.
+
+Within a block of rows the recurrence is a running sum of u[i] * q**-p(i) scaled by q**p(t);
+the value at the end of the previous block is carried in with one running `last`. The length
+of a block follows from the decay: long enough that what lies two blocks back is weighed
+below double precision, short enough that q**-p stays in range. Decays of short periods
+share blocks of BLOCK rows, so a panel needs one ordering for all of them; a longer period
+gets longer blocks. q = 0 is the input itself. All work stays in JVM window functions and
+is linear in the rows.
+
+Inputs of a step are not null from its first row on. `exponential_mean` takes inputs with
+nulls: they repeat the last value and age it.
 """
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from barloom.functions.cols import Series, col, num
+from barloom.functions.cols import Series, by_series, col, num
 
 BLOCK = 512
+FAINT, RANGE = 54, 900  # powers of two: weight of what is left out, and how far q**-p may grow
 
 
 @dataclass(frozen=True)
@@ -28,6 +35,16 @@ class Step:
     first: int
 
 
+def block_rows(q: float) -> int:
+    """Rows of a block: BLOCK where q**BLOCK is faint and in range, else what makes it so."""
+    fall = -math.log2(q) if q > 0 else math.inf
+    if fall <= 0:
+        raise ValueError("a recurrence must decay")
+    if FAINT <= BLOCK * fall <= RANGE:
+        return BLOCK
+    return max(1, int(RANGE / 2 / fall))
+
+
 def indexed(df: DataFrame) -> DataFrame:
     """Add row number `_n`, block `_blk` and place in the block `_p`."""
     if "_blk" in df.columns:
@@ -64,17 +81,71 @@ def wilder(c, seed, n: int, start: int = 1) -> Step:
 def scan(df: DataFrame, steps: dict[str, Step]) -> DataFrame:
     """Add one column per recurrence. Needs `indexed`."""
     s = Series(df)
-    block = Window.partitionBy(*s.by, "_blk").orderBy(*[o for o in s.order if o != "_blk"])
-    block = block.rowsBetween(Window.unboundedPreceding, 0)
-    p, n = F.col("_p"), F.col("_n")
-    local, carry, out = {}, {}, {}
+    n = F.col("_n")
+    groups: dict[int, dict[str, Step]] = {}
+    for name, st in steps.items():
+        if st.q > 0:
+            groups.setdefault(block_rows(st.q), {})[name] = st
+    local, carry, out, extra = {}, {}, {}, {}
+    for size, some in groups.items():
+        if size == BLOCK:
+            key, p = "_blk", F.col("_p")
+        else:
+            key, p = f"_blk{size}", (n - 1) % size
+            extra[key] = F.floor((n - 1) / size)
+        block = Window.partitionBy(*s.by, key).orderBy(*[o for o in s.order if o != key])
+        block = block.rowsBetween(Window.unboundedPreceding, 0)
+        for name, st in some.items():
+            q = num(st.q)
+            local[f"_l_{name}"] = F.sum(st.feed * F.pow(q, -p)).over(block) * F.pow(q, p)
+            carry[f"_c_{name}"] = F.last(
+                F.when(p == size - 1, F.col(f"_l_{name}")), ignorenulls=True).over(s.before)
+            out[name] = F.when(
+                n >= st.first,
+                F.col(f"_l_{name}") + F.coalesce(F.col(f"_c_{name}"), num(0)) * F.pow(q, p + 1))
     for name, st in steps.items():
-        q = num(st.q)
-        local[f"_l_{name}"] = F.sum(st.feed * F.pow(q, -p)).over(block) * F.pow(q, p)
-        carry[f"_c_{name}"] = F.last(
-            F.when(p == BLOCK - 1, F.col(f"_l_{name}")), ignorenulls=True).over(s.before)
-        out[name] = F.when(
-            n >= st.first,
-            F.col(f"_l_{name}") + F.coalesce(F.col(f"_c_{name}"), num(0)) * F.pow(q, p + 1))
-    df = df.withColumns(local).withColumns(carry).withColumns(out)
-    return df.drop(*local, *carry)
+        if st.q <= 0:
+            out[name] = F.when(n >= st.first, st.feed)
+    if extra:
+        df = df.withColumns(extra)
+    if local:
+        df = df.withColumns(local).withColumns(carry)
+    return df.withColumns(out).drop(*local, *carry, *extra)
+
+
+def exponential_mean(df: DataFrame, c: str, name: str, span: float, by: tuple = ("symbol",), order: str = "ts") -> DataFrame:
+    """Exponential mean of a column that may hold nulls, per series in time order.
+
+    A null repeats the mean before it. The value after a gap weighs against a mean aged by
+    the gap: y = (d*y + a*x) / (d + a) with d = (1-a)**(nulls between + 1). Before the first
+    value the mean is null. Only values form blocks, so a long gap cannot push the mean out
+    of what is carried.
+    """
+    a = 2 / (span + 1)
+    q = 1 - a
+    if q <= 0:
+        out = by_series(df, *by)
+        return out.withColumn(name, F.last(c, ignorenulls=True).over(Series(out, by, order).past))
+    made = by_series(df, *by)
+    s = Series(made, by, order)
+    made = made.withColumns({"_n": F.row_number().over(s.w), "_k": F.count(c).over(s.past)})
+    made = made.withColumn("_gap", F.col("_n") - F.last(F.when(F.col(c).isNotNull(), F.col("_n")), ignorenulls=True).over(s.before))
+    aged = F.pow(num(q), F.col("_gap"))
+    first = F.col("_gap").isNull()
+    made = made.withColumns({
+        "_u": F.when(F.col(c).isNull(), num(0)).when(first, F.col(c)).otherwise(F.col(c) * a / (aged + a)),
+        "_w": F.when(F.col(c).isNull() | first, num(0)).otherwise(F.ln(F.greatest(aged / (aged + a), num(1e-300))))})
+    # Blocks by the weight lost so far, which keeps exp(-sum) in range; within one it falls by 2**-(RANGE/2).
+    made = made.withColumn("_age", F.sum("_w").over(s.past))
+    made = made.withColumn("_b", F.floor(F.col("_age") / (-RANGE / 2 * math.log(2))))
+    block = Window.partitionBy(*s.by, "_b").orderBy(*s.order)
+    inside = block.rowsBetween(Window.unboundedPreceding, 0)
+    made = made.withColumn("_base", F.first("_age").over(inside))
+    scale = F.col("_age") - F.col("_base")
+    made = made.withColumn("_local", F.sum(F.col("_u") * F.exp(-scale)).over(inside) * F.exp(scale))
+    ends = F.lead("_b").over(s.w) != F.col("_b")
+    made = made.withColumn("_end", F.when(ends, F.struct("_local", "_age")))
+    carried = F.last("_end", ignorenulls=True).over(s.before)
+    made = made.withColumn("_from", carried)
+    value = F.col("_local") + F.coalesce(F.col("_from._local") * F.exp(F.col("_age") - F.col("_from._age")), num(0))
+    return made.withColumn(name, F.when(F.col("_k") > 0, value)).select(*df.columns, name)

@@ -17,7 +17,7 @@ from barloom.functions.cols import Series, clip, div, edge_weights, fill, fir, f
 from barloom.functions.joins import asof_calendar
 from barloom.functions.longseries import forward_fill
 from barloom.functions.recur import span_ema
-from barloom.functions.stages import run
+from barloom.functions.stages import Carry, run
 from barloom.operators import indicators as ind
 
 CFG = IndicatorConfig()
@@ -216,8 +216,9 @@ def _weighted_price(s: Series, n: int) -> Column:
 
 VWMACD = {
     0: lambda s, c: {"_w12": _weighted_price(s, 12), "_w26": _weighted_price(s, 26)},
-    2: lambda s, c: {"_w12f": F.coalesce(F.last("_w12", True).over(s.past), C("close")),
-                     "_w26f": F.coalesce(F.last("_w26", True).over(s.past), C("close"))},
+    1: lambda s, c: {"_w12p": Carry(("last", C("_w12"))), "_w26p": Carry(("last", C("_w26")))},
+    2: lambda s, c: {"_w12f": F.coalesce(F.last("_w12", True).over(s.past), "_w12p", "close"),
+                     "_w26f": F.coalesce(F.last("_w26", True).over(s.past), "_w26p", "close")},
     3: lambda s, c: {"_wl": C("_w12f") - C("_w26f")},
     4: lambda s, c: {"_ws": span_ema("_wl", 9, least=1)},
     8: lambda s, c: {"f_vwmacd_hist": clip(fill(div(C("_wl") - C("_ws"), "close"), 0), -0.05, 0.05)},

@@ -33,7 +33,7 @@ def prepared(articles: DataFrame, max_chars: int | None = None) -> DataFrame:
 
 def tokens(df: DataFrame, key: str, text: str = "text") -> DataFrame:
     """One row per word of each text: runs of letters, lower case."""
-    words = F.split(F.lower(C(text)), "[^a-z]+")
+    words = F.split(F.lower(C(text)), r"[^\p{L}]+")
     return df.select(key, F.explode(words).alias("word")).filter("word <> ''")
 
 
@@ -41,13 +41,13 @@ def polarity(articles: DataFrame, lexicon: DataFrame, key: str = "doc_id") -> Da
     """Mean polarity of the lexicon words of a text and its size as confidence.
 
     Words meet the lexicon in an equi join (broadcast when Spark's size check allows) and are
-    summed per text before anything is exchanged; texts without any such word score 0, 0.5.
+    summed per text before anything is exchanged; texts without any such word score 0 without confidence.
     """
     hits = (tokens(articles, key).join(lexicon, "word").groupBy(key)
             .agg(F.avg("polarity").alias("sentiment"), F.count(F.lit(1)).alias("hits")))
     out = articles.join(hits, key, "left")
     return out.withColumns({
-        "confidence": F.when(C("hits").isNull(), num(0.5)).otherwise(F.abs("sentiment")),
+        "confidence": F.abs(fill(C("sentiment"), 0)),
         "sentiment": fill(C("sentiment"), 0), "hits": F.coalesce("hits", F.lit(0))})
 
 
@@ -59,7 +59,7 @@ def scored_by(articles: DataFrame, scorer) -> DataFrame:
 
 def recent(articles: DataFrame, as_of: str, hours: float) -> DataFrame:
     now = F.to_timestamp(F.lit(as_of))
-    return articles.filter(C("published") > now - F.make_dt_interval(hours=F.lit(int(hours)))).withColumn(
+    return articles.filter(C("published") > now - F.make_dt_interval(secs=F.lit(float(hours) * 3600).cast("decimal(18,6)"))).withColumn(
         "age_hours", (now.cast("double") - C("published").cast("timestamp").cast("double")) / 3600)
 
 

@@ -31,11 +31,12 @@ def running_before(fills: DataFrame, sums: dict[str, str], width: int = 65536) -
     return rows.withColumns({n: C(f"_p_{n}") + C(f"_i_{n}") for n in sums}).select(*fills.columns, *sums)
 
 
-def daily_state(fills: DataFrame, cfg: RiskConfig = CFG) -> DataFrame:
+def daily_state(fills: DataFrame, cfg: RiskConfig = CFG, sane_multiple: float | None = None) -> DataFrame:
     """Per date: counters of the day, and equity and peak carried across days.
 
-    Equity and its peak run over one row per date. A start-of-day equity outside (0, 10x]
-    of the capital falls back to the capital, a peak below equity or above 10x to the larger of the two.
+    Equity and its peak run over one row per date. With `sane_multiple` stored figures are
+    checked: a start-of-day equity outside (0, multiple] of the capital falls back to the
+    capital, a peak below equity or above the multiple to the larger of the two.
     """
     cap = cfg.total_capital
     days = fills.groupBy("ts").agg(
@@ -47,8 +48,11 @@ def daily_state(fills: DataFrame, cfg: RiskConfig = CFG) -> DataFrame:
     days = days.withColumn("_start", F.coalesce(F.lag("current_capital").over(w), num(cap)))
     days = days.withColumn("peak_capital", F.greatest(num(cap), F.max("current_capital").over(past)))
     days = days.withColumn("_speak", F.coalesce(F.lag("peak_capital").over(w), num(cap)))
-    sane = F.when((C("_start") <= 0) | (C("_start") > cap * 10), num(cap)).otherwise(C("_start"))
-    peak = F.when((C("_speak") < sane) | (C("_speak") > cap * 10), F.greatest(sane, num(cap))).otherwise(C("_speak"))
+    if sane_multiple is None:
+        return days.withColumns({"start_capital": C("_start"), "start_peak": C("_speak")}).drop("_start", "_speak")
+    most = cap * sane_multiple
+    sane = F.when((C("_start") <= 0) | (C("_start") > most), num(cap)).otherwise(C("_start"))
+    peak = F.when((C("_speak") < sane) | (C("_speak") > most), F.greatest(sane, num(cap))).otherwise(C("_speak"))
     return days.withColumns({"start_capital": sane, "start_peak": peak}).drop("_start", "_speak")
 
 

@@ -96,11 +96,9 @@ def regime(df: DataFrame, vix: str = "vix", adx: str = "adx") -> DataFrame:
         for i, col in enumerate(names)})
 
 
-def daily_regime(ind: DataFrame, vix: DataFrame, symbols: int = 20) -> DataFrame:
-    """One market regime per date from the volatility level and the mean ADX of the first symbols."""
-    first = ind.select("symbol").distinct().orderBy("symbol").limit(symbols)
-    mean = (ind.join(first, "symbol", "left_semi").groupBy("ts").agg(F.avg("adx").alias("_adx")))
-    days = ind.select("ts").distinct().join(mean, "ts", "left").join(vix, "ts", "left")
+def daily_regime(ind: DataFrame, vix: DataFrame) -> DataFrame:
+    """One market regime per date from the volatility level and the mean ADX of all symbols."""
+    days = ind.groupBy("ts").agg(F.avg("adx").alias("_adx")).join(vix, "ts", "left")
     v, a = fill(C("vix"), 15), fill(C("_adx"), 20)
     return days.select("ts", v.alias("vix"), a.alias("mean_adx"), ladder([
         (v > 25, "high_vol_crisis"), ((a > 25) & (v < 20), "trending"), (a < 20, "mean_reverting")],

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barloom.config import COST_PLANS, CostPlan, TradeConfig
@@ -38,12 +38,15 @@ def outcomes(signals: DataFrame, cfg: TradeConfig = CFG) -> DataFrame:
 
     `signals` is a whole panel with `is_signal`, atr, tech_score, stop_loss and take_profit; bars
     of one symbol are daily, so an exit by time lies within max_days + 1 rows and the frame
-    that is folded is bounded. Order within a bar: stop, trailing stop, target, score, time.
+    that is folded is bounded; two bars of one day raise an error. Order within a bar: stop,
+    trailing stop, target, score, time.
     """
     s = Series(signals)
     rows = cfg.max_days + 1
     bar = F.struct("ts", "open", "high", "low", "close", C("atr"), C("tech_score").alias("score"))
-    df = signals.withColumns({
+    twice = F.to_date(s.lag("ts")) == F.to_date("ts")
+    checked = F.when(twice, F.raise_error(F.lit("trade outcomes need one bar per symbol and day")).cast("boolean")).otherwise(C("is_signal"))
+    df = signals.withColumn("is_signal", checked).withColumns({
         "_bars": F.collect_list(bar).over(s.rows(1, rows)),
         "_last": F.last(F.struct("ts", "close")).over(s.rows(0, rows))})
     df = df.filter(C("is_signal") & (F.size("_bars") > 0))
@@ -152,16 +155,30 @@ def not_held(candidates: DataFrame, held: DataFrame) -> DataFrame:
 def mark(positions: DataFrame, quotes: DataFrame, atr_share: float = 0.015) -> DataFrame:
     """Value open positions at the last quote and name the exit their levels call for.
 
-    The running extreme since entry is an aggregate over quotes, not state.
-    Positions: symbol, direction, quantity, entry_price, entry_ts, stop_loss, take_profit.
+    The running extreme since entry is an aggregate over quotes, not state. Quotes are
+    aggregated per symbol and day before they meet positions: extremes of the days after the
+    entry come from a suffix over days, those of the entry's own day from its quotes.
+    Positions: symbol, direction, quantity, entry_price, entry_ts, stop_loss, take_profit, and
+    any column that tells two of one symbol apart.
     """
     keys = positions.columns
-    seen = positions.join(quotes.select("symbol", C("ts").alias("_t"), C("price").alias("_p"),
-                                        C("event_id").alias("_e")), "symbol", "left")
-    seen = seen.groupBy(*keys).agg(
-        F.max_by("_p", F.struct("_t", "_e")).alias("price"),
-        F.max(F.when(C("_t") >= C("entry_ts"), C("_p"))).alias("highest"),
-        F.min(F.when(C("_t") >= C("entry_ts"), C("_p"))).alias("lowest"))
+    days = quotes.groupBy("symbol", F.to_date("ts").alias("_day")).agg(
+        F.max(F.struct("ts", "event_id", "price")).alias("_q"), F.max("price").alias("_h"), F.min("price").alias("_l"))
+    later = Window.partitionBy("symbol").orderBy(F.desc("_day")).rowsBetween(Window.unboundedPreceding, 0)
+    suffix = days.withColumns({"_h": F.max("_h").over(later), "_l": F.min("_l").over(later)})
+    # From each day of quotes to the one before it: what an entry after that day and up to this one has ahead of it.
+    before = F.lead("_day").over(Window.partitionBy("symbol").orderBy(F.desc("_day")))
+    suffix = suffix.select("symbol", "_day", before.alias("_past"), "_h", "_l")
+    held = positions.withColumn("_entry", F.to_date("entry_ts"))
+    ahead = held.join(suffix, "symbol", "left").filter(
+        C("_day").isNull() | ((C("_day") > C("_entry")) & (C("_past").isNull() | (C("_past") <= C("_entry"))))).select(*keys, "_h", "_l")
+    own = held.join(quotes.select("symbol", F.to_date("ts").alias("_entry"), C("ts").alias("_t"), C("price").alias("_h"), C("price").alias("_l")),
+                    ["symbol", "_entry"]).filter("_t >= entry_ts").select(*keys, "_h", "_l")
+    none = F.lit(None).cast("double")
+    seen = ahead.unionByName(own).unionByName(positions.withColumns({"_h": none, "_l": none}))
+    seen = seen.groupBy(*keys).agg(F.max("_h").alias("highest"), F.min("_l").alias("lowest"))
+    last = days.groupBy("symbol").agg(F.max("_q").alias("_q")).select("symbol", C("_q.price").alias("price"))
+    seen = seen.join(last, "symbol", "left").select(*keys, "price", "highest", "lowest")
     long, p = C("direction") == "LONG", C("price")
     sign = F.when(long, num(1)).otherwise(num(-1))
     high, low = F.greatest("highest", "entry_price"), F.least("lowest", "entry_price")

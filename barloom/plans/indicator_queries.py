@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from barloom.operators import indicators as ind
 from barloom.plans.registry import query, tidy
-from barloom.plans.sql_base import FIB_LEVEL, FIB_SCORE, indicator_sql
+from barloom.plans.sql_base import BARS, FIB_LEVEL, FIB_SCORE, W, ema, indicator_sql, recursion, rnd, with_
 from barloom.sources import tables
 
 # name -> (operator, double columns, flag columns)
@@ -52,3 +52,37 @@ ALL_FLAGS = [f for _, _, f in TABLE.values() for f in f]
 def all_indicators(spark, sf_dir):
     return tidy(ind.indicators(tables.bars(spark, sf_dir)),
                 ["symbol", "ts", *dict.fromkeys(ALL_DOUBLES), *ALL_FLAGS])
+
+
+LONG_SPAN = 200
+
+
+@query("ema_long", with_(BARS, f"e0 AS (SELECT symbol, ts, close, row_number() OVER ({W}) AS rn FROM bars)",
+                         recursion("er", "e0", {"e": ("close", ema(f"CAST(2 AS DOUBLE) / {LONG_SPAN + 1}"))}))
+       + f"SELECT e0.symbol, e0.ts, {rnd(['e AS ema'], 6)} FROM e0 JOIN er ON e0.symbol = er.symbol AND e0.rn = er.rn")
+def ema_long(spark, sf_dir):
+    """A long exponential mean, as users set it: its memory reaches back thousands of rows."""
+    from barloom.functions.recur import indexed, scan, span_ema
+    from barloom.functions.cols import by_series
+    out = scan(indexed(by_series(tables.bars(spark, sf_dir))), {"ema": span_ema("close", LONG_SPAN, least=1)})
+    return tidy(out, ["symbol", "ts", "ema"], 6)
+
+
+# A null repeats the mean and ages it: the state is the mean and the weight it has left.
+GAPS = """g0 AS (SELECT symbol, ts, CASE WHEN ts = min(ts) OVER (PARTITION BY symbol, date_trunc('week', ts)) THEN close END AS x,
+ row_number() OVER (PARTITION BY symbol ORDER BY ts) AS rn FROM bars),
+g1 AS (SELECT symbol, rn, CAST(x AS DOUBLE) AS e, CAST(1 AS DOUBLE) AS w FROM g0 WHERE rn = 1 UNION ALL
+ SELECT s.symbol, s.rn, CASE WHEN s.x IS NULL THEN r.e WHEN r.e IS NULL THEN s.x ELSE (r.w * a.q * r.e + (1 - a.q) * s.x) / (r.w * a.q + 1 - a.q) END,
+ CASE WHEN s.x IS NULL THEN r.w * a.q ELSE 1 END FROM g1 r JOIN g0 s ON s.symbol = r.symbol AND s.rn = r.rn + 1 CROSS JOIN (SELECT 1 - CAST(2 AS DOUBLE) / 22 AS q) a)"""
+
+
+@query("ema_gaps", with_(BARS, GAPS) + f"SELECT g0.symbol, g0.ts, {rnd(['e AS ema'], 6)} FROM g0 JOIN g1 ON g0.symbol = g1.symbol AND g0.rn = g1.rn")
+def ema_gaps(spark, sf_dir):
+    """Exponential mean of weekly readings on the daily calendar: most rows are null."""
+    from pyspark.sql import Window
+
+    from barloom.functions.recur import exponential_mean
+    b = tables.bars(spark, sf_dir)
+    first = F.min("ts").over(Window.partitionBy("symbol", F.date_trunc("week", "ts")))
+    weekly = b.withColumn("x", F.when(F.col("ts") == first, F.col("close")))
+    return tidy(exponential_mean(weekly, "x", "ema", 21), ["symbol", "ts", "ema"], 6)

@@ -212,7 +212,7 @@ def strike_recommendation(spark, sf_dir):
 
 
 @query("clean_contracts", q.with_(q.CONTRACTS) + """SELECT trade_date, symbol, expiry_date, strike, option_type, CAST(open_int AS BIGINT) AS open_int,
- CAST(settle_price AS DOUBLE) AS settle_price, CAST(volume AS BIGINT) AS volume FROM contracts WHERE symbol <> 'Brand#3'""")
+ CAST(settle_price AS DOUBLE) AS settle_price, CAST(volume AS BIGINT) AS volume FROM contracts WHERE symbol IN ('Brand#1', 'Brand#2')""")
 def clean_contracts(spark, sf_dir):
     """The contract table written out as raw text (padded, with thousands commas, every row twice) and read back."""
     c = contracts(spark, sf_dir)
@@ -230,10 +230,10 @@ def clean_contracts(spark, sf_dir):
 
 
 @query("missing_days", q.with_(q.BARS) + """SELECT d AS trade_date FROM (SELECT CAST(unnest(generate_series(m + 1, DATE '2002-12-31', INTERVAL 1 DAY)) AS DATE) AS d
- FROM (SELECT max(ts) AS m FROM bars WHERE year(ts) < 2001)) WHERE isodow(d) < 6""")
+ FROM (SELECT max(ts) AS m FROM bars)) WHERE isodow(d) < 6""")
 def missing_days(spark, sf_dir):
-    """Weekdays to ingest after a table that ends with the year 2000."""
-    stored = tables.bars(spark, sf_dir).filter(F.year("ts") < 2001).select(C("ts").alias("trade_date"))
+    """Weekdays to ingest after the last stored day."""
+    stored = tables.bars(spark, sf_dir).select(C("ts").alias("trade_date"))
     return readers.missing_days(stored, "1995-01-01", "2002-12-31")
 
 
@@ -274,10 +274,11 @@ def normalised_bars(spark, sf_dir):
 
 
 @query("dual_track_close", q.with_(q.BARS) + f"""SELECT symbol, ts, {rnd(['coalesce(last_value(raw IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY ts ROWS UNBOUNDED PRECEDING), close) AS close_raw'])}
- FROM (SELECT *, CASE WHEN volume > 20 THEN close * 2 END AS raw FROM bars)""")
+ FROM (SELECT *, CASE WHEN ts = min(ts) OVER (PARTITION BY symbol, date_trunc('month', ts)) THEN close * 2 END AS raw FROM bars)""")
 def dual_track_close(spark, sf_dir):
     b = tables.bars(spark, sf_dir)
-    raw = b.filter("volume > 20").withColumn("close", C("close") * 2)
+    first = b.groupBy("symbol", F.trunc("ts", "month")).agg(F.min("ts").alias("ts"), F.min_by("close", "ts").alias("close"))
+    raw = first.select("symbol", "ts", (C("close") * 2).alias("close"))  # a raw close on the first bar of each month
     return tidy(readers.dual_track(b, raw), ["symbol", "ts", "close_raw"])
 
 
@@ -327,28 +328,36 @@ def safe_ratio(spark, sf_dir):
 # --- joins along time -------------------------------------------------------------------
 
 
-@query("asof_vix", q.with_(q.BARS, q.VIX) + f"""SELECT symbol, ts, {rnd(['coalesce(lv, 15) AS vix'])} FROM bars JOIN (SELECT ts, last_value(v.vix IGNORE NULLS) OVER
- (ORDER BY ts ROWS UNBOUNDED PRECEDING) AS lv FROM (SELECT ts FROM bars UNION SELECT ts FROM vix) LEFT JOIN (SELECT * FROM vix WHERE vix > 16) v USING (ts)) USING (ts)""")
+MONTHLY = "monthly AS (SELECT CAST(date_trunc('month', ts) AS DATE) + 14 AS ts, avg(vix) AS vix FROM vix GROUP BY 1)"
+
+
+def monthly_vix(spark, sf_dir):
+    """Mean level of each month, dated at its middle."""
+    return (tables.vix(spark, sf_dir).groupBy(F.date_add(F.trunc("ts", "month"), 14).alias("ts")).agg(F.avg("vix").alias("vix")))
+
+
+@query("asof_vix", q.with_(q.BARS, q.VIX, MONTHLY) + f"""SELECT symbol, ts, {rnd(['coalesce(lv, 15) AS vix'])} FROM bars JOIN (SELECT ts, last_value(v.vix IGNORE NULLS) OVER
+ (ORDER BY ts ROWS UNBOUNDED PRECEDING) AS lv FROM (SELECT ts FROM bars UNION SELECT ts FROM monthly) LEFT JOIN monthly v USING (ts)) USING (ts)""")
 def asof_vix(spark, sf_dir):
-    """Latest level above 16 at each bar date."""
-    level = tables.vix(spark, sf_dir).filter("vix > 16")
-    out = joins.asof_calendar(tables.bars(spark, sf_dir).select("symbol", "ts"), level, {"vix": 15.0})
+    """Latest monthly level at each bar date; 15 before the first."""
+    out = joins.asof_calendar(tables.bars(spark, sf_dir).select("symbol", "ts"), monthly_vix(spark, sf_dir), {"vix": 15.0})
     return tidy(out)
 
 
-@query("lookup_vix", q.with_(q.BARS, q.VIX) + f"SELECT symbol, ts, {rnd(['coalesce(v.vix, 15) AS vix'])} FROM bars LEFT JOIN (SELECT * FROM vix WHERE vix > 16) v USING (ts)")
+@query("lookup_vix", q.with_(q.BARS, q.VIX, MONTHLY) + f"SELECT symbol, ts, {rnd(['coalesce(v.vix, 15) AS vix'])} FROM bars LEFT JOIN monthly v USING (ts)")
 def lookup_vix(spark, sf_dir):
-    out = tables.bars(spark, sf_dir).select("symbol", "ts").join(tables.vix(spark, sf_dir).filter("vix > 16"), "ts", "left")
+    out = tables.bars(spark, sf_dir).select("symbol", "ts").join(monthly_vix(spark, sf_dir), "ts", "left")
     return tidy(out.withColumn("vix", F.coalesce("vix", F.lit(15.0))))
 
 
 @query("asof_fill_quote", q.with_(q.TICKS) + f"""SELECT event_id, symbol, {rnd(['coalesce(p, -1) AS price'])} FROM (SELECT *, last_value(big IGNORE NULLS) OVER
- (PARTITION BY symbol ORDER BY ts ROWS UNBOUNDED PRECEDING) AS p FROM (SELECT *, CASE WHEN price > 80 THEN price END AS big FROM ticks))""")
+ (PARTITION BY symbol ORDER BY ts ROWS UNBOUNDED PRECEDING) AS p FROM (SELECT *, CASE WHEN row_number() OVER (PARTITION BY symbol, date_trunc('hour', ts) ORDER BY ts DESC, event_id DESC) = 1 THEN price END AS big FROM ticks))""")
 def asof_fill_quote(spark, sf_dir):
-    """Last large quote of the same symbol at or before each tick; hot symbols are spread over days."""
+    """Last closing quote of an hour of the same symbol at or before each tick; hot symbols are spread over days."""
     t = tables.ticks(spark, sf_dir)
     left = t.select("event_id", "symbol", "ts")
-    out = joins.asof_join(left, t.filter("price > 80").select("symbol", "ts", "price"), ["symbol"], "price", bucket="day", default=-1.0)
+    closes = t.groupBy("symbol", F.date_trunc("hour", "ts")).agg(F.max("ts").alias("ts"), F.max_by("price", F.struct("ts", "event_id")).alias("price"))
+    out = joins.asof_join(left, closes.select("symbol", "ts", "price"), ["symbol"], "price", bucket="day", default=-1.0)
     return tidy(out, ["event_id", "symbol", "price"])
 
 
@@ -368,7 +377,7 @@ LONG = """bars AS MATERIALIZED (SELECT event_type AS symbol, date_trunc('minute'
 def long_series_indicators(spark, sf_dir):
     """Minute bars of the tick table cut into parts of bounded length, with the same results."""
     t = tables.ticks(spark, sf_dir)
-    parts = longseries.split_series(feeds.candles(t, "1 minute"), rows=2048, halo=1024, bucket="day")
+    parts = longseries.split_series(feeds.candles(t, "1 minute"), rows=2048, bucket="day")
     out = ind.run(parts, [ind.EMA, ind.RSI, ind.MACD, ind.ADX, ind.OBV, ind.OBV_TREND, ind.FIBONACCI, ind.SUPERTREND], ind.CFG)
     out = longseries.merge_series(out).withColumn("ts", C("ts").cast("timestamp_ntz"))
     return tidy(out, ["symbol", "ts", "ema_fast", "rsi", "macd_hist", "adx", "obv", "obv_ema", "fib_high", "supertrend_bull"])
@@ -381,9 +390,9 @@ LEXICON = {"with": 0.6, "for": 0.5, "this": 0.4, "are": 0.3, "was": -0.6, "from"
 LEX = "lexicon AS (SELECT * FROM (VALUES " + ", ".join(f"('{w}', CAST({p} AS DOUBLE))" for w, p in LEXICON.items()) + ") t(word, polarity))"
 AS_OF, HOURS = "2024-01-31 00:00:00", 720
 CONFIDENCE = 0.0501  # off the grid of short means, where sums in another order would tie
-NEWS = q.with_(q.ARTICLES, LEX, f"""words AS (SELECT doc_id, unnest(string_split_regex(lower(title || '. ' || summary), '[^a-z]+')) AS word FROM articles),
+NEWS = q.with_(q.ARTICLES, LEX, f"""words AS (SELECT doc_id, unnest(string_split_regex(lower(title || '. ' || summary), '[^\\p{{L}}]+')) AS word FROM articles),
 pol AS (SELECT doc_id, avg(polarity) AS s, count(*) AS h FROM words JOIN lexicon USING (word) GROUP BY 1),
-scores AS (SELECT a.*, coalesce(s, 0) AS sentiment, CASE WHEN s IS NULL THEN 0.5 ELSE abs(s) END AS confidence, coalesce(h, 0) AS hits,
+scores AS (SELECT a.*, coalesce(s, 0) AS sentiment, abs(coalesce(s, 0)) AS confidence, coalesce(h, 0) AS hits,
  date_diff('second', published, TIMESTAMP '{AS_OF}') / CAST(3600 AS DOUBLE) AS age FROM articles a LEFT JOIN pol USING (doc_id)),
 wt AS (SELECT *, greatest(CAST(0.05 AS DOUBLE), exp(-greatest(0, age) / {HOURS})) AS weight FROM scores
  WHERE published > TIMESTAMP '{AS_OF}' - INTERVAL {HOURS} HOUR AND confidence >= {CONFIDENCE})""")
@@ -401,7 +410,7 @@ def polarity(spark, sf_dir):
 
 def weighted(spark, sf_dir):
     fresh = news.recent(polarity(spark, sf_dir), AS_OF, HOURS)
-    return news.weighted(fresh, HOURS, CONFIDENCE).withColumn("symbol", C("source"))
+    return news.weighted(fresh, HOURS, CONFIDENCE).withColumn("symbol", C("lang"))
 
 
 @query("article_polarity", NEWS + f"SELECT doc_id, {rnd(['sentiment', 'confidence'])}, hits FROM scores")
@@ -414,17 +423,18 @@ def recent_articles(spark, sf_dir):
     return tidy(news.recent(tables.articles(spark, sf_dir), AS_OF, HOURS), ["doc_id", "age_hours"])
 
 
-@query("news_sentiment", NEWS + f", syms AS (SELECT DISTINCT source AS symbol FROM documents), agg AS (SELECT source AS symbol, sum(sentiment * weight) / sum(weight) AS a, count(*) AS n FROM wt GROUP BY 1),"
+@query("news_sentiment", NEWS + f", syms AS (SELECT DISTINCT lang AS symbol FROM documents UNION ALL SELECT 'none'), agg AS (SELECT lang AS symbol, sum(sentiment * weight) / sum(weight) AS a, count(*) AS n FROM wt GROUP BY 1),"
        f" fin AS (SELECT symbol, coalesce((a + 1) / 2 * 100, 50) AS score, coalesce(n, 0) AS article_count FROM syms LEFT JOIN agg USING (symbol))"
        f" SELECT symbol, {rnd(['score'])}, article_count, {NEWS_LABEL} AS label FROM fin")
 def news_sentiment(spark, sf_dir):
-    symbols = tables.table(spark, sf_dir, "documents").select(C("source").alias("symbol")).distinct()
+    symbols = tables.table(spark, sf_dir, "documents").select(C("lang").alias("symbol")).distinct()
+    symbols = symbols.union(spark.createDataFrame([("none",)], "symbol string"))  # a symbol without articles
     return tidy(news.summary(weighted(spark, sf_dir), symbols), ["symbol", "score", "article_count", "label"])
 
 
-@query("source_breakdown", NEWS + f"SELECT source, {rnd(['avg(sentiment) * 50 + 50 AS source_score'])} FROM wt GROUP BY 1")
+@query("source_breakdown", NEWS + f"SELECT lang AS symbol, source, {rnd(['avg(sentiment) * 50 + 50 AS source_score'])} FROM wt GROUP BY 1, 2")
 def source_breakdown(spark, sf_dir):
-    return tidy(news.source_breakdown(weighted(spark, sf_dir)), ["source", "source_score"])
+    return tidy(news.source_breakdown(weighted(spark, sf_dir)), ["symbol", "source", "source_score"])
 
 
 @query("article_caps", NEWS + "SELECT source, doc_id FROM articles QUALIFY row_number() OVER (PARTITION BY source ORDER BY published DESC, doc_id) <= 15")
@@ -501,15 +511,21 @@ def price_changes(spark, sf_dir):
 
 
 @query("stop_target_hits", q.with_(q.TICKS, "lv AS (SELECT symbol, avg(price) AS m, stddev_samp(price) AS sd FROM ticks GROUP BY 1)",
-       """ht AS (SELECT t.symbol, t.ts, t.price, t.event_id, CASE WHEN price <= m - 1.5 * sd THEN 'SL_HIT' WHEN price >= m + 2 * sd THEN 'TP_HIT' END AS exit_flag FROM ticks t JOIN lv USING (symbol))""")
-       + f"SELECT symbol, ts, {rnd(['price'])}, exit_flag FROM ht WHERE exit_flag IS NOT NULL QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY ts, event_id) = 1")
+       """ps AS (SELECT symbol || '/' || k AS position_id, symbol, CASE WHEN k = 2 THEN 'SHORT' ELSE 'LONG' END AS direction, CASE k WHEN 2 THEN m + 2 * sd ELSE m - (1.5 - k) * sd END AS sl,
+ CASE k WHEN 2 THEN m - 1.5 * sd ELSE m + 2 * sd END AS tp FROM lv CROSS JOIN range(3) g(k)),
+ht AS (SELECT position_id, symbol, direction, t.ts, t.price, t.event_id, CASE WHEN direction = 'LONG' THEN CASE WHEN price <= sl THEN 'SL_HIT' WHEN price >= tp THEN 'TP_HIT' END
+ ELSE CASE WHEN price >= sl THEN 'SL_HIT' WHEN price <= tp THEN 'TP_HIT' END END AS exit_flag FROM ticks t JOIN ps USING (symbol))""")
+       + f"SELECT position_id, symbol, direction, ts, {rnd(['price'])}, exit_flag FROM ht WHERE exit_flag IS NOT NULL QUALIFY row_number() OVER (PARTITION BY position_id ORDER BY ts, event_id) = 1")
 def stop_target_hits(spark, sf_dir):
     t = tables.ticks(spark, sf_dir)
     out = feeds.first_hits(t, positions(t)).withColumn("ts", C("ts").cast("timestamp_ntz"))
-    return tidy(out, ["symbol", "ts", "price", "exit_flag"])
+    return tidy(out, ["position_id", "symbol", "direction", "ts", "price", "exit_flag"])
 
 
 def positions(ticks):
+    """Two long positions with different stops and a short one per symbol."""
     lv = ticks.groupBy("symbol").agg(F.avg("price").alias("m"), F.stddev_samp("price").alias("sd"))
-    return lv.select("symbol", F.lit("LONG").alias("direction"), (C("m") - C("sd") * 1.5).alias("stop_loss"),
-                     (C("m") + C("sd") * 2).alias("take_profit"))
+    k, low, high = C("k"), C("m") - C("sd") * 1.5, C("m") + C("sd") * 2
+    return lv.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(2)))).select(
+        F.concat_ws("/", "symbol", "k").alias("position_id"), "symbol", F.when(k == 2, "SHORT").otherwise("LONG").alias("direction"),
+        F.when(k == 2, high).otherwise(C("m") - (1.5 - k) * C("sd")).alias("stop_loss"), F.when(k == 2, low).otherwise(high).alias("take_profit"))

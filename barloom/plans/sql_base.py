@@ -17,12 +17,11 @@ FROM (SELECT p_brand AS symbol, CAST(l_shipdate AS DATE) AS ts, l_extendedprice
 
 CONTRACTS = """contracts AS MATERIALIZED (
 SELECT p_brand AS symbol, CAST(date_trunc('month', l_shipdate) AS DATE) AS trade_date,
-       last_day(CAST(l_shipdate AS DATE)) AS expiry_date, CAST(p_size * 200 AS DOUBLE) AS strike,
+       CASE WHEN day(l_shipdate) <= 14 THEN CAST(date_trunc('month', l_shipdate) AS DATE) + 14 ELSE last_day(CAST(l_shipdate AS DATE)) END AS expiry_date, CAST(p_size * 200 AS DOUBLE) AS strike,
        CASE WHEN l_linestatus = 'F' THEN 'CE' ELSE 'PE' END AS option_type,
        CAST(sum(l_quantity) AS BIGINT) AS open_int,
        round(avg(l_extendedprice * l_discount / l_quantity), 2) AS settle_price, count(*) AS volume
-FROM lineitem JOIN part ON l_partkey = p_partkey
-WHERE p_brand IN ('Brand#1', 'Brand#2', 'Brand#3') GROUP BY 1, 2, 3, 4, 5)"""
+FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2, 3, 4, 5)"""
 
 VIX = """vix AS MATERIALIZED (
 SELECT CAST(l_shipdate AS DATE) AS ts,
@@ -33,9 +32,9 @@ TICKS = """ticks AS (
 SELECT event_type AS symbol, ts, value AS price, CAST(1 AS DOUBLE) AS volume, event_id FROM events)"""
 
 ARTICLES = """articles AS (
-SELECT doc_id, source, source AS title, text AS summary,
+SELECT doc_id, source, lang, source AS title, text AS summary,
        CAST('2024-01-31 00:00:00' AS TIMESTAMP) - doc_id * INTERVAL '1' HOUR AS published
-FROM documents WHERE lang = 'en')"""
+FROM documents)"""
 
 FILLS = """fills AS (
 SELECT o_orderkey AS fill_id, o_orderpriority AS symbol, CAST(o_orderdate AS DATE) AS ts,

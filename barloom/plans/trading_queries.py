@@ -111,8 +111,7 @@ def ensemble_regime(spark, sf_dir):
 
 
 DAILY = """dreg AS (SELECT ts, coalesce(vix, 15) AS vix, coalesce(a, 20) AS mean_adx, CASE WHEN coalesce(vix, 15) > 25 THEN 'high_vol_crisis' WHEN coalesce(a, 20) > 25 AND coalesce(vix, 15) < 20 THEN 'trending'
- WHEN coalesce(a, 20) < 20 THEN 'mean_reverting' ELSE 'normal' END AS market_regime FROM (SELECT DISTINCT ts FROM ind) LEFT JOIN (SELECT ts, avg(adx) AS a FROM ind
- WHERE symbol IN (SELECT DISTINCT symbol FROM ind ORDER BY 1 LIMIT 20) GROUP BY 1) USING (ts) LEFT JOIN vix USING (ts))"""
+ WHEN coalesce(a, 20) < 20 THEN 'mean_reverting' ELSE 'normal' END AS market_regime FROM (SELECT DISTINCT ts FROM ind) LEFT JOIN (SELECT ts, avg(adx) AS a FROM ind GROUP BY 1) USING (ts) LEFT JOIN vix USING (ts))"""
 
 
 @query("daily_regime", q.with_(q.BARS, q.VIX, q.IND, DAILY) + f"SELECT ts, {rnd(['vix', 'mean_adx'])}, market_regime FROM dreg")
@@ -133,7 +132,7 @@ best AS (SELECT *, CAST(row_number() OVER (PARTITION BY ts ORDER BY rank_score D
 @query("daily_candidates", q.with_(q.BARS, q.VIX, q.IND, q.SCORE, DAILY, CANDIDATES) + f"SELECT symbol, ts, {rnd(['rank_score'])}, rank FROM best")
 def daily_candidates(spark, sf_dir):
     full = scoring.tech_score(ind.run(tables.bars(spark, sf_dir), [*SCORE_FAMILIES, ind.ADX], ind.CFG)).withColumn("prob", prob())
-    reg = scoring.daily_regime(ind.adx(tables.bars(spark, sf_dir)), tables.vix(spark, sf_dir))
+    reg = scoring.daily_regime(full, tables.vix(spark, sf_dir))
     return tidy(scoring.daily_candidates(full, reg, 3), ["symbol", "ts", "rank_score", "rank"])
 
 
@@ -242,9 +241,16 @@ def charge_parts(spark, sf_dir):
     return tidy(out.select("fill_id", *[C(f"charge_parts.{c}").alias(c) for c in ("brokerage", "sell_tax", "stamp", "exchange")]), digits=3)
 
 
-@query("fill_slippage", q.with_(q.TICKS) + f"SELECT event_id, {rnd(['price * 1.0005 AS buy_fill', 'price * 0.9995 AS sell_fill'])} FROM ticks")
+SLIPPED = ["buy_fill", "sell_fill", "buy_slip", "sell_slip"]
+
+
+@query("fill_slippage", q.with_(q.TICKS) + f"""SELECT event_id, {rnd(['price * (1 + h) AS buy_fill', 'price * (1 - h) AS sell_fill', 'price * 1.0005 AS buy_slip', 'price * 0.9995 AS sell_slip'], 6)}
+ FROM (SELECT *, CASE symbol WHEN 'click' THEN 0.0005 WHEN 'view' THEN 0.0002 ELSE 0.001 END / CAST(2 AS DOUBLE) AS h FROM ticks)""")
 def fill_slippage(spark, sf_dir):
-    return tidy(trades.fill_prices(tables.ticks(spark, sf_dir)), ["event_id", "buy_fill", "sell_fill"])
+    """Ticks of two event types carry the names of liquid symbols."""
+    t = tables.ticks(spark, sf_dir)
+    named = t.withColumn("symbol", F.when(C("symbol") == "click", "TCS").when(C("symbol") == "view", "NIFTY").otherwise(C("symbol")))
+    return tidy(trades.fill_prices(named), ["event_id", *SLIPPED], 6)
 
 
 @query("regime_levels", q.with_(q.BARS, q.VIX, q.IND, DAILY) + """SELECT ts, CASE market_regime WHEN 'high_vol_crisis' THEN CAST(0.5 AS DOUBLE) WHEN 'trending' THEN 1.2 ELSE 1 END AS size_mult,
@@ -254,17 +260,17 @@ def regime_levels(spark, sf_dir):
     return trades.regime_levels(reg).select("ts", "size_mult", "sl_mult", "tp_mult")
 
 
-HELD = "held AS (SELECT symbol, CASE WHEN symbol < 'm' THEN 'LONG' ELSE 'SHORT' END AS direction, 10 AS quantity, m AS entry_price, m - 5 * CASE WHEN symbol < 'm' THEN 1 ELSE -1 END AS stop_loss, m + 60 * CASE WHEN symbol < 'm' THEN 1 ELSE -1 END AS take_profit, t0 AS entry_ts FROM (SELECT symbol, floor(avg(price)) AS m, min(ts) AS t0 FROM ticks GROUP BY 1))"
+HELD = "held AS (SELECT symbol, CASE WHEN symbol < 'm' THEN 'LONG' ELSE 'SHORT' END AS direction, 10 AS quantity, m AS entry_price, m - 5 * CASE WHEN symbol < 'm' THEN 1 ELSE -1 END AS stop_loss, m + 60 * CASE WHEN symbol < 'm' THEN 1 ELSE -1 END AS take_profit, t0 AS entry_ts FROM (SELECT symbol, floor(avg(price)) AS m, min(ts) FILTER (ts >= TIMESTAMP '2024-01-24 12:00:00') AS t0 FROM ticks GROUP BY 1))"
 
 
 def held(t):
-    p = t.groupBy("symbol").agg(F.floor(F.avg("price")).cast("double").alias("entry_price"), F.min("ts").alias("entry_ts"))
+    p = t.groupBy("symbol").agg(F.floor(F.avg("price")).cast("double").alias("entry_price"), F.min(F.when(C("ts") >= F.lit("2024-01-24 12:00:00").cast("timestamp"), C("ts"))).alias("entry_ts"))
     sign = F.when(C("symbol") < "m", 1).otherwise(-1)
     return p.select("symbol", F.when(C("symbol") < "m", "LONG").otherwise("SHORT").alias("direction"), F.lit(10).alias("quantity"), "entry_price",
                     (C("entry_price") - sign * 5).alias("stop_loss"), (C("entry_price") + sign * 60).alias("take_profit"), "entry_ts")
 
 
-MARKED = """lq AS (SELECT symbol, max_by(price, row(ts, event_id)) AS price, max(price) AS hi, min(price) AS lo FROM ticks GROUP BY 1),
+MARKED = """lq AS (SELECT symbol, max_by(price, row(ts, event_id)) AS price, max(price) FILTER (ts >= entry_ts) AS hi, min(price) FILTER (ts >= entry_ts) AS lo FROM ticks JOIN (SELECT symbol, entry_ts FROM held) USING (symbol) GROUP BY 1),
 mk AS (SELECT h.*, price, CASE WHEN direction = 'LONG' THEN 1 ELSE -1 END AS sg, CASE WHEN direction = 'LONG' THEN CASE WHEN greatest(hi, entry_price) > entry_price THEN greatest(stop_loss, greatest(hi, entry_price) * 0.985) ELSE stop_loss END
  ELSE CASE WHEN least(lo, entry_price) < entry_price THEN least(stop_loss, least(lo, entry_price) * 1.015) ELSE stop_loss END END AS trailing_stop FROM held h JOIN lq USING (symbol)),
 marked AS (SELECT *, quantity * price AS market_value, sg * (price - entry_price) * quantity AS unrealised_pnl, sg * (price / entry_price - 1) * 100 AS unrealised_pct,

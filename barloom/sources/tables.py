@@ -28,17 +28,17 @@ def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-# The three brands that stand for index symbols.
+# Brands that stand for index symbols where a query is about an index.
 INDEX_SYMBOLS = ("Brand#1", "Brand#2", "Brand#3")
 
 
 def contracts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Monthly option contracts of three brands."""
+    """Monthly option contracts of all brands: sales of the first half expire on the 15th, the others at the month's end."""
     day = F.to_date("l_shipdate")
     return (
-        _sales(spark, sf_dir).filter(F.col("p_brand").isin(*INDEX_SYMBOLS))
+        _sales(spark, sf_dir)
         .groupBy(F.col("p_brand").alias("symbol"),
-                 F.trunc(day, "month").alias("trade_date"), F.last_day(day).alias("expiry_date"),
+                 F.trunc(day, "month").alias("trade_date"), F.when(F.dayofmonth(day) <= 14, F.date_add(F.trunc(day, "month"), 14)).otherwise(F.last_day(day)).alias("expiry_date"),
                  (F.col("p_size") * 200).cast("double").alias("strike"),
                  F.when(F.col("l_linestatus") == "F", "CE").otherwise("PE").alias("option_type"))
         .agg(F.sum("l_quantity").cast("bigint").alias("open_int"),
@@ -63,9 +63,9 @@ def ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """English documents with a publication time; whole texts."""
-    return table(spark, sf_dir, "documents").filter("lang = 'en'").select(
-        "doc_id", "source", F.col("source").alias("title"), F.col("text").alias("summary"),
+    """Documents with a publication time; whole texts."""
+    return table(spark, sf_dir, "documents").select(
+        "doc_id", "source", "lang", F.col("source").alias("title"), F.col("text").alias("summary"),
         F.expr("TIMESTAMP'2024-01-31 00:00:00' - make_dt_interval(0, CAST(doc_id AS INT))").alias("published"))
 
 

@@ -61,9 +61,9 @@ def previous_closes(ticks: DataFrame) -> DataFrame:
     return daily.select("symbol", C("_d").alias("ts"), F.lag("_c").over(w).alias("prev_close"))
 
 
-def level_hits(ticks: DataFrame, positions: DataFrame) -> DataFrame:
+def level_hits(ticks: DataFrame, positions: DataFrame, on: str | list[str] = "symbol") -> DataFrame:
     """Ticks that meet the stop or target of an open position (stream-static join, no state)."""
-    out = ticks.join(positions, "symbol")
+    out = ticks.join(positions, on)
     long, p = C("direction") == "LONG", C("price")
     hit = (F.when(F.when(long, p <= C("stop_loss")).otherwise(p >= C("stop_loss")), "SL_HIT")
            .when(F.when(long, p >= C("take_profit")).otherwise(p <= C("take_profit")), "TP_HIT"))
@@ -71,15 +71,26 @@ def level_hits(ticks: DataFrame, positions: DataFrame) -> DataFrame:
 
 
 def first_hits(ticks: DataFrame, positions: DataFrame) -> DataFrame:
-    """The first hit of each position in a table of ticks."""
-    hits = level_hits(ticks, positions)
-    first = F.min_by(F.struct("ts", "price", "exit_flag"), F.struct("ts", "event_id"))
-    return hits.groupBy("symbol", "direction").agg(first.alias("_h")).select("symbol", "direction", "_h.*")
+    """The first hit of each position (position_id) in a table of ticks.
+
+    Ticks are first reduced to their extremes per symbol and hour; a position meets the hours,
+    and only the ticks of its first hour with a hit.
+    """
+    hour = F.date_trunc("hour", "ts").alias("_hour")
+    hours = ticks.groupBy("symbol", hour).agg(F.min("price").alias("_l"), F.max("price").alias("_h"))
+    long = C("direction") == "LONG"
+    reached = (F.when(long, (C("_l") <= C("stop_loss")) | (C("_h") >= C("take_profit")))
+               .otherwise((C("_h") >= C("stop_loss")) | (C("_l") <= C("take_profit"))))
+    first_hour = hours.join(positions, "symbol").filter(reached).groupBy("position_id").agg(F.min("_hour").alias("_hour"))
+    at = positions.join(first_hour, "position_id")
+    hits = level_hits(ticks.withColumn("_hour", F.date_trunc("hour", "ts")), at, ["symbol", "_hour"])
+    first = F.min_by(F.struct("symbol", "direction", "ts", "price", "exit_flag"), F.struct("ts", "event_id"))
+    return hits.groupBy("position_id").agg(first.alias("_h")).select("position_id", "_h.*")
 
 
 def monitor(ticks: DataFrame, positions: DataFrame) -> DataFrame:
     """Stateful form of `first_hits`: each position fires once, whatever ticks follow."""
-    hits = level_hits(ticks, positions).select("symbol", "direction", "ts", "price", "exit_flag", "event_id")
+    hits = level_hits(ticks, positions).select("position_id", "symbol", "direction", "ts", "price", "exit_flag", "event_id")
 
     def once(key, pdfs: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         best = None
@@ -89,10 +100,10 @@ def monitor(ticks: DataFrame, positions: DataFrame) -> DataFrame:
                 best = row
         if not state.exists and best is not None:
             state.update((1,))
-            yield best[["symbol", "direction", "ts", "price", "exit_flag"]]
+            yield best[["position_id", "symbol", "direction", "ts", "price", "exit_flag"]]
 
-    return hits.groupBy("symbol", "direction").applyInPandasWithState(
-        once, "symbol string, direction string, ts timestamp, price double, exit_flag string",
+    return hits.groupBy("position_id").applyInPandasWithState(
+        once, "position_id string, symbol string, direction string, ts timestamp, price double, exit_flag string",
         "fired int", "append", GroupStateTimeout.NoTimeout)
 
 

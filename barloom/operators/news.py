@@ -158,7 +158,7 @@ def sector_tags(articles: DataFrame, key: str = "doc_id", keywords: dict | None
     spark = articles.sparkSession
     table = F.broadcast(spark.createDataFrame(single, "word string, sector string"))  # a few dozen rows
     by_word = tokens(articles, key).join(table, "word").select(key, "sector", "word")
-    low = F.concat(F.lit(" "), F.regexp_replace(F.lower("text"), "[^a-z-]+", " "), F.lit(" "))
+    low = F.concat(F.lit(" "), F.regexp_replace(F.lower("text"), r"[^\p{L}-]+", " "), F.lit(" "))
     phrases = F.array(*[
         F.when(low.contains(f" {w} "), F.struct(F.lit(s).alias("sector"), F.lit(w).alias("word")))
         for w, s in pairs if not w.isalpha()])

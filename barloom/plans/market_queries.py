@@ -446,7 +446,7 @@ SECTORS = "keys AS (SELECT * FROM (VALUES " + ", ".join(f"('{s}', '{w}')" for s,
 
 
 @query("sector_tags", q.with_(q.ARTICLES, SECTORS, """body AS (SELECT doc_id, lower(title || '. ' || summary) AS t FROM articles),
- padded AS (SELECT doc_id, ' ' || regexp_replace(t, '[^a-z]+', ' ', 'g') || ' ' AS single, ' ' || regexp_replace(t, '[^a-z-]+', ' ', 'g') || ' ' AS phrase FROM body)""")
+ padded AS (SELECT doc_id, ' ' || regexp_replace(t, '[^\\p{L}]+', ' ', 'g') || ' ' AS single, ' ' || regexp_replace(t, '[^\\p{L}-]+', ' ', 'g') || ' ' AS phrase FROM body)""")
        + """SELECT doc_id, sector, count(*) AS keywords FROM padded JOIN keys ON CASE WHEN regexp_matches(word, '^[a-z]+$') THEN contains(single, ' ' || word || ' ')
  ELSE contains(phrase, ' ' || word || ' ') END GROUP BY 1, 2""")
 def sector_tags(spark, sf_dir):

@@ -20,7 +20,7 @@ SELECT p_brand AS symbol, CAST(date_trunc('month', l_shipdate) AS DATE) AS trade
        CASE WHEN day(l_shipdate) <= 14 THEN CAST(date_trunc('month', l_shipdate) AS DATE) + 14 ELSE last_day(CAST(l_shipdate AS DATE)) END AS expiry_date, CAST(p_size * 200 AS DOUBLE) AS strike,
        CASE WHEN l_linestatus = 'F' THEN 'CE' ELSE 'PE' END AS option_type,
        CAST(sum(l_quantity) AS BIGINT) AS open_int,
-       round(avg(l_extendedprice * l_discount / l_quantity), 2) AS settle_price, count(*) AS volume
+       floor(avg(l_extendedprice * l_discount / l_quantity) * 100 + 0.5001) / 100 AS settle_price, count(*) AS volume
 FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2, 3, 4, 5)"""
 
 VIX = """vix AS MATERIALIZED (

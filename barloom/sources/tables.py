@@ -42,7 +42,7 @@ def contracts(spark: SparkSession, sf_dir: str) -> DataFrame:
                  (F.col("p_size") * 200).cast("double").alias("strike"),
                  F.when(F.col("l_linestatus") == "F", "CE").otherwise("PE").alias("option_type"))
         .agg(F.sum("l_quantity").cast("bigint").alias("open_int"),
-             F.round(F.avg(F.col("l_extendedprice") * F.col("l_discount") / F.col("l_quantity")), 2)
+             (F.floor(F.avg(F.col("l_extendedprice") * F.col("l_discount") / F.col("l_quantity")) * 100 + 0.5001) / 100)
              .alias("settle_price"),
              F.count(F.lit(1)).alias("volume"))
     )

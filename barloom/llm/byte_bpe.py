@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from functools import cache
 from heapq import heappop, heappush
 
 from pyspark.sql import DataFrame
@@ -18,7 +19,7 @@ from pyspark.sql import DataFrame
 from barloom.llm.common import per_row, texts
 
 WORD = 64  # bits of a word of the lower level
-CACHE = 150_000  # distinct short pre-tokens a task remembers, and as many older ones
+CACHE = 250_000  # distinct short pre-tokens a worker remembers, and as many older ones
 
 
 class ByteBpe:
@@ -126,6 +127,12 @@ class TextCodec:
         return [i for piece in self.split(text) for i in self.bpe.encode(piece.encode())]
 
 
+@cache
+def codec_of(ranks_path: str, pattern: str) -> TextCodec:
+    """One per Python worker, which serves many tasks."""
+    return TextCodec(ByteBpe.load(ranks_path), pattern)
+
+
 def round_trip(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     """Encode and decode each text: doc_id, n_tokens, SHA-256 of the ids and of the decoded bytes.
 
@@ -133,7 +140,7 @@ def round_trip(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     doc_id stays null, other columns are ignored. Texts are encoded whole, whatever their length.
     """
     def make():
-        codec = TextCodec(ByteBpe.load(ranks_path), pattern)
+        codec = codec_of(ranks_path, pattern)
 
         def work(rows):
             out = []

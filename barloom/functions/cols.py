@@ -69,15 +69,16 @@ def norm_cdf(x: Column) -> Column:
     return F.when(x >= 0, upper).otherwise(1 - upper)
 
 
-# Columns of bars and of their row-to-row moves: never null.
-BAR_COLUMNS = {"open", "high", "low", "close", "volume", "_tp", "_tr", "_pdm", "_ndm", "_dx", "_nv"}
+BAR_COLUMNS = ("open", "high", "low", "close", "volume")
+NEVER_NULL = {"_tr", "_pdm", "_ndm", "_dx"}  # moves that have a default by construction
 
 
 class Series:
     """Frames over one series: `symbol` (and its part, when a long series was split), in time order."""
 
     def __init__(self, df: DataFrame, by: tuple = ("symbol",), order: str = "ts"):
-        self.indexed = "_n" in df.columns
+        self.columns = set(df.columns)
+        self.indexed = "_n" in self.columns
         self.split = "_part" in df.columns
         self.by = list(by) + (["_part"] if self.split else [])
         self.order = (["_blk"] if "_blk" in df.columns else []) + [order]
@@ -105,12 +106,15 @@ class Series:
     def roll(self, agg, c, n: int, least: int | None = None, shift: int = 0) -> Column:
         """agg over the last n rows (shifted back by `shift`), null until `least` non-null rows are seen.
 
-        Bar columns are never null, so for them the row number decides and nothing is counted.
+        Values of bar columns in a frame are the difference of two running counts.
         """
         frame = self.rows(-(n - 1) - shift, -shift)
         least = n if least is None else least
-        if self.indexed and isinstance(c, str) and c in BAR_COLUMNS:
+        if isinstance(c, str) and c in NEVER_NULL and self.indexed:
             return F.when(F.col("_n") >= least + shift, agg(c).over(frame))
+        if isinstance(c, str) and f"_k_{c}" in self.columns:
+            seen = (self.lag(f"_k_{c}", shift) if shift else F.col(f"_k_{c}")) - F.coalesce(self.lag(f"_k_{c}", n + shift), F.lit(0))
+            return F.when(seen >= least, agg(c).over(frame))
         return F.when(F.count(c).over(frame) >= least, agg(c).over(frame))
 
     def mean(self, c, n, least=None):

@@ -20,7 +20,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from barloom.functions.cols import Series, by_series, col, num
+from barloom.functions.cols import BAR_COLUMNS, Series, by_series, col, num
 
 BLOCK = 512
 FAINT, RANGE = 54, 900  # powers of two: weight of what is left out, and how far q**-p may grow
@@ -46,10 +46,11 @@ def block_rows(q: float) -> int:
 
 
 def indexed(df: DataFrame) -> DataFrame:
-    """Add row number `_n`, block `_blk` and place in the block `_p`."""
+    """Add row number `_n`, block `_blk`, place in the block `_p` and running counts `_k_<bar column>`."""
     if "_blk" in df.columns:
         return df
-    df = df.withColumn("_n", F.row_number().over(Series(df).w))
+    s = Series(df)
+    df = df.withColumns({"_n": F.row_number().over(s.w), **{f"_k_{c}": F.count(c).over(s.past) for c in BAR_COLUMNS if c in df.columns}})
     return df.withColumns({
         "_blk": F.floor((F.col("_n") - 1) / BLOCK),
         "_p": (F.col("_n") - 1) % BLOCK,

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from barloom.operators import models, options, risk, scoring, trades
+from barloom.operators import models, news, options, risk, scoring, trades
 from barloom.sources import readers, tables
 from barloom.streaming import feeds
 
@@ -111,3 +111,39 @@ def test_auc_matches_pairs(spark):
     pos, neg = [p for p, y in rows if y], [p for p, y in rows if not y]
     want = np.mean([(a > b) + 0.5 * (a == b) for a in pos for b in neg])
     assert models.auc(spark.createDataFrame(rows, "prob double, label int")).first()["auc"] == pytest.approx(want)
+
+
+def test_two_positions_of_one_side(spark):
+    """Each is hit by its own levels, at its own tick."""
+    rows = [("A", f"2024-01-01 0{h}:{m}0:00", p, h * 10 + m) for h, m, p in ((1, 0, 100.0), (1, 3, 84.0), (2, 1, 90.0), (3, 0, 74.0), (3, 2, 60.0))]
+    ticks = spark.createDataFrame(rows, "symbol string, at string, price double, event_id long").withColumn("ts", F.to_timestamp("at"))
+    held = spark.createDataFrame([("p1", "A", "LONG", 85.0, 200.0), ("p2", "A", "LONG", 75.0, 200.0), ("p3", "A", "SHORT", 200.0, 65.0)],
+                                 "position_id string, symbol string, direction string, stop_loss double, take_profit double")
+    got = {r.position_id: (r.price, r.exit_flag) for r in feeds.first_hits(ticks, held).collect()}
+    assert got == {"p1": (84.0, "SL_HIT"), "p2": (74.0, "SL_HIT"), "p3": (60.0, "TP_HIT")}
+
+
+def test_marks_see_quotes_since_entry_alone(spark):
+    """An extreme before the entry does not raise the stop; one on the entry's day or later does."""
+    rows = [("A", "2024-01-01 10:00:00", 300.0, 1), ("A", "2024-01-02 09:00:00", 250.0, 2), ("A", "2024-01-02 15:00:00", 110.0, 3), ("A", "2024-01-05 09:00:00", 104.0, 4)]
+    quotes = spark.createDataFrame(rows, "symbol string, at string, price double, event_id long").withColumn("ts", F.to_timestamp("at"))
+    held = spark.createDataFrame([(i, "A", "LONG", 1, 100.0, at, 90.0, 500.0) for i, at in enumerate(
+        ("2024-01-02 12:00:00", "2024-01-03 00:00:00", "2023-12-31 00:00:00", "2024-02-01 00:00:00"))],
+        "id int, symbol string, direction string, quantity int, entry_price double, at string, stop_loss double, take_profit double")
+    held = held.withColumn("entry_ts", F.to_timestamp("at")).drop("at")
+    got = {r.id: round(r.trailing_stop, 6) for r in trades.mark(held, quotes).collect()}
+    assert got == {0: 108.35, 1: 102.44, 2: 295.5, 3: 90.0}
+
+
+def test_two_bars_of_a_day_are_refused(spark, make_bars):
+    bars = make_bars({"A": [100.0] * 5}).withColumns({"atr": F.lit(1.0), "tech_score": F.lit(70.0), "stop_loss": F.lit(90.0), "take_profit": F.lit(120.0),
+                                                      "is_signal": F.lit(True)})
+    assert trades.outcomes(bars).count() == 4
+    with pytest.raises(Exception, match="one bar per symbol and day"):
+        trades.outcomes(bars.union(bars)).collect()
+
+
+def test_fractions_of_an_hour(spark):
+    rows = spark.createDataFrame([(1, "2024-01-30 23:20:00")], "doc_id long, at string").withColumn("published", F.to_timestamp("at"))
+    assert news.recent(rows, "2024-01-31 00:00:00", 0.9).count() == 1
+    assert news.recent(rows, "2024-01-31 00:00:00", 0.5).count() == 0

@@ -5,7 +5,9 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from barloom.functions import longseries
+from barloom.config import IndicatorConfig
+from barloom.functions import longseries, recur
+from barloom.functions.cols import by_series
 from barloom.operators import features as fe
 from barloom.operators import indicators as ind
 from barloom.operators import labels
@@ -73,3 +75,52 @@ def test_barrier_order_and_tail(spark, make_bars):
                              "low": F.when(F.dayofmonth("ts") == 2, 98.0).otherwise(99.5)})
     out = frame(labels.triple_barrier(both), "label")
     assert out["label"].tolist() == [1, 0] + [0] * 10
+
+
+@pytest.fixture(scope="module")
+def long_walk(spark):
+    """5,000 bars of one symbol as closes, and the same with nulls, a long gap among them."""
+    close = 100 + np.random.default_rng(3).normal(0, 1, 5000).cumsum()
+    holes = close.copy()
+    holes[RNG.random(5000) < 0.3] = np.nan
+    holes[:4] = holes[1000:2200] = np.nan
+    days = pd.date_range("2000-01-01", periods=5000).date
+    rows = [("A", d, float(a), None if np.isnan(b) else float(b)) for d, a, b in zip(days, close, holes, strict=True)]
+    return spark.createDataFrame(rows, "symbol string, ts date, close double, x double"), pd.Series(close), pd.Series(holes)
+
+
+SPANS = (1, 2, 9, 26, 50, 200, 500)
+
+
+def test_recurrences_are_exact_for_every_span(long_walk):
+    df, close, _ = long_walk
+    out = recur.scan(recur.indexed(by_series(df)), {f"e{n}": recur.span_ema("close", n, least=1) for n in SPANS})
+    out = frame(out, *[f"e{n}" for n in SPANS])
+    for n in SPANS:
+        assert np.abs(out[f"e{n}"] - close.ewm(span=n, adjust=False).mean()).max() < 1e-9, n
+
+
+@pytest.mark.parametrize("span", SPANS)
+def test_nulls_repeat_and_age_the_mean(long_walk, span):
+    df, _, holes = long_walk
+    out = frame(recur.exponential_mean(df, "x", "e", span), "e")["e"].astype(float)
+    expected = holes.ewm(span=span, adjust=False, ignore_na=False).mean()
+    assert np.allclose(out, expected, atol=1e-9, rtol=0, equal_nan=True)
+
+
+def test_split_series_with_a_long_period(spark, make_bars):
+    """Two hundred rows of period: the copied edge follows from it."""
+    cfg = IndicatorConfig(ema_slow=100, macd_slow=100)
+    bars = make_bars({"A": WALK * 8})
+    halo = longseries.halo_rows(cfg)
+    parts = longseries.split_series(bars, rows=halo + 10, bucket="month", cfg=cfg)
+    whole = frame(ind.run(bars, [ind.EMA, ind.MACD], cfg), "ema_slow", "macd_signal")
+    split = frame(longseries.merge_series(ind.run(parts, [ind.EMA, ind.MACD], cfg)), "ema_slow", "macd_signal")
+    for c in ("ema_slow", "macd_signal"):
+        assert np.allclose(whole[c], split[c], atol=1e-9, rtol=0, equal_nan=True)
+
+
+def test_null_volumes_are_counted(make_bars):
+    bars = make_bars({"A": WALK[:60]}).withColumn("volume", F.when(F.col("ts").isin(["2020-01-15", "2020-01-16"]), None).otherwise(F.col("volume")))
+    out = frame(ind.run(bars, [ind.VOLUME_RATIO], ind.CFG), "vol_ratio")["vol_ratio"]
+    assert out[:35].isna().all() and (out[35:] == 1).all()

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barloom.functions.cols import Series, clip, div, flag, num
+from barloom.functions.cols import Series, clip, div, flag, ladder, num
 
 C = F.col
 
@@ -36,15 +36,12 @@ def triple_barrier(df: DataFrame, up: float = 2.0, down: float = 1.0, hold: int
     """1 where the upper barrier is met first (tested before the lower one in a bar), else 0;
     without a hit, the sign of the move. Rows with fewer than `hold` bars ahead give 0."""
     s = Series(df)
-    out = df.withColumns({
-        "_ahead": F.collect_list(F.struct("high", "low")).over(s.rows(1, hold)),
-        "_end": s.lead("close", hold),
-    })
+    ahead = {f"_{c}{i}": s.lead(c, i) for i in range(1, hold + 1) for c in ("high", "low")}
+    out = df.withColumns({**ahead, "_end": s.lead("close", hold)})
     top, floor = C("close") + floored_atr(atr) * up, C("close") - floored_atr(atr) * down
-    hits = F.filter("_ahead", lambda b: (b["high"] >= top) | (b["low"] <= floor))
-    first = F.get(hits, F.lit(0))
-    met = F.when(first.isNotNull(), first["high"] >= top).otherwise(C("_end") > C("close"))
-    return out.withColumn("label", flag(C("_end").isNotNull() & met)).drop("_ahead", "_end")
+    met = ladder([step for i in range(1, hold + 1) for step in ((C(f"_high{i}") >= top, True), (C(f"_low{i}") <= floor, False))],
+                 C("_end") > C("close"))
+    return out.withColumn("label", flag(C("_end").isNotNull() & met)).drop(*ahead, "_end")
 
 
 def sharpe_target(df: DataFrame, horizon: int = 5, risk_free: float = 0.065 / 252) -> DataFrame:

@@ -99,11 +99,18 @@ def source_breakdown(articles: DataFrame, by: str = "symbol") -> DataFrame:
     return articles.groupBy(by, "source").agg((F.avg("sentiment") * 50 + 50).alias("source_score"))
 
 
-def source_map(articles: DataFrame, by: str = "symbol") -> DataFrame:
+def source_map(articles: DataFrame, by: str = "symbol", score=lambda c: F.round(c, 1)) -> DataFrame:
     """The breakdown as one map per symbol (as many entries as there are sources)."""
     parts = source_breakdown(articles, by)
     return parts.groupBy(by).agg(F.map_from_entries(
-        F.array_sort(F.collect_list(F.struct("source", F.round("source_score", 1))))).alias("source_breakdown"))
+        F.array_sort(F.collect_list(F.struct("source", score(C("source_score")).alias("score"))))).alias("source_breakdown"))
+
+
+def report(articles: DataFrame, shown: int = 8, by: str = "symbol", key: str = "doc_id") -> DataFrame:
+    """The newest articles of each symbol as one array, newest first; only those shown are gathered."""
+    rows = capped(articles, [by], shown, key)
+    entry = F.struct((-C("published").cast("timestamp").cast("double")).alias("_age"), key, "sentiment", "source")
+    return rows.groupBy(by).agg(F.transform(F.array_sort(F.collect_list(entry)), lambda e: e.dropFields("_age")).alias("articles"))
 
 
 def short_name(symbol):

@@ -37,14 +37,21 @@ def by_strike(contracts: DataFrame, keys: list[str] = DAY) -> DataFrame:
 
 def pcr(strikes: DataFrame, keys: list[str] = DAY, digits: int = 4) -> DataFrame:
     out = strikes.groupBy(*keys).agg(F.sum("call_oi").alias("call_oi"), F.sum("put_oi").alias("put_oi"))
-    return out.withColumn("pcr", F.round(C("put_oi") / F.greatest(F.lit(1), C("call_oi")), digits))
+    return out.withColumn("pcr", put_call(digits))
+
+
+def put_call(digits: int = 4) -> Column:
+    return F.round(C("put_oi") / F.greatest(F.lit(1), C("call_oi")), digits)
+
+
+def busiest() -> Column:
+    """Strike, expiry and call settle price with the highest combined open interest; the lowest strike of equals."""
+    return F.max_by(F.struct("strike", "expiry_date", "call_settle"), F.struct(C("call_oi") + C("put_oi"), -C("strike")))
 
 
 def atm(strikes: DataFrame, keys: list[str] = DAY) -> DataFrame:
     """Strike with the highest combined open interest; the lowest one of equals."""
-    busiest = F.max_by(F.struct("strike", "expiry_date", "call_settle"),
-                       F.struct(C("call_oi") + C("put_oi"), -C("strike")))
-    return strikes.groupBy(*keys).agg(busiest.alias("_a")).select(
+    return strikes.groupBy(*keys).agg(busiest().alias("_a")).select(
         *keys, C("_a.strike").alias("atm_strike"), C("_a.expiry_date").alias("expiry_date"),
         C("_a.call_settle").alias("atm_settle"))
 
@@ -57,7 +64,13 @@ def atm_iv(df: DataFrame) -> DataFrame:
 
 
 def max_pain(strikes: DataFrame, keys: list[str] = DAY) -> DataFrame:
-    """Strike with the least total payoff to option holders, the first of equals.
+    """Strike with the least total payoff to option holders, the first of equals."""
+    return with_pain(strikes, keys).groupBy(*keys).agg(
+        F.min_by("strike", F.struct("_pain", "strike")).alias("max_pain"), F.min("_pain").alias("pain"))
+
+
+def with_pain(strikes: DataFrame, keys: list[str] = DAY) -> DataFrame:
+    """Adds `_pain`, the total payoff to option holders if the price expires at the strike.
 
     payoff(x) = x*sum(oi, k<x) - sum(oi*k, k<x) for calls plus the mirror for puts, so one pass
     of running sums over the strikes of a day replaces the strike-by-strike join.
@@ -67,8 +80,7 @@ def max_pain(strikes: DataFrame, keys: list[str] = DAY) -> DataFrame:
     x, c, p = C("strike"), C("call_oi"), C("put_oi")
     calls = x * F.sum(c).over(up) - F.sum(c * x).over(up)
     puts = (F.sum(p * x).over(whole) - F.sum(p * x).over(up)) - x * (F.sum(p).over(whole) - F.sum(p).over(up))
-    return strikes.withColumn("_pain", calls + puts).groupBy(*keys).agg(
-        F.min_by("strike", F.struct("_pain", "strike")).alias("max_pain"), F.min("_pain").alias("pain"))
+    return strikes.withColumn("_pain", calls + puts)
 
 
 def max_pain_by_join(strikes: DataFrame, keys: list[str] = DAY) -> DataFrame:
@@ -82,10 +94,17 @@ def max_pain_by_join(strikes: DataFrame, keys: list[str] = DAY) -> DataFrame:
 
 
 def daily_summary(contracts: DataFrame) -> DataFrame:
-    """(trade_date, symbol) -> pcr, atm_iv, max_pain, call_oi, put_oi for the nearest expiry."""
-    strikes = by_strike(nearest_expiry(contracts))
-    return (pcr(strikes).join(atm_iv(atm(strikes)), DAY).join(max_pain(strikes), DAY)
-            .select(*DAY, "pcr", "atm_iv", "max_pain", "call_oi", "put_oi"))
+    """(trade_date, symbol) -> pcr, atm_iv, max_pain, call_oi, put_oi for the nearest expiry.
+
+    Contracts are read once and summed per strike; the nearest expiry, the pain of every strike
+    and the sums of the day then share one partitioning by day and symbol.
+    """
+    first = F.min("expiry_date").over(Window.partitionBy(*DAY))
+    strikes = with_pain(by_strike(contracts).withColumn("_first", first).filter("expiry_date = _first"))
+    day = strikes.groupBy(*DAY).agg(F.sum("call_oi").alias("call_oi"), F.sum("put_oi").alias("put_oi"), busiest().alias("_a"),
+                                    F.min_by("strike", F.struct("_pain", "strike")).alias("max_pain"))
+    day = day.withColumns({"pcr": put_call(), "atm_strike": C("_a.strike"), "expiry_date": C("_a.expiry_date"), "atm_settle": C("_a.call_settle")})
+    return atm_iv(day).select(*DAY, "pcr", "atm_iv", "max_pain", "call_oi", "put_oi")
 
 
 def iv_rank(summary: DataFrame, window: int = 252, keep_all: bool = False) -> DataFrame:

@@ -90,6 +90,7 @@ def verdicts(orders: DataFrame, cfg: RiskConfig = CFG, width: int = 65536) -> Da
         rules.append((F.coalesce(C("halted"), F.lit(False)), "HALTED"))
     if "at_time" in have:
         rules.append((C("at_time") >= cfg.no_new_trades_after, "CUTOFF_TIME"))
+        rules.append((option & (C("at_time") >= cfg.no_options_after), "OPTION_CUTOFF"))
     rules += [
         (C("ml_confidence") < cfg.min_ml_confidence, "LOW_CONFIDENCE"),
         (C("tech_score") < cfg.min_tech_score, "LOW_SCORE"),

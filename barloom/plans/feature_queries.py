@@ -17,11 +17,11 @@ MARKET_CTES = (q.BARS, q.VIX, q.CONTRACTS, q.OPTIONS, q.IND, q.MARKET, q.FEATURE
 
 
 def market(spark, sf_dir):
-    """Volatility level, and put-call ratio, IV rank and max pain of the first index symbol."""
+    """Volatility and news levels, and put-call ratio, IV rank and max pain of the first index symbol."""
     summary = options.daily_summary(tables.contracts(spark, sf_dir)).filter(F.col("symbol") == tables.INDEX_SYMBOLS[0])
     ranked = options.iv_rank(summary, keep_all=True).select(
         F.col("trade_date").alias("ts"), "pcr", "max_pain", F.col("iv_rank").alias("iv_rank_level"))
-    return market_table(tables.vix(spark, sf_dir), ranked)
+    return market_table(tables.vix(spark, sf_dir), ranked, tables.sentiment(spark, sf_dir))
 
 
 # name -> (feature columns, families, base families)

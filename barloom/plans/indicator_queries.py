@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from barloom.operators import indicators as ind
 from barloom.plans.registry import query, tidy
-from barloom.plans.sql_base import BARS, FIB_LEVEL, FIB_SCORE, W, ema, indicator_sql, recursion, rnd, with_
+from barloom.plans.sql_base import BARS, FIB_LEVEL, FIB_SCORE, W, clip, ema, indicator_sql, recursion, rnd, with_
 from barloom.sources import tables
 
 # name -> (operator, double columns, flag columns)
@@ -86,3 +86,22 @@ def ema_gaps(spark, sf_dir):
     first = F.min("ts").over(Window.partitionBy("symbol", F.date_trunc("week", "ts")))
     weekly = b.withColumn("x", F.when(F.col("ts") == first, F.col("close")))
     return tidy(exponential_mean(weekly, "x", "ema", 21), ["symbol", "ts", "ema"], 6)
+
+
+A12, A26, A9 = (f"CAST(2 AS DOUBLE) / {n + 1}" for n in (12, 26, 9))
+SMOOTH = [f"""s0 AS (SELECT symbol, ts, close, row_number() OVER ({W}) AS rn, greatest(close - lag(close) OVER ({W}), 0) AS g, greatest(lag(close) OVER ({W}) - close, 0) AS d FROM bars),
+s1 AS (SELECT symbol, ts, close, rn, coalesce(g, 0) AS g, coalesce(d, 0) AS d FROM s0)""",
+          recursion("q1", "s1", {"cs": ("close", ema("CAST(0.15 AS DOUBLE)")), "rg": ("g", ema("CAST(1 AS DOUBLE) / 14")), "rd": ("d", ema("CAST(1 AS DOUBLE) / 14"))}),
+          f"""s2 AS (SELECT symbol, rn, cs, rg, rd, coalesce(greatest(cs - lag(cs) OVER (PARTITION BY symbol ORDER BY rn), 0), 0) AS sg,
+ coalesce(greatest(lag(cs) OVER (PARTITION BY symbol ORDER BY rn) - cs, 0), 0) AS sd FROM q1)""",
+          recursion("q2", "s2", {"f12": ("cs", ema(A12)), "f26": ("cs", ema(A26)), "eg": ("sg", ema("CAST(1 AS DOUBLE) / 14")), "ed": ("sd", ema("CAST(1 AS DOUBLE) / 14"))}),
+          """s3 AS (SELECT symbol, rn, cs, CASE WHEN rn < 14 THEN NULL WHEN ed = 0 THEN 100 ELSE 100 - 100 / (1 + eg / ed) END AS rsi_clean,
+ CASE WHEN rn < 14 THEN NULL WHEN rd = 0 THEN 100 ELSE 100 - 100 / (1 + rg / rd) END AS rsi_raw, CASE WHEN rn >= 26 THEN f12 - f26 END AS m FROM q2 JOIN s2 USING (symbol, rn))""",
+          recursion("q3", "s3", {"sg9": ("m", ema(A9))})]
+
+
+@query("smoothed_close", with_(BARS, *SMOOTH) + f"""SELECT symbol, ts, {rnd(['cs AS close_smooth', 'rsi_clean', clip('rsi_clean - rsi_raw', -20, 20) + ' AS rsi_divergence', 'CASE WHEN rn >= 34 THEN m - sg9 END AS macd_clean_hist'])}
+ FROM s3 JOIN q3 USING (symbol, rn) JOIN s1 USING (symbol, rn)""")
+def smoothed_close(spark, sf_dir):
+    """Strength, histogram and divergence on a causally smoothed close."""
+    return tidy(ind.smoothed_close(tables.bars(spark, sf_dir)), ["symbol", "ts", "close_smooth", "rsi_clean", "rsi_divergence", "macd_clean_hist"])

@@ -267,6 +267,17 @@ def bars_source(spark, sf_dir):
     return tidy(tables.bars(spark, sf_dir))
 
 
+@query("bars_round_trip", q.with_(q.BARS) + f"SELECT symbol, ts, {rnd(['open', 'high', 'low', 'close', 'volume'])} FROM bars WHERE ts BETWEEN DATE '1996-06-01' AND DATE '1998-03-31'")
+def bars_round_trip(spark, sf_dir):
+    """Bars written to files by year and read back for a range of dates."""
+    from uuid import uuid4
+
+    from barloom.session import checkpoint_folder
+    path = f"{checkpoint_folder(spark).rstrip('/')}/bars-{uuid4().hex}"
+    readers.write_bars(tables.bars(spark, sf_dir).withColumn("close_raw", C("close")), path)
+    return tidy(readers.read_bars(spark, path, "1996-06-01", "1998-03-31"), ["symbol", "ts", "open", "high", "low", "close", "volume"])
+
+
 @query("normalised_bars", q.with_(q.BARS) + f"SELECT symbol, CAST(ts AS TIMESTAMP) AS ts, {rnd(['close', 'volume'])} FROM bars WHERE volume > 10")
 def normalised_bars(spark, sf_dir):
     raw = tables.bars(spark, sf_dir).withColumn("close", F.when(C("volume") > 10, C("close")))
@@ -313,10 +324,10 @@ def date_range(spark, sf_dir):
     return readers.date_range(tables.bars(spark, sf_dir), "1997-01-01", "1998-06-30").groupBy("symbol").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("session_hours", q.with_(q.TICKS) + """SELECT session, count(*) AS n FROM (SELECT CASE WHEN isodow(ts) < 6 AND strftime(ts, '%H:%M:%S') BETWEEN '09:15:00' AND '15:30:00' THEN 'open'
- WHEN strftime(ts, '%H:%M:%S') >= '09:00:00' AND strftime(ts, '%H:%M:%S') < '09:15:00' THEN 'pre_open' ELSE 'closed' END AS session FROM ticks) GROUP BY 1""")
+@query("session_hours", q.with_(q.TICKS) + """SELECT session, off_hours, count(*) AS n FROM (SELECT NOT (isodow(ts) < 6 AND strftime(ts, '%H:%M') BETWEEN '09:15' AND '15:35') AS off_hours, CASE WHEN isodow(ts) < 6 AND strftime(ts, '%H:%M:%S') BETWEEN '09:15:00' AND '15:30:00' THEN 'open'
+ WHEN strftime(ts, '%H:%M:%S') >= '09:00:00' AND strftime(ts, '%H:%M:%S') < '09:15:00' THEN 'pre_open' ELSE 'closed' END AS session FROM ticks) GROUP BY 1, 2""")
 def session_hours(spark, sf_dir):
-    return readers.session_state(tables.ticks(spark, sf_dir)).groupBy("session").agg(F.count(F.lit(1)).alias("n"))
+    return readers.session_state(tables.ticks(spark, sf_dir)).groupBy("session", "off_hours").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("safe_ratio", q.with_(q.BARS) + f"SELECT symbol, ts, {rnd([q.ratio('close', 'open - low') + ' AS close_ratio'])} FROM bars")
@@ -442,6 +453,26 @@ def article_caps(spark, sf_dir):
     return news.capped(tables.articles(spark, sf_dir), ["source"], 15).select("source", "doc_id")
 
 
+@query("source_map", NEWS + f""", parts AS (SELECT lang AS symbol, source, {q.near('avg(sentiment) * 50 + 50', 1)} AS score FROM wt GROUP BY 1, 2)
+ SELECT symbol, string_agg(source || '=' || CAST(CAST(score * 10 AS BIGINT) AS VARCHAR), ',' ORDER BY source) AS breakdown FROM parts GROUP BY 1""")
+def source_map(spark, sf_dir):
+    """Sources and their scores (in tenths) of each symbol."""
+    parts = news.source_map(weighted(spark, sf_dir), score=lambda c: near(c, 1))
+    entries = F.array_sort(F.map_entries("source_breakdown"))
+    return parts.select("symbol", F.array_join(F.transform(entries, lambda e: F.concat_ws("=", e["key"], F.round(e["value"] * 10).cast("long"))), ",").alias("breakdown"))
+
+
+@query("report_articles", NEWS + f""", newest AS (SELECT *, lang AS symbol FROM scores QUALIFY row_number() OVER (PARTITION BY lang ORDER BY published DESC, doc_id) <= 30)
+ SELECT symbol, doc_id, {rnd(['sentiment'])}, CAST(row_number() OVER (PARTITION BY symbol ORDER BY published DESC, doc_id) AS INTEGER) AS place FROM newest
+ QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY published DESC, doc_id) <= 8""")
+def report_articles(spark, sf_dir):
+    """The eight newest of the thirty articles per symbol that a report scores."""
+    named = news.prepared(tables.articles(spark, sf_dir)).withColumn("symbol", C("lang"))
+    shown = news.report(news.polarity(news.capped(named, ["symbol"], 30), lexicon(spark)))
+    return tidy(shown.select("symbol", F.posexplode("articles").alias("place", "a")).select(
+        "symbol", "a.doc_id", "a.sentiment", (C("place") + 1).cast("int").alias("place")))
+
+
 SECTORS = "keys AS (SELECT * FROM (VALUES " + ", ".join(f"('{s}', '{w}')" for s, ws in news.SECTOR_KEYWORDS.items() for w in ws) + ") t(sector, word))"
 
 

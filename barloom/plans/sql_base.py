@@ -294,12 +294,13 @@ SPAN = "nullif(high - low, 0)"
 CN = "CAST(3 AS DOUBLE)"
 
 # Market values of each bar: neutral, or the latest known at its date.
-NEUTRAL = """fm AS (SELECT ind.*, CAST(15 AS DOUBLE) AS vix, CAST(1 AS DOUBLE) AS pcr, CAST(50 AS DOUBLE) AS iv_rank_level, CAST(NULL AS DOUBLE) AS max_pain FROM ind)"""
+NEUTRAL = """fm AS (SELECT ind.*, CAST(15 AS DOUBLE) AS vix, CAST(1 AS DOUBLE) AS pcr, CAST(50 AS DOUBLE) AS iv_rank_level, CAST(NULL AS DOUBLE) AS max_pain, CAST(50 AS DOUBLE) AS sentiment FROM ind)"""
 MARKET = """lead1 AS (SELECT trade_date AS ts, pcr, max_pain, iv_rank FROM summary LEFT JOIN (SELECT trade_date AS td, symbol AS sy, iv_rank FROM ivr) ON td = trade_date AND sy = symbol WHERE symbol = 'Brand#1'),
-days0 AS (SELECT ts FROM bars UNION SELECT ts FROM vix UNION SELECT ts FROM lead1),
+level AS (SELECT DATE '2001-11-04' - CAST(doc_id AS INTEGER) AS ts, avg(CAST(n_chars % 101 AS DOUBLE)) AS sentiment FROM documents GROUP BY 1),
+days0 AS (SELECT ts FROM bars UNION SELECT ts FROM vix UNION SELECT ts FROM lead1 UNION SELECT ts FROM level),
 mkt AS MATERIALIZED (SELECT ts, last_value(v.vix IGNORE NULLS) OVER o AS vix, last_value(s.pcr IGNORE NULLS) OVER o AS pcr, last_value(s.max_pain IGNORE NULLS) OVER o AS max_pain,
- last_value(s.iv_rank IGNORE NULLS) OVER o AS iv_rank FROM days0 LEFT JOIN vix v USING (ts) LEFT JOIN lead1 s USING (ts) WINDOW o AS (ORDER BY ts ROWS UNBOUNDED PRECEDING)),
-fm AS (SELECT ind.*, coalesce(mkt.vix, 15) AS vix, coalesce(mkt.pcr, 1) AS pcr, coalesce(mkt.iv_rank, 50) AS iv_rank_level, mkt.max_pain FROM ind JOIN mkt USING (ts))"""
+ last_value(s.iv_rank IGNORE NULLS) OVER o AS iv_rank, last_value(l.sentiment IGNORE NULLS) OVER o AS sentiment FROM days0 LEFT JOIN vix v USING (ts) LEFT JOIN lead1 s USING (ts) LEFT JOIN level l USING (ts) WINDOW o AS (ORDER BY ts ROWS UNBOUNDED PRECEDING)),
+fm AS (SELECT ind.*, coalesce(mkt.vix, 15) AS vix, coalesce(mkt.pcr, 1) AS pcr, coalesce(mkt.iv_rank, 50) AS iv_rank_level, mkt.max_pain, coalesce(mkt.sentiment, 50) AS sentiment FROM ind JOIN mkt USING (ts))"""
 
 FEATURE = ",\n".join([
     f"""f0 AS (SELECT *, {lag('close', 1)} AS c1, {lag('close', 3)} AS c3, {lag('close', 10)} AS c10, {lag('close', 20)} AS c20,
@@ -311,7 +312,7 @@ FEATURE = ",\n".join([
  ln(greatest(close, CAST(1e-6 AS DOUBLE))) - ln(greatest({lag('close')}, CAST(1e-6 AS DOUBLE))) AS lr,
  {roll('min', 'low', 20, 10, 1)} AS lo20, {roll('max', 'high', 20, 10, 1)} AS hi20, coalesce((close - pc) * volume, 0) AS force,
  {div(roll('sum', 'close * volume', 12, 4), roll('sum', 'volume', 12, 4))} AS vw12, {div(roll('sum', 'close * volume', 26, 8), roll('sum', 'volume', 26, 8))} AS vw26,
- {lag('macd_hist')} AS mh1, {lag('rsi', 5)} AS rsi5, {roll('avg', 'pcr', 5)} AS pcr5, {lag('vix', 5)} AS vix5,
+ {lag('macd_hist')} AS mh1, {lag('rsi', 5)} AS rsi5, {roll('avg', 'pcr', 5)} AS pcr5, coalesce({roll('avg', 'sentiment', 5)}, 50) AS sent5, {lag('vix', 5)} AS vix5,
  {roll('avg', 'close', 60, 10)} AS zm, {roll('stddev_samp', 'close', 60, 10)} AS zs FROM fm)""",
     f"""f1 AS MATERIALIZED (SELECT *, {change('close', 'c1')} AS ret, abs(close - pc) AS ad, {clip(fill(div('open - pc', 'pc'), 0), -0.1, 0.1)} AS gap_pct,
  coalesce({div('close', 'm20')}, 1) AS cn, {div('close - low - (high - close)', 'high - low')} * zv AS mfv, lr + {lag('lr')} AS lr2,
@@ -342,7 +343,7 @@ FEATURE = ",\n".join([
  {clip(fill(change('sm7', 'sm7l'), 0), -0.3, 0.3)} AS sg_momentum_5d, {clip(fill(change('sm13', 'sm13l'), 0), -0.3, 0.3)} AS sg_momentum_10d,
  {clip('CASE WHEN abs(close) > 1e-8 THEN acc15 / close ELSE 0 END', -0.01, 0.01)} AS sg_accel,
  {fill('pcr5', 1)} AS pcr_5d, iv_rank_level / 100 AS iv_rank, {clip('(close - coalesce(max_pain, close)) / close', -0.1, 0.1)} AS max_pain_dist,
- CAST(0 AS DOUBLE) AS news_sentiment_1d, CAST(0 AS DOUBLE) AS news_sentiment_5d, CAST(0 AS DOUBLE) AS news_momentum,
+ (sentiment - 50) / 50 AS news_sentiment_1d, (sent5 - 50) / 50 AS news_sentiment_5d, (sentiment - sent5) / 50 AS news_momentum,
  (vix - 15) / 10 AS vix_level, {clip(fill(change('vix', 'vix5'), 0), -0.5, 0.5)} AS vix_change_5d, CAST({flag('adx > 25')} AS DOUBLE) AS regime_trending,
  {fill(pct_rank('vix', 'vixs', 60), 0.5)} AS vix_percentile, {clip(fill(div('tv', roll('avg', 'tv', 20, 5)), 1), 0, 20)} AS inst_participation,
  {clip(fill(div(roll('avg', 'am', 10, 3), quant('am', 0.5, 20, 5)), 1), 0, 10)} AS amihud_illiquidity, {fill(pct_rank('tv', 'tvs', 60), 0.5)} AS volume_clock,

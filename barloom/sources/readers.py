@@ -13,8 +13,14 @@ BARS = T.StructType([
     *[T.StructField(c, T.DoubleType()) for c in ("open", "high", "low", "close", "volume", "close_raw")]])
 
 
-def read_bars(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(BARS).parquet(path)
+def read_bars(spark: SparkSession, path: str, start: str | None = None, end: str | None = None) -> DataFrame:
+    """Bars between two dates (both included, either may be left out); folders of other years are not opened."""
+    df = spark.read.schema(T.StructType([*BARS.fields, T.StructField("year", T.IntegerType())])).parquet(path)
+    if start is not None:
+        df = df.filter((C("year") >= F.year(F.lit(start).cast("date"))) & (C("ts") >= F.lit(start).cast("date")))
+    if end is not None:
+        df = df.filter((C("year") <= F.year(F.lit(end).cast("date"))) & (C("ts") <= F.lit(end).cast("date")))
+    return df.drop("year")
 
 
 def write_bars(bars: DataFrame, path: str, mode: str = "overwrite") -> None:
@@ -27,7 +33,7 @@ def normalise_bars(raw: DataFrame, zone: str | None = None) -> DataFrame:
     """Keep the bar columns, drop the zone of the time, drop rows without a close."""
     ts = C("ts") if zone is None else F.from_utc_timestamp(C("ts"), zone)
     keep = [c for c in ("open", "high", "low", "close", "volume") if c in raw.columns]
-    return raw.select("symbol", F.to_timestamp_ntz(ts.cast("string")).alias("ts"),
+    return raw.select("symbol", ts.cast("timestamp_ntz").alias("ts"),
                       *[C(c).cast("double") for c in keep]).na.drop(subset=["close"])
 
 
@@ -48,12 +54,16 @@ def date_range(df: DataFrame, start: str, end: str) -> DataFrame:
     return df.filter(C("ts").between(F.lit(start).cast("date"), F.lit(end).cast("date")))
 
 
+TASK_HOURS = ("09:15", "15:35")  # fixed values: when scheduled tasks run
+
+
 def session_state(df: DataFrame, ts: str = "ts") -> DataFrame:
-    """pre_open, open or closed by weekday and local time; `off_hours` by the wider task guard."""
+    """pre_open, open or closed by weekday and local time; `off_hours` where scheduled tasks rest."""
     day, clock = F.weekday(ts) < 5, F.date_format(ts, "HH:mm:ss")
     state = (F.when(day & (clock >= "09:15:00") & (clock <= "15:30:00"), "open")
              .when((clock >= "09:00:00") & (clock < "09:15:00"), "pre_open").otherwise("closed"))
-    return df.withColumn("session", state)
+    minute = F.date_format(ts, "HH:mm")
+    return df.withColumns({"session": state, "off_hours": ~(day & (minute >= TASK_HOURS[0]) & (minute <= TASK_HOURS[1]))})
 
 
 # --- option contracts -------------------------------------------------------------------
@@ -112,8 +122,8 @@ def missing_days(stored: DataFrame, start: str, end: str, date: str = "trade_dat
 
 
 def append_days(new: DataFrame, path: str, date: str = "trade_date") -> None:
-    """Write or replace only the dates in `new`."""
-    (new.repartition(date).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    """Write or replace only the dates in `new`; rows of one date come from as many tasks as their size asks for."""
+    (new.hint("rebalance", date).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .partitionBy(date).parquet(path))
 
 

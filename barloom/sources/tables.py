@@ -69,6 +69,12 @@ def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.expr("TIMESTAMP'2024-01-31 00:00:00' - make_dt_interval(0, CAST(doc_id AS INT))").alias("published"))
 
 
+def sentiment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A daily news level from 0 to 100: a document a day, the first the newest."""
+    day = F.date_sub(F.lit("2001-11-04").cast("date"), F.col("doc_id").cast("int"))
+    return table(spark, sf_dir, "documents").groupBy(day.alias("ts")).agg(F.avg(F.pmod("n_chars", F.lit(101)).cast("double")).alias("sentiment"))
+
+
 def fills(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders read as closed trades of one account."""
     k = F.col("o_orderkey")

@@ -167,9 +167,22 @@ def option_greeks(spark, sf_dir):
     return options.greeks(priced(spark, sf_dir)).select(*OPTION_KEY, *GREEKS)
 
 
-@query("implied_volatility", None)
+def _worth(v: str) -> str:
+    """Price of an option at a volatility, as SQL over the columns of pz."""
+    d1 = f"((ln(spot / strike) + (r + ({v}) * ({v}) * 0.5) * t) / (({v}) * sqrt(t)))"
+    call = f"(spot * ({cdf(d1)}) - strike * exp(-r * t) * ({cdf(f'{d1} - ({v}) * sqrt(t)')}))"
+    return f"greatest(CAST(0 AS DOUBLE), CASE WHEN option_type = 'CE' THEN {call} ELSE {call} - spot + strike * exp(-r * t) END)"
+
+
+BISECTION = f"""bs AS (SELECT *, CAST(1e-6 AS DOUBLE) AS lo, CAST(10 AS DOUBLE) AS hi, 0 AS k FROM pz UNION ALL SELECT * EXCLUDE (lo, hi, k, w), CASE WHEN w < market_price THEN (lo + hi) / 2 ELSE lo END,
+ CASE WHEN w < market_price THEN hi ELSE (lo + hi) / 2 END, k + 1 FROM (SELECT *, {_worth('(lo + hi) / 2')} AS w FROM bs WHERE k < 60))"""
+
+
+@query("implied_volatility", q.with_(q.CONTRACTS, q.OPTIONS, PRICED, BISECTION) + f"""SELECT trade_date, symbol, strike, option_type, {rnd(['CASE WHEN able THEN round((lo + hi) / 2, 4) ELSE 0 END AS iv'], 3)} FROM (SELECT *,
+ market_price > 0 AND market_price >= greatest(0, CASE WHEN option_type = 'CE' THEN spot - strike ELSE strike - spot END) AND {_worth('CAST(10 AS DOUBLE)')} >= market_price
+ AND {_worth('CAST(1e-6 AS DOUBLE)')} <= market_price AS able FROM bs WHERE k = 60)""")
 def implied_volatility(spark, sf_dir):
-    return tidy(options.implied_vol(priced(spark, sf_dir)), [*OPTION_KEY, "iv"])
+    return tidy(options.implied_vol(priced(spark, sf_dir)), [*OPTION_KEY, "iv"], 3)
 
 
 @query("pcr_trend", OPT + f"""SELECT symbol, {rnd(['current', 'start', 'round((current - start) / n, 4) AS slope'])}, n AS n_samples,

@@ -458,26 +458,31 @@ def training_table(spark, sf_dir):
 @query("walk_forward_auc")
 def walk_forward_auc(spark, sf_dir):
     """AUC and accuracy of the forest per fold, from out-of-fold predictions."""
-    oof = models.out_of_fold(training_table(spark, sf_dir), INPUTS, k=2, cfg=SMALL)
+    oof = models.out_of_fold(training_table(spark, sf_dir), INPUTS, k=4, cfg=SMALL)
     return models.auc(oof, "forest_prob", by=("fold",))
 
 
 @query("stacked_ensemble")
 def stacked_ensemble(spark, sf_dir):
-    """Meta-learner over out-of-fold members, scored on its own rows, with its summary."""
-    oof = models.out_of_fold(training_table(spark, sf_dir), INPUTS, k=2, cfg=SMALL).persist()
-    return models.auc(models.stacked(models.stack(oof), oof))
+    """Meta-learner over the out-of-fold members of the earlier folds, scored on the last fold."""
+    oof = models.out_of_fold(training_table(spark, sf_dir), INPUTS, k=4, cfg=SMALL)
+    return models.auc(models.stacked(models.stack(oof.filter("fold < 3")), oof.filter("fold = 3")))
 
 
 @query("feature_importance")
 def feature_importance(spark, sf_dir):
-    return models.importances(models.fit(training_table(spark, sf_dir), INPUTS, SMALL), INPUTS)
+    return models.importances(models.fit(split_table(spark, sf_dir).filter("part = 'train'"), INPUTS, SMALL), INPUTS)
 
 
 @query("target_regression")
 def target_regression(spark, sf_dir):
-    df = training_table(spark, sf_dir)
-    return models.target_correlation(models.fit_target(df, INPUTS, SMALL).transform(df))
+    """Fitted on the first 70 % of the panel, correlated on the untouched last 15 %."""
+    df = split_table(spark, sf_dir)
+    return models.target_correlation(models.fit_target(df.filter("part = 'train'"), INPUTS, SMALL).transform(df.filter("part = 'test'")))
+
+
+def split_table(spark, sf_dir):
+    return datasets.chronological_split(training_table(spark, sf_dir))
 
 
 AUC_SQL = f"""sv AS (SELECT symbol, {PROB_SQL} AS p, CAST(close > open AS INTEGER) AS label FROM bars),

@@ -69,6 +69,13 @@ def trade_stats(trades: DataFrame, years: float = 1.0) -> DataFrame:
     return out.withColumn("reward_risk", fill(F.abs(div("avg_win_pct", "avg_loss_pct")), 0))
 
 
+def trades_by_regime(trades: DataFrame, regimes: DataFrame) -> DataFrame:
+    """Trades, net result and wins by the market regime of their date; dates without one count as unknown."""
+    out = trades.join(regimes.select("ts", "market_regime"), "ts", "left")
+    return out.groupBy(F.coalesce("market_regime", F.lit("unknown")).alias("regime")).agg(
+        F.count(F.lit(1)).alias("trades"), F.sum("net_pnl").alias("net_pnl"), F.count_if(C("net_pnl") > 0).alias("wins"))
+
+
 def by_regime(trades: DataFrame, regime: str = "market_regime") -> DataFrame:
     return trades.groupBy(C(regime).alias("regime")).agg(F.count(F.lit(1)).alias("n"))
 

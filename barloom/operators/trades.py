@@ -142,12 +142,6 @@ def pnl(trades: DataFrame, plan: str = "delivery") -> DataFrame:
     return out.withColumn("net_pnl", C("gross_pnl") - C("charges"))
 
 
-def latest_quote(quotes: DataFrame) -> DataFrame:
-    """Last price per symbol by a combined aggregate."""
-    return quotes.groupBy("symbol").agg(
-        F.max_by("price", F.struct("ts", "event_id")).alias("price"), F.max("ts").alias("ts"))
-
-
 def not_held(candidates: DataFrame, held: DataFrame) -> DataFrame:
     return candidates.join(held, "symbol", "left_anti")
 

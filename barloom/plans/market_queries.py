@@ -46,6 +46,12 @@ def atm_strike(spark, sf_dir):
     return tidy(options.atm_iv(options.atm(strikes(spark, sf_dir))), ["trade_date", "symbol", "atm_strike", "atm_iv"])
 
 
+@query("rounded_spot", q.with_(q.TICKS) + """SELECT event_id, CAST(CASE WHEN abs(price / 5 - floor(price / 5) - 0.5) < 1e-12 THEN 2 * round(price / 10) ELSE round(price / 5) END * 5 AS DOUBLE) AS strike FROM ticks""")
+def rounded_spot(spark, sf_dir):
+    """The strike next to a live spot, halves to the even multiple."""
+    return tables.ticks(spark, sf_dir).select("event_id", options.rounded_spot(C("price"), 5.0).alias("strike"))
+
+
 PAIN = OPT + f"SELECT trade_date, symbol, max_pain, {rnd(['pain'])} FROM mp"
 
 

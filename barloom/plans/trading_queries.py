@@ -493,5 +493,24 @@ rk AS (SELECT *, rank() OVER (PARTITION BY symbol ORDER BY p) + (count(*) OVER (
  (SELECT *, count(*) FILTER (label = 1) OVER (PARTITION BY symbol) AS pos, count(*) FILTER (label = 0) OVER (PARTITION BY symbol) AS neg,
  avg(CAST((p >= 0.5) = (label = 1) AS INTEGER)) OVER (PARTITION BY symbol) AS acc, count(*) OVER (PARTITION BY symbol) AS n FROM rk) GROUP BY symbol, pos, neg, acc, n""")
 def rank_sum_auc(spark, sf_dir):
+    return tidy(rank_sum_auc_rows(spark, sf_dir))
+
+
+def rank_sum_auc_rows(spark, sf_dir):
     df = tables.bars(spark, sf_dir).select("symbol", prob().alias("prob"), (C("close") > C("open")).cast("int").alias("label"))
-    return tidy(models.auc(df, by=("symbol",)))
+    return models.auc(df, by=("symbol",))
+
+
+@query("auc_summary", q.with_(q.BARS, AUC_SQL) + f"""SELECT {rnd(['avg(auc) AS mean_auc', 'stddev_pop(auc) AS spread'], 6)} FROM
+ (SELECT (sum(r) FILTER (label = 1) - pos * (pos + 1) / 2) / (pos * neg) AS auc FROM (SELECT *, count(*) FILTER (label = 1) OVER (PARTITION BY symbol) AS pos,
+ count(*) FILTER (label = 0) OVER (PARTITION BY symbol) AS neg FROM rk) GROUP BY symbol, pos, neg)""")
+def auc_summary(spark, sf_dir):
+    """Mean and spread of the AUC over groups."""
+    return tidy(models.fold_summary(rank_sum_auc_rows(spark, sf_dir)), digits=6)
+
+
+@query("trades_by_regime", q.with_(q.BARS, q.VIX, q.IND, DAILY, q.FILLS, CLOSED) + f"""SELECT coalesce(market_regime, 'unknown') AS regime, count(*) AS trades, {rnd(['sum(net_pnl) AS net_pnl'], 2)},
+ count(*) FILTER (net_pnl > 0) AS wins FROM closed LEFT JOIN dreg USING (ts) GROUP BY 1""")
+def trades_by_regime(spark, sf_dir):
+    reg = scoring.daily_regime(ind.adx(tables.bars(spark, sf_dir)), tables.vix(spark, sf_dir))
+    return tidy(performance.trades_by_regime(priced_trades(spark, sf_dir), reg), digits=2)

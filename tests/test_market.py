@@ -147,3 +147,51 @@ def test_fractions_of_an_hour(spark):
     rows = spark.createDataFrame([(1, "2024-01-30 23:20:00")], "doc_id long, at string").withColumn("published", F.to_timestamp("at"))
     assert news.recent(rows, "2024-01-31 00:00:00", 0.9).count() == 1
     assert news.recent(rows, "2024-01-31 00:00:00", 0.5).count() == 0
+
+
+def test_relevance_is_what_mentions_find(spark):
+    """The predicate on all pairs of a small table against the join."""
+    texts = ["Infosys rose", "the infoline", "withltd", "forum", "nothing", "shares of FOR", ""]
+    names = ["INFOSYSLTD", "withIND", "FOR", "zzz"]
+    articles = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    symbols = spark.createDataFrame([(n,) for n in names], "symbol string")
+    pairs = articles.crossJoin(symbols).filter(news.is_relevant(F.col("text"), F.col("symbol"))).select("doc_id", "symbol")
+    assert sorted(map(tuple, news.mentions(articles, symbols).collect())) == sorted(map(tuple, pairs.collect()))
+
+
+def test_files(spark, tmp_path):
+    """Bars by year with pruned folders, days that replace themselves, reports and models read back."""
+    days = [datetime.date(y, 6, d) for y in (2019, 2020, 2021) for d in (1, 2)]
+    bars = spark.createDataFrame([("A", d, 1.0, 2.0, 0.5, 1.5, 10.0, 1.5) for d in days], readers.BARS)
+    readers.write_bars(bars, str(tmp_path / "bars"))
+    some = readers.read_bars(spark, str(tmp_path / "bars"), "2020-01-01", "2020-06-01")
+    assert [r.ts for r in some.collect()] == [datetime.date(2020, 6, 1)]
+    plan = some._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(year" in plan
+    daily = spark.createDataFrame([(d, i) for i, d in enumerate(days)], "trade_date date, n int")
+    readers.append_days(daily, str(tmp_path / "days"))
+    readers.append_days(daily.limit(1).withColumn("n", F.lit(99)), str(tmp_path / "days"))
+    assert sorted(r.n for r in spark.read.parquet(str(tmp_path / "days")).collect()) == [1, 2, 3, 4, 5, 99]
+    readers.write_report(str(tmp_path / "report"), daily, daily, daily, daily)
+    assert spark.read.parquet(str(tmp_path / "report" / "summary")).count() == 6
+    rows = spark.createDataFrame([(float(i % 7), float(i % 3), int(i % 7 > 3)) for i in range(60)], "a double, b double, label int")
+    model = models.fit(rows, ["a", "b"], models.ModelConfig(trees=3, depth=2, rounds=2, boost_depth=2))
+    models.save(model, str(tmp_path / "model"))
+    one, two = (models.score(m, rows).select("forest_prob", "boost_prob").collect() for m in (model, models.load(str(tmp_path / "model"))))
+    assert one == two
+
+
+def test_candles_of_a_stream_with_late_and_repeated_ticks(spark, tmp_path):
+    """Append mode: candles come out once the watermark has passed; later ticks are dropped."""
+    def put(name, rows):
+        df = spark.createDataFrame([("A", t, p, 1.0, e) for t, p, e in rows], "symbol string, at string, price double, volume double, event_id long")
+        df.select("symbol", F.to_timestamp("at").alias("ts"), "price", "volume", "event_id").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        q = (feeds.candles(spark.readStream.schema("symbol string, ts timestamp, price double, volume double, event_id long").parquet(str(tmp_path / "in")))
+             .writeStream.outputMode("append").format("parquet").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start(str(tmp_path / "out")))
+        q.awaitTermination(120)
+        return name
+
+    put("first", [("2024-01-01 10:00:10", 5.0, 1), ("2024-01-01 10:00:50", 7.0, 2), ("2024-01-01 10:00:50", 7.0, 2), ("2024-01-01 10:09:00", 9.0, 3)])
+    put("late", [("2024-01-01 10:00:20", 1.0, 4), ("2024-01-01 10:20:00", 4.0, 5)])
+    got = sorted((str(r.ts), r.open, r.close, r.low, r.volume) for r in spark.read.parquet(str(tmp_path / "out")).collect())
+    assert got == [("2024-01-01 10:00:00", 5.0, 7.0, 5.0, 3.0), ("2024-01-01 10:09:00", 9.0, 9.0, 9.0, 1.0)]

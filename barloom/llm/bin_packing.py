@@ -19,10 +19,10 @@ from functools import cache
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from barloom.llm.common import cut, per_row, spread, texts
+from barloom.llm.common import cut, per_row, texts
 
 CACHE = 400_000  # distinct words a worker remembers; then it forgets all and goes on
-BUCKET = 100_000  # pieces of one length in a bucket
+BUCKET = 1000  # pieces of one length in a bucket
 TAIL = b".,!?*#$%&|;:"  # marks that the pattern always splits from the letters before them
 
 
@@ -154,8 +154,9 @@ def pack(parts: DataFrame, capacity: int = 2048) -> DataFrame:
     counts = {r["length"]: r["count"] for r in parts.groupBy("length").count().collect()}  # at most `capacity` rows
     schema = "length long, slots array<struct<first: long, past: long, each: long, sequence: long, offset: long>>"
     places = spark.createDataFrame(slots(counts, capacity), schema)
-    buckets = max(1, -(-max(counts.values(), default=1) // BUCKET))
-    salted = parts.withColumn("_bucket", spread(F.struct("doc_id", "piece"), buckets))
+    salts = spark.createDataFrame([(n, -(-c // BUCKET)) for n, c in counts.items()], "length long, _salts long")
+    salted = (parts.join(F.broadcast(salts), "length")  # at most `capacity` rows
+              .withColumn("_bucket", F.pmod(F.xxhash64("doc_id", "piece"), "_salts")).drop("_salts"))
     before = Window.partitionBy("length").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = (salted.groupBy("length", "_bucket").count()
               .select("length", "_bucket", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_before")))

@@ -18,7 +18,9 @@ from pyspark.sql import DataFrame
 
 from barloom.llm.common import per_row, texts
 
-WORD = 64  # bits of a word of the lower level
+SHIFT = 6  # a word of the lower level has 64 bits
+MASK = (1 << SHIFT) - 1
+SHORT = 64  # characters of the longest pre-token that is remembered
 CACHE = 250_000  # distinct short pre-tokens a worker remembers, and as many older ones
 
 
@@ -50,13 +52,13 @@ class ByteBpe:
                     buckets[rank].append(i)
                 else:
                     buckets[rank] = [i]
-                    word = rank // WORD
-                    words[word] = words.get(word, 0) | 1 << rank % WORD
+                    word = rank >> SHIFT
+                    words[word] = words.get(word, 0) | 1 << (rank & MASK)
                     top |= 1 << word
         while top:
             word = (top & -top).bit_length() - 1
             bits = words[word]
-            rank = word * WORD + (bits & -bits).bit_length() - 1
+            rank = (word << SHIFT) + (bits & -bits).bit_length() - 1
             bucket = buckets[rank]
             i = heappop(bucket)
             if not bucket:
@@ -70,21 +72,27 @@ class ByteBpe:
             end = after[gone]
             after[i] = end
             paired[gone] = paired[i] = None
-            changed = []
             if end < n:
                 before[end] = i
-                changed.append((i, after[end]))
+                rank = paired[i] = rank_of(piece[i:after[end]])
+                if rank is not None:
+                    if rank in buckets:
+                        heappush(buckets[rank], i)
+                    else:
+                        buckets[rank] = [i]
+                        word = rank >> SHIFT
+                        words[word] = words.get(word, 0) | 1 << (rank & MASK)
+                        top |= 1 << word
             if i:
-                changed.append((before[i], end))
-            for left, past in changed:
-                rank = paired[left] = rank_of(piece[left:past])
+                i = before[i]
+                rank = paired[i] = rank_of(piece[i:end])
                 if rank is not None:
                     if rank in buckets:
-                        heappush(buckets[rank], left)
+                        heappush(buckets[rank], i)
                     else:
-                        buckets[rank] = [left]
-                        word = rank // WORD
-                        words[word] = words.get(word, 0) | 1 << rank % WORD
+                        buckets[rank] = [i]
+                        word = rank >> SHIFT
+                        words[word] = words.get(word, 0) | 1 << (rank & MASK)
                         top |= 1 << word
         ids, i = [], 0
         while i < n:
@@ -110,18 +118,17 @@ class TextCodec:
         if found is None:
             ids = self.bpe.encode(piece.encode())
             found = len(ids), ",".join(map(str, ids)), self.bpe.decode(ids)
-        if len(piece) <= WORD:
+        if len(piece) <= SHORT:
             if len(self.young) >= CACHE:
-                self.old, self.young = self.young, {}
+                self.old = dict(self.young)
+                self.young.clear()
             self.young[piece] = found
         return found
 
     def pieces(self, text: str) -> list[tuple[int, str, bytes]]:
         """(number of ids, ids as decimal text, decoded bytes) of each pre-token."""
-        out = []
-        for piece in self.split(text):
-            out.append(self.young.get(piece) or self.learn(piece))
-        return out
+        known, learn = self.young.get, self.learn
+        return [known(piece) or learn(piece) for piece in self.split(text)]
 
     def encode(self, text: str) -> list[int]:
         return [i for piece in self.split(text) for i in self.bpe.encode(piece.encode())]
@@ -149,9 +156,10 @@ def round_trip(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
                 parts = codec.pieces(row["text"])
                 for at in range(0, len(parts), 4096):
                     some = parts[at:at + 4096]
-                    n += sum(p[0] for p in some)
-                    ids.update(("" if first else ",").encode() + ",".join([p[1] for p in some]).encode())
-                    decoded.update(b"".join([p[2] for p in some]))
+                    sizes, listed, spelled = zip(*some, strict=True)
+                    n += sum(sizes)
+                    ids.update(("" if first else ",").encode() + ",".join(listed).encode())
+                    decoded.update(b"".join(spelled))
                     first = False
                 out.append({"doc_id": row["doc_id"], "n_tokens": n, "ids_sha256": ids.hexdigest(), "decoded_sha256": decoded.hexdigest()})
             return out

@@ -2,8 +2,8 @@
 
 Every text is scanned for base secrets and for further candidates (known token formats and
 long mixed strings). Values are hashed and counted by distinct owners and repositories over
-the corpus: a value that many owners share is a copied example, one that stays with an owner
-or two looks live. Live candidates are added to the base spans, which always stay.
+the corpus: a value that many owners share, or many documents of one, is a copied example; one
+that stays in a few documents of an owner or two looks live. Live candidates are added to the base spans, which always stay.
 """
 
 from __future__ import annotations
@@ -70,7 +70,7 @@ def candidates(text: str, base: list[tuple[int, int, int, str]]) -> list[tuple[i
 def scanned(docs: DataFrame, owner: str = "source") -> DataFrame:
     """row (unique), doc_id, text_hash, owner, base and extra spans of each row of `docs`."""
     rows = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"), F.xxhash64("text").alias("text_hash"),
-                       F.coalesce(F.col(owner).cast("string"), F.lit("")).alias("owner"))
+                       F.col(owner).cast("string").alias("owner"))
 
     def make():
         from pyspark import TaskContext
@@ -89,20 +89,24 @@ def scanned(docs: DataFrame, owner: str = "source") -> DataFrame:
     return per_row(rows, make, f"row long, doc_id long, text_hash long, owner string, base array<{SPAN}>, extra array<{SPAN}>")
 
 
-def secrets(docs: DataFrame, owner: str = "source", most_owners: int = 2) -> DataFrame:
+def secrets(docs: DataFrame, owner: str = "source", most_owners: int = 2, most_repositories: int = 20) -> DataFrame:
     """doc_id, text_hash, base spans, added (live) spans, n_live and n_copied of each row.
 
-    The owner of a document is its `owner` column (null: one owner of its own), its repository
-    the document itself. A value held by more than `most_owners` owners is a copied example.
+    The owner of a document is its `owner` column (null: the document is its own owner), its
+    repository the document itself (without an id: the row). A value held by more than
+    `most_owners` owners is a copied example, and so is one in more than `most_repositories`
+    documents, within one owner too.
     A null text has no spans; repeated rows give repeated rows; a null doc_id stays null; other
     columns are ignored.
     """
     rows = cut(scanned(docs, owner))
-    values = rows.select("row", "doc_id", "owner", F.explode(F.concat("base", "extra")).alias("span"))
-    spread_of = (values.groupBy(F.col("span.hash").alias("hash"), "owner", "doc_id").agg(F.count(F.lit(1)).alias("uses"))
+    document = F.struct("doc_id", F.when(F.col("doc_id").isNull(), F.col("row")).alias("row"))
+    own = F.struct("owner", F.when(F.col("owner").isNull(), document).alias("document"))
+    values = rows.select("row", document.alias("repository"), own.alias("owner"), F.explode(F.concat("base", "extra")).alias("span"))
+    spread_of = (values.groupBy(F.col("span.hash").alias("hash"), "owner", "repository").agg(F.count(F.lit(1)).alias("uses"))
                  .groupBy("hash", "owner").agg(F.count(F.lit(1)).alias("repositories"))
                  .groupBy("hash").agg(F.count(F.lit(1)).alias("owners"), F.sum("repositories").alias("repositories")))
-    live = F.col("owners") <= most_owners
+    live = (F.col("owners") <= most_owners) & (F.col("repositories") <= most_repositories)
     verdicts = (values.withColumn("hash", F.col("span.hash")).join(cut(spread_of), "hash")
                 .groupBy("row").agg(F.sort_array(F.collect_list(F.when(live & (F.col("span.kind") == len(KINDS) - 1), F.col("span")))).alias("added"),
                                     F.sum(live.cast("long")).alias("n_live"), F.sum((~live).cast("long")).alias("n_copied")))

@@ -2,8 +2,8 @@
 
 Fixed rules come first. Other urls are judged by the template of their path: segments with
 digits are generalised by their shape; then, level by level under each host, children of a
-branch with many rare children become a wildcard, and so do those whose share of bad labelled
-pages does not differ from their siblings' (two-proportion test). A template is blocked when
+branch with many rare children become a wildcard, and so do others, unless their share of bad
+labelled pages differs from their siblings' (two-proportion test). A template is blocked when
 its share of bad labelled pages, smoothed towards the overall one, is high enough. The tree
 works on one row per host and path shape, not on pages, and every count is aggregated before
 it is joined.
@@ -63,24 +63,27 @@ def starred(shapes: DataFrame, level: int, chosen: DataFrame) -> DataFrame:
     return marked.withColumn("segments", segments.otherwise(F.col("segments"))).select(shapes.columns)
 
 
-def variables(shapes: DataFrame, level: int) -> DataFrame:
-    """Branches that are one of many rare children."""
+def family(shapes: DataFrame, level: int) -> DataFrame:
+    """Branches of a level with counts of all children of their parent, and whether their share of bad pages differs from their siblings'."""
     by = branches(shapes, level)
-    total = by.groupBy("host", "parent").agg(F.count(F.lit(1)).alias("children"), F.sum("pages").alias("all"))
-    return (by.join(total, ["host", "parent"])
-            .filter((F.col("children") > FANOUT) & (F.col("pages") * FANOUT < F.col("all"))).select("host", "parent", "child"))
-
-
-def alike(shapes: DataFrame, level: int) -> DataFrame:
-    """Branches whose share of bad pages does not differ from that of their siblings together."""
-    by = branches(shapes, level)
-    total = by.groupBy("host", "parent").agg(F.count(F.lit(1)).alias("children"), F.sum("labelled").alias("all"), F.sum("bad").alias("all_bad"))
+    total = by.groupBy("host", "parent").agg(F.count(F.lit(1)).alias("children"), F.sum("pages").alias("all_pages"),
+                                             F.sum("labelled").alias("all"), F.sum("bad").alias("all_bad"))
     n, rest = F.col("labelled"), F.col("all") - F.col("labelled")
     share = F.col("all_bad") / F.col("all")
     gap = F.col("bad") / n - (F.col("all_bad") - F.col("bad")) / rest
     differs = (n > 0) & (rest > 0) & (F.abs(gap) >= DIFFERS * F.sqrt(share * (1 - share) * (1 / n + 1 / rest))) & (gap != 0)
-    return (by.join(total, ["host", "parent"]).filter((F.col("children") > 1) & ~F.coalesce(differs, F.lit(False)))
-            .select("host", "parent", "child"))
+    return by.join(total, ["host", "parent"]).withColumn("differs", F.coalesce(differs, F.lit(False)))
+
+
+def variables(shapes: DataFrame, level: int) -> DataFrame:
+    """Branches that are one of many rare children, but for those whose labels differ from their siblings'."""
+    rare = (F.col("children") > FANOUT) & (F.col("pages") * FANOUT < F.col("all_pages"))
+    return family(shapes, level).filter(rare & ~F.col("differs")).select("host", "parent", "child")
+
+
+def alike(shapes: DataFrame, level: int) -> DataFrame:
+    """Branches whose share of bad pages does not differ from that of their siblings together."""
+    return family(shapes, level).filter((F.col("children") > 1) & ~F.col("differs")).select("host", "parent", "child")
 
 
 def templates(judged: DataFrame) -> DataFrame:

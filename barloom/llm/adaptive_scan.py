@@ -102,15 +102,16 @@ class ColumnBlocks:
         self.blocks = [np.ascontiguousarray(y[:, a:b]) for a, b in zip(self.edges, self.edges[1:], strict=False)]
         self.seen = list(np.cumsum([(b**2).sum(1) for b in self.blocks], axis=0))  # squared length in the first blocks
 
-    def search(self, queries: np.ndarray, own: np.ndarray, least: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def search(self, queries: np.ndarray, own: np.ndarray, least: np.ndarray, k: int, unique: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(query, row, score) of the candidates that survive for a few queries at a time, with all that reach `least`.
 
-        `own` masks out a query's own row; `least` is a lower bound of its k-th best score.
+        `own` masks out a query's own row; `least` is a lower bound of its k-th best score. It is
+        raised by k rows of the group only if these are `unique`, k different ids.
         """
         turned = queries @ self.turn
         lengths = (turned**2).sum(1)
         dots = turned[:, :self.edges[1]] @ self.blocks[0].T
-        if len(self.x) > 2 * k:  # k exact scores of likely ones: the k-th best is no worse than their least
+        if unique and len(self.x) > 2 * k:  # k exact scores of likely ones: the k-th best is no worse than their least
             likely = np.argpartition(np.where(own, np.inf, -dots), k - 1, axis=1)[:, :k]
             scores = np.where(np.take_along_axis(own, likely, 1), -np.inf, np.einsum("qkd,qd->qk", self.x[likely], queries))
             least = np.maximum(least, scores.min(1) - SLACK)
@@ -136,10 +137,16 @@ def scan(queries: pd.DataFrame, vectors: pd.DataFrame, k: int) -> pd.DataFrame:
     found: list[pd.DataFrame] = []
     if len(queries) and len(vectors):
         ids, blocks = vectors["vec_id"].to_numpy(), ColumnBlocks(matrix(vectors["v"]))
+        unique = len(np.unique(ids)) == len(ids)
         for at in range(0, len(queries), 32):
             some = queries.iloc[at:at + 32]
             asked = some["query_id"].to_numpy()
-            q, row, score = blocks.search(matrix(some["v"]), asked[:, None] == ids[None, :], some["least"].to_numpy(), k)
+            q, row, score = blocks.search(matrix(some["v"]), asked[:, None] == ids[None, :], some["least"].to_numpy(), k, unique)
+            if not unique:  # the best vector of each id
+                order = np.lexsort((-score, ids[row], q))
+                q, row, score = q[order], row[order], score[order]
+                first = np.concatenate([[True], (q[1:] != q[:-1]) | (ids[row[1:]] != ids[row[:-1]])])[:len(q)]
+                q, row, score = q[first], row[first], score[first]
             best = np.lexsort((ids[row], -score, q))
             q, row, score = q[best], row[best], score[best]
             keep = np.arange(len(q)) - np.searchsorted(q, q) < k
@@ -154,7 +161,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, target: float =
 
     Both inputs have vec_id and embedding. Vectors without id, unusable ones (see `usable`)
     and those of another dimension than most take no part. Rows repeated under one id count
-    once; a query is never its own answer. With fewer than k candidates all are returned;
+    once, of different vectors under one id the best; a query is never its own answer. With fewer than k candidates all are returned;
     without usable vectors nothing is.
     """
     spark = vectors.sparkSession
@@ -170,23 +177,24 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, target: float =
     base, asked = (df.filter(F.size("v") == sizes["d"]) for df in (base, clean(queries, "query_id")))
     rows = base.select("vec_id", "v").sample(min(1.0, 1.2 * FIT / sizes["count"]), seed=3).limit(FIT).collect()
     rows = rows or base.limit(FIT).collect()
-    lists = Lists(np.array([r["v"] for r in sorted(rows, key=lambda r: r["vec_id"])], np.float64), sizes["count"], k, target)
+    rows = sorted({(r["vec_id"], tuple(r["v"])) for r in rows})
+    lists = Lists(np.array([v for _, v in rows], np.float64), sizes["count"], k, target)
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             yield b.assign(list=lists.home(matrix(b["v"])) if len(b) else pd.Series([], dtype="int64"))
 
-    placed = cut(base.mapInPandas(place, "vec_id long, v array<float>, list long"))
+    placed = cut(base.dropDuplicates(["vec_id", "v"]).mapInPandas(place, "vec_id long, v array<float>, list long"))
     n = len(lists.centroids)
-    held = np.zeros(n, np.int64)
-    for r in placed.groupBy("list").count().collect():  # at most LISTS rows
-        held[r["list"]] = r["count"]
+    held, ids = np.zeros((2, n), np.int64)
+    for r in placed.groupBy("list", "vec_id").count().groupBy("list").agg(F.sum("count").alias("rows"), F.count(F.lit(1)).alias("ids")).collect():  # at most LISTS rows
+        held[r["list"]], ids[r["list"]] = r["rows"], r["ids"]
 
     def probe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for at in range(0, len(b), 256):
                 some = b.iloc[at:at + 256]
-                who, where, turn = lists.probed(matrix(some["v"]), held, k)
+                who, where, turn = lists.probed(matrix(some["v"]), ids, k)
                 yield some.iloc[who].assign(list=where, turn=turn)
 
     probed = asked.mapInPandas(probe, "query_id long, v array<float>, list long, turn int")

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import public_tokenizers as tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barloom.llm import (
@@ -50,9 +50,14 @@ def op5_bin_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bin_packing.packed(table(spark, sf_dir, "documents"), tokenizers.path("word_bpe_49k.json"))
 
 
+def spans_of(kind: int) -> Column:
+    """Number of base spans of a kind."""
+    return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long")
+
+
 def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = weak_pii.personal_data(table(spark, sf_dir, "documents"))
-    counts = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{weak_pii.KINDS[k]}") for k in range(4)]
+    counts = [spans_of(k).alias(f"n_{weak_pii.KINDS[k]}") for k in range(4)]
     return found.select("doc_id", *counts, F.sha2(weak_pii.listed(F.col("base")), 256).alias("base_sha256"),
                         weak_pii.listed(F.concat("base", "added")).alias("spans"))
 
@@ -67,7 +72,7 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_secret_owners(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secret_owners.secrets(table(spark, sf_dir, "documents"))
-    counts = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{secret_owners.KINDS[k]}") for k in range(3)]
+    counts = [spans_of(k).alias(f"n_{secret_owners.KINDS[k]}") for k in range(3)]
     return found.select("doc_id", *counts, F.sha2(secret_owners.listed(F.col("base")), 256).alias("base_sha256"),
                         secret_owners.listed(F.concat("base", "added")).alias("spans"), "n_live", "n_copied")
 

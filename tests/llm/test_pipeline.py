@@ -94,5 +94,5 @@ def test_certified_stage(spark, tmp_path):
 
 def test_registry():
     names = [re.match(r"op(\d+)_", n)[1] for n in queries.QUERIES]
-    assert names == [str(n) for n in range(1, 11)]
+    assert names == [str(n) for n in range(1, 14)]
     assert quality_rules.STRATA and [name for name, _ in corpus_pipeline.STAGES] == ["quality_rules", "simhash_near_dedup", "secret_scan", "best_fit_packing"]

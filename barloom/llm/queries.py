@@ -16,6 +16,7 @@ from barloom.llm import (
     quality_rules,
     secret_owners,
     simhash_trees,
+    spelling_frontier,
     token_counts,
     url_templates,
     weak_pii,
@@ -83,6 +84,10 @@ def op10_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return context_mixing.scored(table(spark, sf_dir, "documents"))
 
 
+def op11_spelling_frontier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_frontier.variants(table(spark, sf_dir, "documents"))
+
+
 def op12_license_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_index.licenses(table(spark, sf_dir, "documents"))
 
@@ -92,5 +97,5 @@ def op13_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_token_counts, op2_quality_rules, op3_url_templates, op4_nearest_vectors, op5_bin_packing,
-                                   op6_personal_data, op7_simhash_trees, op8_byte_bpe, op9_secret_owners, op10_context_mixing, op12_license_index, op13_centroid_clusters)}
+                                   op6_personal_data, op7_simhash_trees, op8_byte_bpe, op9_secret_owners, op10_context_mixing, op11_spelling_frontier, op12_license_index, op13_centroid_clusters)}
 SQL: dict[str, str] = {"op12_license_index": license_index.licenses_sql(), "op13_centroid_clusters": incremental_clusters.clustered_sql()}

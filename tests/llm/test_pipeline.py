@@ -7,7 +7,8 @@ from collections import defaultdict
 import corpus_pipeline
 import pytest
 from barloom.llm import quality_rules, queries, secret_owners
-from tests.llm.test_documents import plain_components, plain_measures, plain_print, plain_secrets
+from tests.llm.test_documents import plain_measures, plain_secrets
+from tests.llm.test_near_dedup import plain_kept
 from tests.llm.test_tokens import packs
 
 SMALL = "/root/testdata/sf0.001"
@@ -35,8 +36,7 @@ def test_quality(steps):
 
 
 def test_dedup(steps):
-    rows = [(r.doc_id, plain_print(r.text)) for r in steps[1].collect()]
-    assert sorted(r.doc_id for r in steps[2].collect()) == sorted({c for _, _, c in plain_components(rows)})
+    assert sorted(r.doc_id for r in steps[2].collect()) == plain_kept([(r.doc_id, r.text) for r in steps[1].collect()])
     assert steps[2].columns == steps[0].columns
 
 
@@ -82,6 +82,14 @@ def test_odd_rows(spark, odd):
         assert stage(spark, odd.filter("false"), SMALL).count() == 0
 
 
+def test_rows_without_id(spark):
+    """Near copies without an id are found too; different texts of one id both stay."""
+    text = " ".join(f"w{i}" for i in range(60))
+    rows = [(None, text), (None, text + " more"), (None, text), (5, "some other words " * 3), (5, "not like the former text at all"), (7, text + " x"), (5, "some other words " * 3)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted(r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, SMALL).collect()) == [5, 5, 7]
+
+
 def test_certified_stage(spark, tmp_path):
     """With labels enough, junk goes and good documents stay."""
     rng = random.Random(6)

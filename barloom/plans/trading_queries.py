@@ -412,6 +412,49 @@ def trade_verdicts(spark, sf_dir):
     return risk.verdicts(tables.fills(spark, sf_dir), LIMITS, width=512).select("fill_id", "verdict")
 
 
+# Limits and hours that let every rule of the life of positions decide some rows; options end first.
+LIFE = RiskConfig(total_capital=20_000_000.0, max_position_size=0.0145, max_single_option=0.0135, max_trades_per_day=6, max_open_positions=5, max_capital_deployed=0.045,
+                  max_daily_loss_pct=0.0008, max_weekly_loss_pct=0.0012, max_drawdown_pct=0.004, min_tech_score=55.0, no_options_after="13:30", max_iv_to_trade=60.0)
+LIFE_VIEW = """po AS (SELECT fill_id, trade_value, pnl, ml_confidence, tech_score, fill_id % 4 = 0 AS is_option, CAST(fill_id % 80 AS DOUBLE) AS iv,
+ CAST(ts AS TIMESTAMP) + (555 + fill_id * 7 % 400) * INTERVAL '1' MINUTE AS opened_at, CAST(ts AS TIMESTAMP) + (560 + fill_id * 7 % 400 + fill_id * 11 % 2000) * INTERVAL '1' MINUTE AS closed_at FROM fills)"""
+LIFE_SQL = LIFE_VIEW + """, ev AS (SELECT CAST(tm AS DATE) AS day, * FROM (SELECT opened_at AS tm, 2 AS rank, fill_id AS id, CAST(0 AS DOUBLE) AS v, 0 AS h, 0 AS t, CAST(0 AS DOUBLE) AS p, ml_confidence, tech_score, is_option, iv, trade_value FROM po
+ UNION ALL SELECT opened_at, 3, fill_id, trade_value, 1, 1, 0, NULL, NULL, NULL, NULL, NULL FROM po UNION ALL SELECT closed_at, 0, fill_id, -trade_value, -1, 0, pnl, NULL, NULL, NULL, NULL, NULL FROM po
+ UNION ALL SELECT DISTINCT CAST(ts AS TIMESTAMP) + INTERVAL '720' MINUTE, 1, 0, 0, 0, 0, 0, NULL, NULL, NULL, NULL, NULL FROM fills)),
+s1 AS (SELECT *, sum(v) OVER w AS sv, sum(h) OVER w AS sh, sum(t) OVER w AS n, sum(p) OVER w AS g FROM ev WINDOW w AS (PARTITION BY day ORDER BY tm, rank, id ROWS UNBOUNDED PRECEDING)),
+s2 AS (SELECT *, sv - least(0, min(sv) OVER w) AS used, sh - least(0, min(sh) OVER w) AS held, greatest(0, max(g) OVER w) AS high FROM s1 WINDOW w AS (PARTITION BY day ORDER BY tm, rank, id ROWS UNBOUNDED PRECEDING)),
+d1 AS (SELECT day, sum(p) AS total, max(high) AS most FROM s2 GROUP BY 1),
+d2 AS (SELECT *, 2e7 + coalesce(sum(total) OVER (ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM d1),
+d3 AS (SELECT day, start, greatest(2e7, coalesce(max(start + most) OVER (ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS top, first_value(start) OVER (PARTITION BY isoyear(day), week(day) ORDER BY day) AS ws FROM d2),
+s3 AS (SELECT *, start + g AS now, greatest(top, start + high) AS peak, strftime(tm, '%H:%M') AS clock, CASE WHEN g < -16000 THEN 'DAILY_LOSS' WHEN ws > 0 AND start + g > 0 AND (ws - start - g) / ws > 0.0012 THEN 'WEEKLY_LOSS'
+ WHEN greatest(top, start + high) > 0 AND (greatest(top, start + high) - start - g) / greatest(top, start + high) > 0.004 THEN 'DRAWDOWN' END AS loss FROM s2 JOIN d3 USING (day)),
+s4 AS (SELECT *, CASE WHEN clock >= '15:00' THEN 'CUTOFF_TIME' WHEN is_option AND clock >= '13:30' THEN 'OPTION_CUTOFF' WHEN ml_confidence < 60 THEN 'LOW_CONFIDENCE' WHEN tech_score < 55 THEN 'LOW_SCORE' END AS early FROM s3),
+s5 AS (SELECT *, CASE WHEN rank = 2 THEN early IS NULL AND loss IS NOT NULL ELSE rank = 0 AND g < -16000 END AS breach, row_number() OVER (PARTITION BY day ORDER BY tm, rank, id) AS k FROM s4),
+s6 AS (SELECT *, coalesce(max(CASE WHEN breach THEN k END) OVER w > coalesce(max(CASE WHEN rank = 1 THEN k END) OVER w, 0), false) AS halted FROM s5 WINDOW w AS (PARTITION BY day ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+lv AS (SELECT id AS order_id, held AS open_positions, halted, CASE WHEN halted THEN 'HALTED' WHEN early IS NOT NULL THEN early WHEN loss IS NOT NULL THEN loss WHEN n >= 6 THEN 'TRADE_COUNT' WHEN held >= 5 THEN 'OPEN_POSITIONS'
+ WHEN trade_value > CASE WHEN is_option THEN 270000 ELSE 290000 END THEN 'POSITION_SIZE' WHEN used + trade_value > 900000 THEN 'DEPLOYMENT' WHEN is_option AND iv > 60 THEN 'HIGH_IV' ELSE 'APPROVED' END AS verdict FROM s6 WHERE rank = 2)"""
+
+
+def life(spark, sf_dir):
+    """Verdicts on fills as orders that open on the minute they are asked for, with a lift of halts each noon."""
+    f = tables.fills(spark, sf_dir)
+    minute, day = F.expr("INTERVAL '1' MINUTE"), F.to_timestamp("ts")
+    opened, k = 555 + C("fill_id") * 7 % 400, C("fill_id")
+    orders = f.select(k.alias("order_id"), (day + opened * minute).alias("at"), "trade_value", "ml_confidence", "tech_score", (k % 4 == 0).alias("is_option"), (k % 80).cast("double").alias("iv"))
+    positions = f.select(k.alias("position_id"), (day + opened * minute).alias("opened_at"), (day + (opened + 5 + k * 11 % 2000) * minute).alias("closed_at"), "trade_value", "pnl")
+    lifts = f.select((F.to_timestamp("ts") + F.expr("INTERVAL '720' MINUTE")).alias("at")).distinct()
+    return risk.life_verdicts(orders, positions, lifts, LIFE)
+
+
+@query("life_verdicts", q.with_(q.FILLS, LIFE_SQL) + "SELECT order_id, CAST(open_positions AS BIGINT) AS open_positions, CAST(halted AS INTEGER) AS halted, verdict FROM lv")
+def life_verdicts(spark, sf_dir):
+    return life(spark, sf_dir).select("order_id", C("open_positions").cast("long").alias("open_positions"), C("halted").cast("int").alias("halted"), "verdict")
+
+
+@query("refusal_counts", q.with_(q.FILLS, LIFE_SQL) + "SELECT verdict, count(*) AS orders FROM lv GROUP BY 1")
+def refusal_counts(spark, sf_dir):
+    return life(spark, sf_dir).groupBy("verdict").agg(F.count(F.lit(1)).alias("orders"))
+
+
 @query("position_sizing", q.with_(q.FILLS) + """SELECT fill_id, CAST(greatest(1, least(floor(floor(10000 / greatest(e * 0.001, CASE WHEN fill_id % 2 = 0 THEN CASE WHEN e - s > 0 THEN e - s ELSE e * 0.02 END
  ELSE CASE WHEN e - s < 0 THEN s - e ELSE e * 0.02 END END)) * least(1.5, ml_confidence / 100 + 0.5)), floor(50000 / greatest(e, 0.01)))) AS BIGINT) AS quantity
  FROM (SELECT *, trade_value / 100 AS e, trade_value / 100 * (1 + (fill_id % 5 - 2) / CAST(50 AS DOUBLE)) AS s FROM fills)""")

@@ -17,6 +17,7 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -114,6 +115,88 @@ def scan(df: DataFrame, steps: dict[str, Step]) -> DataFrame:
     return df.withColumns(out).drop(*local, *carry, *extra)
 
 
+@dataclass(frozen=True)
+class Tracker:
+    """A level/velocity filter as an affine recurrence x[t] = A[t]*x[t-1] + b[t]*u[t], x[1] = 0.
+
+    The gains do not depend on data and settle, so A[t] becomes one matrix A with eigenvalues
+    r*exp(+-i*a): A**p = r**p * (cos(p*a) + sin(p*a)*B) with B*B = -1. A block of rows is then two running
+    sums of the input, scaled by r**-p and turned by the angle, and the state at the end of the
+    previous block is carried in. Rows before the gains settle have their coefficients in tables.
+    """
+
+    feed: str
+    gains: tuple[tuple[float, float], ...]  # (level, velocity) per row, the last one settled
+
+    def settled(self) -> tuple[float, float, np.ndarray, np.ndarray]:
+        """r, angle, b and B*b of the settled filter."""
+        k0, k1 = self.gains[-1]
+        a = np.array([[1 - k0, 1 - k0], [-k1, 1 - k1]])
+        r = math.sqrt(np.linalg.det(a))
+        turn = np.trace(a) / 2 / r
+        if abs(turn) >= 1:
+            raise ValueError("the settled filter must swing")
+        angle = math.acos(turn)
+        b = np.array([k0, k1])
+        return r, angle, b, (a / r - turn * np.eye(2)) @ b / math.sin(angle)
+
+    def tables(self) -> tuple[np.ndarray, np.ndarray]:
+        """Per early row: what its input adds to the two sums, and the matrix from the sums to its state."""
+        r, angle, b, turned = self.settled()
+        basis = np.stack([b, turned], 1)
+        n = len(self.gains)
+        steps = [np.array([[1 - k0, 1 - k0], [-k1, 1 - k1]]) for k0, k1 in self.gains]
+
+        def power(p: int) -> np.ndarray:  # A**p in coordinates of the basis, from sums (s1, s2)
+            c, s = math.cos(p * angle), math.sin(p * angle)
+            return r**p * np.array([[c, s], [s, -c]])
+
+        add, state, after = np.zeros((n, 2)), np.zeros((n, 2, 2)), np.eye(2)
+        last = basis @ power(n - 1)  # sums -> state at the last early row
+        for i in range(n - 1, -1, -1):  # `after`: from the state at row i to that at the last early row
+            add[i] = np.linalg.solve(last, after @ np.array(self.gains[i]))
+            state[i] = np.linalg.solve(after, last) if i else 0
+            if i:
+                after = after @ steps[i]
+        return add, state
+
+
+def track(df: DataFrame, name: str, t: Tracker) -> DataFrame:
+    """Add `<name>_level` and `<name>_velocity`. Needs `indexed`; the filter starts at rest on the first value."""
+    s = Series(df)
+    n, p = F.col("_n"), F.col("_p")
+    r, angle, b, turned = t.settled()
+    add, state = t.tables()
+    early, first = len(t.gains), F.first(t.feed).over(s.past)
+
+    def entry(values) -> Column:
+        return F.get(F.array(*[num(v) for v in values]), n - 1)
+
+    df = df.withColumn("_ku", F.col(t.feed) - first)
+    u, grown, turn = F.col("_ku"), F.pow(num(r), p), p * angle
+    block = Window.partitionBy(*s.by, "_blk").orderBy(*[o for o in s.order if o != "_blk"]).rowsBetween(Window.unboundedPreceding, 0)
+    one = F.when(n <= early, entry(add[:, 0])).otherwise(F.cos(turn) / grown)
+    two = F.when(n <= early, entry(add[:, 1])).otherwise(F.sin(turn) / grown)
+    df = df.withColumns({"_k1": F.sum(u * one).over(block), "_k2": F.sum(u * two).over(block)})
+    cos, sin = F.cos(turn) * grown, F.sin(turn) * grown
+    inner, outer = cos * F.col("_k1") + sin * F.col("_k2"), sin * F.col("_k1") - cos * F.col("_k2")
+
+    def local(k: int) -> Column:
+        return F.when(n <= early, entry(state[:, k, 0]) * F.col("_k1") + entry(state[:, k, 1]) * F.col("_k2")).otherwise(inner * b[k] + outer * turned[k])
+
+    df = df.withColumns({"_kx": local(0), "_kv": local(1), "_kz": first})
+    ends = {f"_ke{c}": F.last(F.when(p == BLOCK - 1, F.col(c)), ignorenulls=True).over(s.before) for c in ("_kx", "_kv")}
+    df = df.withColumns(ends)
+    # A**(p+1) times the carried state, by its coordinates in the basis (b, B*b).
+    inverse = np.linalg.inv(np.stack([b, turned], 1))
+    x, v = F.coalesce("_ke_kx", num(0)), F.coalesce("_ke_kv", num(0))
+    e, f = x * inverse[0, 0] + v * inverse[0, 1], x * inverse[1, 0] + v * inverse[1, 1]
+    more, cos1, sin1 = F.pow(num(r), p + 1), F.cos((p + 1) * angle), F.sin((p + 1) * angle)
+    along, across = (e * cos1 - f * sin1) * more, (e * sin1 + f * cos1) * more
+    return df.withColumns({f"{name}_level": F.col("_kz") + F.col("_kx") + along * b[0] + across * turned[0],
+                           f"{name}_velocity": F.col("_kv") + along * b[1] + across * turned[1]}).drop("_ku", "_k1", "_k2", "_kx", "_kv", "_kz", *ends)
+
+
 def exponential_mean(df: DataFrame, c: str, name: str, span: float, by: tuple = ("symbol",), order: str = "ts") -> DataFrame:
     """Exponential mean of a column that may hold nulls, per series in time order.
 

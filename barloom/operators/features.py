@@ -10,13 +10,12 @@ import math
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from barloom.config import IndicatorConfig
 from barloom.functions.cols import Series, clip, div, edge_weights, fill, fir, flag, num, rank_pct, ratio
 from barloom.functions.joins import asof_calendar
 from barloom.functions.longseries import forward_fill
-from barloom.functions.recur import span_ema
+from barloom.functions.recur import Tracker, span_ema
 from barloom.functions.stages import Carry, run
 from barloom.operators import indicators as ind
 
@@ -291,51 +290,25 @@ def zscore(bars: DataFrame) -> DataFrame:
 KALMAN_Q, KALMAN_R = 1e-4, 5e-3
 
 
-def kalman_gains(n: int = 400) -> list[tuple[float, float]]:
-    """Gains of the constant-velocity filter; they do not depend on data and settle well before n."""
+def kalman_gains(least: int = 8, most: int = 400) -> tuple[tuple[float, float], ...]:
+    """Gains of the constant-velocity filter, row by row until they settle; they do not depend on data."""
     p00, p01, p11, out = 1.0, 0.0, 1.0, []
-    for _ in range(n):
+    while len(out) < most:
         a00, a01, a11 = p00 + 2 * p01 + p11 + KALMAN_Q, p01 + p11, p11 + KALMAN_Q
         k0, k1 = a00 / (a00 + KALMAN_R), a01 / (a00 + KALMAN_R)
         p00, p01, p11 = (1 - k0) * a00, (1 - k0) * a01, a11 - k1 * a01
         out.append((k0, k1))
-    return out
-
-
-def kalman(bars: DataFrame) -> DataFrame:
-    """Level/velocity filter of the normalised close: the one grouped map of the library.
-
-    A two-state recurrence has no built-in form. Only four narrow columns cross to Python;
-    a group is one series (bounded by the calendar) or one part of a split series.
-    """
-    gains = kalman_gains()
-    data = zscore(bars)
-    by = Series(data).by
-    made = [T.StructField(c, T.DoubleType()) for c in ("_level", "_velocity", "_miss")]
-    out_schema = T.StructType([*data.schema.fields, *made])
-
-    def track(pdf):
-        pdf = pdf.sort_values("ts")
-        level, speed, last = float(pdf["zscore"].iloc[0]) if len(pdf) else 0.0, 0.0, gains[-1]
-        levels, speeds, misses = [], [], []
-        for i, z in enumerate(pdf["zscore"].tolist()):
-            k0, k1 = gains[i] if i < len(gains) else last
-            ahead = level + speed
-            miss = z - ahead
-            level, speed = ahead + k0 * miss, speed + k1 * miss
-            levels.append(level)
-            speeds.append(speed)
-            misses.append(abs(miss))
-        return pdf.assign(_level=levels, _velocity=speeds, _miss=misses)
-
-    return data.groupBy(*by).applyInPandas(track, out_schema)
-
-
-KALMAN = {
-    0: lambda s, c: {"_kv": s.mean("_velocity", 5)},
-    1: lambda s, c: {
-        "f_kalman_trend": F.signum("_velocity"), "f_kalman_velocity": fill(C("_kv"), 0),
-        "f_noise_ratio": clip(C("_miss") / F.greatest(F.abs("_level"), num(1e-8)), 0, 1),
+        if len(out) > least and max(abs(k0 - out[-2][0]), abs(k1 - out[-2][1])) < 1e-16:
+            break
+    return tuple(out)
+
+
+KALMAN = ZSCORE | {
+    4: lambda s, c: {"_track": Tracker("zscore", kalman_gains())},
+    6: lambda s, c: {"_ahead": s.lag(C("_track_level") + C("_track_velocity")), "_kv": s.mean("_track_velocity", 5)},
+    8: lambda s, c: {
+        "f_kalman_trend": F.signum("_track_velocity"), "f_kalman_velocity": fill(C("_kv"), 0),
+        "f_noise_ratio": clip(fill(F.abs(C("zscore") - C("_ahead")), 0) / F.greatest(F.abs("_track_level"), num(1e-8)), 0, 1),
     },
 }
 
@@ -362,8 +335,7 @@ def only(bars: DataFrame, *families: dict, base: list | None = None) -> DataFram
 def features(bars: DataFrame, market: DataFrame | None = None,
              cfg: IndicatorConfig = CFG, keep: tuple = ("atr",)) -> DataFrame:
     """All 80 features after the epilogue (forward fill, 0, +-10), plus the bar and `keep` columns."""
-    base = kalman(with_market(bars, market))
-    out = run(base, [*ind.ALL, *WINDOWED, *RECURRENT, MARKET, KALMAN], cfg)
+    out = run(with_market(bars, market), [*ind.ALL, *WINDOWED, *RECURRENT, MARKET, KALMAN], cfg)
     bar = [c for c in ("symbol", "ts", "open", "high", "low", "close", "volume", "_part", "_side") if c in out.columns]
     out = out.select(*bar, *[C(k).alias(f"_keep_{k}") for k in keep],
                      *[C(f"f_{n}").cast("double").alias(n) for n in FEATURES])

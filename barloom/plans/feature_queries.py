@@ -84,7 +84,7 @@ K = ["kalman_trend", "kalman_velocity", "noise_ratio"]
 
 @query("kalman_trend", WITH_KALMAN + f"SELECT symbol, ts, {rnd(K)} FROM kaf JOIN f1 USING (symbol, rn)")
 def kalman_trend(spark, sf_dir):
-    return tidy(fe.only(fe.kalman(tables.bars(spark, sf_dir)), fe.KALMAN), ["symbol", "ts", *K])
+    return tidy(fe.only(tables.bars(spark, sf_dir), fe.KALMAN), ["symbol", "ts", *K])
 
 
 def _epilogue(c: str) -> str:

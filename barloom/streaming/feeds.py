@@ -2,12 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupStateTimeout
 
 from barloom.functions.cols import div
 from barloom.sources.readers import flatten_chain
@@ -40,7 +36,7 @@ def recent_ticks(ticks: DataFrame, n: int = 5000) -> DataFrame:
 
 
 def latest(ticks: DataFrame) -> DataFrame:
-    """Latest quote per symbol; on a stream use complete or update mode."""
+    """Latest quote per symbol; on a stream use complete or update mode (the state is a row per symbol)."""
     at = F.struct("ts", "event_id")
     return ticks.groupBy("symbol").agg(F.max_by("price", at).alias("price"), F.max("ts").alias("ts"))
 
@@ -88,25 +84,6 @@ def first_hits(ticks: DataFrame, positions: DataFrame) -> DataFrame:
     return hits.groupBy("position_id").agg(first.alias("_h")).select("position_id", "_h.*")
 
 
-def monitor(ticks: DataFrame, positions: DataFrame) -> DataFrame:
-    """Stateful form of `first_hits`: each position fires once, whatever ticks follow."""
-    hits = level_hits(ticks, positions).select("position_id", "symbol", "direction", "ts", "price", "exit_flag", "event_id")
-
-    def once(key, pdfs: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        best = None
-        for pdf in pdfs:
-            row = pdf.sort_values(["ts", "event_id"]).iloc[[0]]
-            if best is None or (row["ts"].iloc[0], row["event_id"].iloc[0]) < (best["ts"].iloc[0], best["event_id"].iloc[0]):
-                best = row
-        if not state.exists and best is not None:
-            state.update((1,))
-            yield best[["position_id", "symbol", "direction", "ts", "price", "exit_flag"]]
-
-    return hits.groupBy("position_id").applyInPandasWithState(
-        once, "position_id string, symbol string, direction string, ts timestamp, price double, exit_flag string",
-        "fired int", "append", GroupStateTimeout.NoTimeout)
-
-
 def chain_readings(payloads: DataFrame) -> DataFrame:
     """PCR of each chain snapshot (symbol, ts, payload) of a stream or table; append as history."""
     strikes = flatten_chain(payloads)
@@ -124,14 +101,12 @@ def append_readings(history_path: str):
     return write
 
 
-def upsert_latest(path: str):
-    """A foreachBatch writer keeping the latest quote per symbol: two generations of a small table."""
+def write_latest(path: str):
+    """A foreachBatch writer of `latest` in complete mode: one table with a row per symbol, replaced as a whole.
+
+    The stream's own state holds the latest quote of each symbol, so a restarted stream forgets
+    nothing and a batch that is repeated writes the same table.
+    """
     def write(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        new = batch.select("symbol", "ts", "price", "event_id")
-        if batch_id > 0:
-            new = new.unionByName(spark.read.parquet(f"{path}/generation={batch_id - 1}").select(*new.columns))
-        at = F.struct("ts", "event_id")
-        kept = new.groupBy("symbol").agg(F.max_by(F.struct("ts", "price", "event_id"), at).alias("_q"))
-        kept.select("symbol", "_q.*").write.mode("overwrite").parquet(f"{path}/generation={batch_id}")
+        batch.write.mode("overwrite").parquet(path)
     return write

@@ -68,31 +68,6 @@ def test_candle_stream_equals_batch(spark, tmp_path):
     assert got.equals(want[got.columns])
 
 
-def test_monitor_fires_once(spark, tmp_path):
-    batch = tables.ticks(spark, DIR)
-    batch.write.parquet(str(tmp_path / "ticks"))
-    stats = batch.groupBy("symbol").agg(F.avg("price").alias("m"))
-    held = stats.withColumn("k", F.explode(F.array(F.lit(10), F.lit(20)))).select(
-        F.concat_ws("/", "symbol", "k").alias("position_id"), "symbol", F.lit("LONG").alias("direction"), (F.col("m") - F.col("k")).alias("stop_loss"),
-                        (F.col("m") + 10).alias("take_profit"))
-    stream = spark.readStream.schema(batch.schema).parquet(str(tmp_path / "ticks"))
-    q = (feeds.monitor(stream, held).writeStream.outputMode("append").format("memory").queryName("hits_out")
-         .option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start())
-    q.awaitTermination(120)
-    got = sorted((r["position_id"], r["exit_flag"], r["price"]) for r in spark.table("hits_out").collect())
-    want = sorted((r["position_id"], r["exit_flag"], r["price"]) for r in feeds.first_hits(batch, held).collect())
-    assert got == want and len(got) == 2 * stats.count()
-
-
-def test_latest_quotes_survive_batches(spark, tmp_path):
-    t = tables.ticks(spark, DIR)
-    write = feeds.upsert_latest(str(tmp_path))
-    write(t.filter("event_id % 2 = 0"), 0)
-    write(t.filter("event_id % 2 = 1"), 1)
-    got = {r["symbol"]: r["price"] for r in spark.read.parquet(str(tmp_path / "generation=1")).collect()}
-    assert got == {r["symbol"]: r["price"] for r in feeds.latest(t).collect()}
-
-
 def test_contract_csv_and_bars_round_trip(spark, tmp_path):
     (tmp_path / "fo_20240105.csv").write_text(
         " instrument,SYMBOL,EXPIRY_DT,STRIKE_PR,OPTION_TYP,OPEN_INT,CHG_IN_OI,CLOSE,SETTLE_PR,CONTRACTS\n"

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def market_table(*series: DataFrame, on: str = "ts") -> DataFrame:
@@ -14,16 +15,27 @@ def market_table(*series: DataFrame, on: str = "ts") -> DataFrame:
     return out
 
 
-def asof_calendar(left: DataFrame, right: DataFrame, defaults: dict, on: str = "ts") -> DataFrame:
-    """Latest known values of market-wide daily series at or before each left date.
+def asof_calendar(left: DataFrame, right: DataFrame, defaults: dict, on: str = "ts", bucket: str = "month") -> DataFrame:
+    """Latest known values of market-wide series at or before each left row's time.
 
-    The fill runs over distinct dates only (bounded by the calendar), for all columns at once;
-    rows then take their values by one equi join, broadcast by Spark when its size check allows.
+    The fill runs over distinct times, for all columns at once; rows then take their values by
+    one equi join, broadcast by Spark when its size check allows. Dates are bounded by the
+    calendar and are filled in one pass; timestamps are filled inside buckets, and what a bucket
+    starts with comes from a prefix over one row per bucket.
     """
     names = [c for c in right.columns if c != on]
+    calendar = left.select(on).distinct().join(right, on, "full")
     whole = Window.orderBy(on).rowsBetween(Window.unboundedPreceding, 0)
-    calendar = left.select(on).distinct().join(right, on, "full").select(
-        on, *[F.last(c, ignorenulls=True).over(whole).alias(c) for c in names])
+    if isinstance(left.schema[on].dataType, T.DateType):
+        calendar = calendar.select(on, *[F.last(c, ignorenulls=True).over(whole).alias(c) for c in names])
+    else:
+        calendar = calendar.withColumn("_b", F.date_trunc(bucket, F.col(on)))
+        prior = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+        ends = calendar.groupBy("_b").agg(*[F.max_by(c, F.when(F.col(c).isNotNull(), F.col(on))).alias(f"_e_{c}") for c in names])
+        starts = ends.select("_b", *[F.last(f"_e_{c}", ignorenulls=True).over(prior).alias(f"_s_{c}") for c in names])
+        inside = Window.partitionBy("_b").orderBy(on).rowsBetween(Window.unboundedPreceding, 0)
+        filled = calendar.select("_b", on, *[F.last(c, ignorenulls=True).over(inside).alias(c) for c in names])
+        calendar = filled.join(starts, "_b").select(on, *[F.coalesce(c, f"_s_{c}").alias(c) for c in names])
     out = left.drop(*names).join(calendar, on, "left")
     return out.withColumns({c: F.coalesce(c, F.lit(d)) for c, d in defaults.items() if c in names and d is not None})
 

@@ -126,28 +126,36 @@ def is_relevant(text, symbol):
 def mentions(articles: DataFrame, symbols: DataFrame, key: str = "doc_id") -> DataFrame:
     """(article, symbol) pairs where a name occurs anywhere in the text, also inside a word.
 
-    Texts become their distinct words; the vocabulary (each word once) meets the names on the
-    first letters of the name at every place in the word, in an equi join, and is compared in
-    full there. Matching words then lead back to the articles that use them, so no pair is
-    lost and none is formed without a reason. Names of several words are anchored on the
-    first one and checked against the whole text.
+    Texts become their distinct words. A name is looked up by one piece of it: of its pieces of
+    GRAM letters (a shorter name is one piece) the one that the vocabulary holds least often.
+    Words are cut only into pieces of lengths that names have, and only pieces some name asks for
+    are kept; where one stands, the name is compared in place. Matching words lead back to the
+    articles that use them, so no pair is lost and none is formed without a reason. Names of
+    several words are anchored on the first one and checked against the whole text.
     """
     forms = F.array_distinct(F.array(F.lower("symbol"), F.when(
         F.length(short_name(C("symbol"))) > 3, short_name(C("symbol")))))
     names = symbols.select("symbol", F.explode(forms).alias("name")).filter("name is not null and name <> ''")
     names = names.withColumn("anchor", F.get(F.split("name", "\\s+"), F.lit(0)))
-    names = names.withColumn("gram", F.substring("anchor", 1, GRAM))
     used = articles.select(key, F.explode(F.array_distinct(F.split(F.lower("text"), "\\s+"))).alias("word"))
-
-    def cut_at(n):
-        places = F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("word") - (n - 1)))
-        return F.transform(places, lambda i: C("word").substr(i, F.lit(n)))
-
-    grams = F.array_distinct(F.flatten(F.array(*[cut_at(n) for n in range(1, GRAM + 1)])))
-    vocabulary = used.select("word").distinct().select("word", F.explode(grams).alias("gram"))
-    found = (vocabulary.join(names, "gram").filter(C("word").contains(C("anchor")))
-             .select("word", "symbol", "name", "anchor").distinct())
-    pairs = used.join(found, "word")
+    words = used.select("word").distinct()
+
+    def pieces(text: str, size):
+        """(gram, place) of every piece of `size` letters, places from 1."""
+        places = F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(text) - size + 1))
+        return F.transform(places, lambda i: F.struct(C(text).substr(i, size).alias("gram"), i.alias("place")))
+
+    anchors = names.select("anchor").distinct().withColumn("size", F.least(F.length("anchor"), F.lit(GRAM)))
+    asked = anchors.select("anchor", "size", F.explode(pieces("anchor", C("size"))).alias("x")).select("anchor", "size", "x.gram", "x.place")
+    sizes = anchors.agg(F.collect_set("size").alias("sizes"))  # one row of at most GRAM numbers
+    cut = words.join(F.broadcast(sizes)).select("word", F.explode(F.flatten(F.transform("sizes", lambda n: pieces("word", n)))).alias("x"))
+    cut = cut.select("word", "x.gram", "x.place")
+    counts = cut.join(asked.select("gram").distinct(), "gram", "left_semi").groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+    rarest = asked.join(counts, "gram", "left").groupBy("anchor").agg(
+        F.min(F.struct(F.coalesce("n", F.lit(0)), "place", "gram")).alias("x")).select("anchor", "x.gram", C("x.place").alias("offset"))
+    found = (cut.join(rarest, "gram").filter(C("word").substr(C("place") - C("offset") + 1, F.length("anchor")) == C("anchor"))
+             .select("word", "anchor").distinct())
+    pairs = used.join(found, "word").select(key, "anchor").distinct().join(names, "anchor")
     whole = pairs.filter(C("name") == C("anchor")).select(key, "symbol")
     phrases = pairs.filter(C("name") != C("anchor")).select(key, "symbol", "name").distinct()
     phrases = phrases.join(articles.select(key, "text"), key).filter(F.lower("text").contains(C("name")))

@@ -146,32 +146,39 @@ def not_held(candidates: DataFrame, held: DataFrame) -> DataFrame:
     return candidates.join(held, "symbol", "left_anti")
 
 
+def extremes_after(positions: DataFrame, quotes: DataFrame, bucket: str = "hour") -> DataFrame:
+    """Highest and lowest quote from entry_ts on, null without one. No position meets a quote.
+
+    Both sides are ordered together inside (symbol, bucket), newest first, so a running extreme
+    gives each position what follows in its own bucket; later buckets come from a suffix over
+    one row per bucket.
+    """
+    keys, part = positions.columns, F.date_trunc(bucket, C("_t")).alias("_b")
+    none = F.lit(None).cast("double")
+    held = positions.withColumn("_t", C("entry_ts"))
+    both = quotes.select("symbol", C("ts").alias("_t"), C("price").alias("_p"), F.lit(0).alias("_side")).unionByName(
+        held.withColumns({"_p": none, "_side": F.lit(1)}), allowMissingColumns=True).select("*", part)
+    newest = Window.partitionBy("symbol", "_b").orderBy(F.desc("_t"), "_side").rowsBetween(Window.unboundedPreceding, 0)
+    inside = both.withColumns({"_h": F.max("_p").over(newest), "_l": F.min("_p").over(newest)}).filter("_side = 1")
+    later = Window.partitionBy("symbol").orderBy(F.desc("_b")).rowsBetween(Window.unboundedPreceding, -1)
+    ends = both.groupBy("symbol", "_b").agg(F.max("_p").alias("_bh"), F.min("_p").alias("_bl"))
+    ends = ends.select("symbol", "_b", F.max("_bh").over(later).alias("_ah"), F.min("_bl").over(later).alias("_al"))
+    same = (inside["symbol"] == ends["symbol"]) & inside["_b"].eqNullSafe(ends["_b"])
+    out = inside.join(ends, same, "left")
+    known = inside["entry_ts"].isNotNull()
+    return out.select(*[inside[c] for c in keys], F.when(known, F.greatest("_h", "_ah")).alias("highest"), F.when(known, F.least("_l", "_al")).alias("lowest"))
+
+
 def mark(positions: DataFrame, quotes: DataFrame, atr_share: float = 0.015) -> DataFrame:
     """Value open positions at the last quote and name the exit their levels call for.
 
-    The running extreme since entry is an aggregate over quotes, not state. Quotes are
-    aggregated per symbol and day before they meet positions: extremes of the days after the
-    entry come from a suffix over days, those of the entry's own day from its quotes.
+    The running extreme since entry is an aggregate over quotes, not state (see `extremes_after`).
     Positions: symbol, direction, quantity, entry_price, entry_ts, stop_loss, take_profit, and
     any column that tells two of one symbol apart.
     """
     keys = positions.columns
-    days = quotes.groupBy("symbol", F.to_date("ts").alias("_day")).agg(
-        F.max(F.struct("ts", "event_id", "price")).alias("_q"), F.max("price").alias("_h"), F.min("price").alias("_l"))
-    later = Window.partitionBy("symbol").orderBy(F.desc("_day")).rowsBetween(Window.unboundedPreceding, 0)
-    suffix = days.withColumns({"_h": F.max("_h").over(later), "_l": F.min("_l").over(later)})
-    # From each day of quotes to the one before it: what an entry after that day and up to this one has ahead of it.
-    before = F.lead("_day").over(Window.partitionBy("symbol").orderBy(F.desc("_day")))
-    suffix = suffix.select("symbol", "_day", before.alias("_past"), "_h", "_l")
-    held = positions.withColumn("_entry", F.to_date("entry_ts"))
-    ahead = held.join(suffix, "symbol", "left").filter(
-        C("_day").isNull() | ((C("_day") > C("_entry")) & (C("_past").isNull() | (C("_past") <= C("_entry"))))).select(*keys, "_h", "_l")
-    own = held.join(quotes.select("symbol", F.to_date("ts").alias("_entry"), C("ts").alias("_t"), C("price").alias("_h"), C("price").alias("_l")),
-                    ["symbol", "_entry"]).filter("_t >= entry_ts").select(*keys, "_h", "_l")
-    none = F.lit(None).cast("double")
-    seen = ahead.unionByName(own).unionByName(positions.withColumns({"_h": none, "_l": none}))
-    seen = seen.groupBy(*keys).agg(F.max("_h").alias("highest"), F.min("_l").alias("lowest"))
-    last = days.groupBy("symbol").agg(F.max("_q").alias("_q")).select("symbol", C("_q.price").alias("price"))
+    seen = extremes_after(positions, quotes).groupBy(*keys).agg(F.max("highest").alias("highest"), F.min("lowest").alias("lowest"))
+    last = quotes.groupBy("symbol").agg(F.max(F.struct("ts", "event_id", "price")).alias("_q")).select("symbol", C("_q.price").alias("price"))
     seen = seen.join(last, "symbol", "left").select(*keys, "price", "highest", "lowest")
     long, p = C("direction") == "LONG", C("price")
     sign = F.when(long, num(1)).otherwise(num(-1))

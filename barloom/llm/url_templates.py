@@ -3,7 +3,8 @@
 Fixed rules come first. Other urls are judged by the template of their path: segments with
 digits are generalised by their shape; then, level by level under each host, children of a
 branch with many rare children become a wildcard, and so do others, unless their share of bad
-labelled pages differs from their siblings' (two-proportion test). A template is blocked when
+labelled pages differs from their siblings' (two-proportion test). Those that differ to the same
+side, and not among themselves, become one branch of their own. A template is blocked when
 its share of bad labelled pages, smoothed towards the overall one, is high enough. The tree
 works on one row per host and path shape, not on pages, and every count is aggregated before
 it is joined.
@@ -11,13 +12,12 @@ it is joined.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barloom.llm.common import cut
 
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))  # a parameter
-DEPTH = 8  # levels of the tree; what lies deeper is one wildcard below the last level
 FANOUT = 32  # children from which on rare ones count as values of a variable
 DIFFERS = 1.96  # z score from which on a branch differs from its siblings
 PRIOR = 10.0  # labelled pages that the smoothing adds at the overall share
@@ -56,45 +56,56 @@ def branches(shapes: DataFrame, level: int) -> DataFrame:
 
 
 def starred(shapes: DataFrame, level: int, chosen: DataFrame) -> DataFrame:
-    """`shapes` with the segment of a level replaced by `*` in the chosen branches (host, parent, child)."""
+    """`shapes` with the segment of a level replaced by `star` in the chosen branches (host, parent, child, star)."""
     keyed = shapes.withColumns({"parent": F.array_join(F.slice("segments", 1, level - 1), "/"), "child": F.get("segments", F.lit(level - 1))})
-    marked = keyed.join(chosen.withColumn("star", F.lit(True)), ["host", "parent", "child"], "left")
-    segments = F.when(F.col("star"), F.concat(F.slice("segments", 1, level - 1), F.array(F.lit("*")), F.slice("segments", level + 1, DEPTH + 1)))
+    marked = keyed.join(chosen, ["host", "parent", "child"], "left")
+    rest = F.slice("segments", F.lit(level + 1), F.greatest(F.size("segments") - level, F.lit(0)))
+    segments = F.when(F.col("star").isNotNull(), F.concat(F.slice("segments", 1, level - 1), F.array("star"), rest))
     return marked.withColumn("segments", segments.otherwise(F.col("segments"))).select(shapes.columns)
 
 
-def family(shapes: DataFrame, level: int) -> DataFrame:
-    """Branches of a level with counts of all children of their parent, and whether their share of bad pages differs from their siblings'."""
-    by = branches(shapes, level)
-    total = by.groupBy("host", "parent").agg(F.count(F.lit(1)).alias("children"), F.sum("pages").alias("all_pages"),
-                                             F.sum("labelled").alias("all"), F.sum("bad").alias("all_bad"))
+def compared(by: DataFrame, family: list[str]) -> DataFrame:
+    """Branches with counts of their whole family, whether their share of bad pages differs from that of the others together, and to which side."""
+    total = by.groupBy(*family).agg(F.count(F.lit(1)).alias("children"), F.sum("pages").alias("all_pages"),
+                                    F.sum("labelled").alias("all"), F.sum("bad").alias("all_bad"))
     n, rest = F.col("labelled"), F.col("all") - F.col("labelled")
     share = F.col("all_bad") / F.col("all")
     gap = F.col("bad") / n - (F.col("all_bad") - F.col("bad")) / rest
     differs = (n > 0) & (rest > 0) & (F.abs(gap) >= DIFFERS * F.sqrt(share * (1 - share) * (1 / n + 1 / rest))) & (gap != 0)
-    return by.join(total, ["host", "parent"]).withColumn("differs", F.coalesce(differs, F.lit(False)))
+    return by.join(total, family).withColumns({"differs": F.coalesce(differs, F.lit(False)), "side": F.when(gap > 0, "*bad").otherwise("*good")})
 
 
 def variables(shapes: DataFrame, level: int) -> DataFrame:
     """Branches that are one of many rare children, but for those whose labels differ from their siblings'."""
     rare = (F.col("children") > FANOUT) & (F.col("pages") * FANOUT < F.col("all_pages"))
-    return family(shapes, level).filter(rare & ~F.col("differs")).select("host", "parent", "child")
+    return compared(branches(shapes, level), ["host", "parent"]).filter(rare & ~F.col("differs")).select("host", "parent", "child", F.lit("*").alias("star"))
 
 
 def alike(shapes: DataFrame, level: int) -> DataFrame:
-    """Branches whose share of bad pages does not differ from that of their siblings together."""
-    return family(shapes, level).filter((F.col("children") > 1) & ~F.col("differs")).select("host", "parent", "child")
+    """Branches that do not differ from their siblings, and those that differ to one side but not among themselves."""
+    names = ["host", "parent", "child", "pages", "labelled", "bad"]
+    first = compared(branches(shapes, level), ["host", "parent"])
+    same = first.filter((F.col("children") > 1) & ~F.col("differs")).select("host", "parent", "child", F.lit("*").alias("star"))
+    apart = first.filter("differs").select(*names, F.col("side").alias("star"))
+    merged = compared(apart, ["host", "parent", "star"]).filter((F.col("children") > 1) & ~F.col("differs"))
+    return same.unionByName(merged.select("host", "parent", "child", "star"))
+
+
+def deepest(shapes: DataFrame) -> int:
+    """The last level with siblings: the largest depth that two shapes of one host reach."""
+    sizes = shapes.groupBy("host", F.size("segments").alias("size")).agg(F.count(F.lit(1)).alias("n"))
+    above = Window.partitionBy("host").orderBy(F.desc("size"))
+    reached = sizes.withColumn("n", F.sum("n").over(above)).filter("n > 1")
+    return reached.agg(F.max("size")).first()[0] or 0
 
 
 def templates(judged: DataFrame) -> DataFrame:
     """host, shape, template and blocked of each path shape. `judged`: host, path and bad (1, 0 or null)."""
     found = (judged.groupBy("host", shape(F.col("path")).alias("shape"))
              .agg(F.count(F.lit(1)).alias("pages"), F.count("bad").alias("labelled"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad")))
-    parts = F.split("shape", "/+")
-    below = F.when(F.size(parts) > DEPTH, F.concat(F.slice(parts, 1, DEPTH), F.array(F.lit("**")))).otherwise(parts)
-    shapes = cut(found.withColumn("segments", F.when(F.col("shape") == "", F.array().cast("array<string>")).otherwise(below)))
-    known = shapes.agg(F.max(F.size("segments")).alias("depth"), F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad")).first()
-    for level in range(1, (known["depth"] or 0) + 1):
+    shapes = cut(found.withColumn("segments", F.when(F.col("shape") == "", F.array().cast("array<string>")).otherwise(F.split("shape", "/+"))))
+    known = shapes.agg(F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad")).first()
+    for level in range(1, deepest(shapes) + 1):
         shapes = cut(starred(shapes, level, variables(shapes, level)))
         shapes = cut(starred(shapes, level, alike(shapes, level)))
     overall = (known["bad"] or 0) / max(known["labelled"] or 0, 1)

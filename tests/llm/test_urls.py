@@ -26,13 +26,24 @@ def plain_shape(path):
     return re.sub(r"\A/+|/+\Z", "", re.sub("[0-9]+", "{n}", path))
 
 
+def differs(family, child):
+    """The gap to the siblings' share of bad pages, 0 if it is none to speak of."""
+    _, n, bad = family[child]
+    total = [sum(c) for c in zip(*family.values())]
+    rest, rest_bad = total[1] - n, total[2] - bad
+    if not n or not rest:
+        return 0
+    share, gap = total[2] / total[1], bad / n - rest_bad / rest
+    return gap if abs(gap) >= U.DIFFERS * (share * (1 - share) * (1 / n + 1 / rest)) ** 0.5 else 0
+
+
 def plain_blocked(rows):
     """rows: (host, path, bad or None). The blocked (host, shape) pairs."""
     shapes = {}
     for host, path, bad in rows:
         key = host, plain_shape(path)
         parts = re.split("/+", key[1]) if key[1] else []
-        entry = shapes.setdefault(key, {"s": parts[:U.DEPTH] + ["**"] * (len(parts) > U.DEPTH), "n": [0, 0, 0]})
+        entry = shapes.setdefault(key, {"s": parts, "n": [0, 0, 0]})
         entry["n"] = [a + b for a, b in zip(entry["n"], (1, bad is not None, bad or 0))]
     for level in range(max((len(e["s"]) for e in shapes.values()), default=0)):
         for rule in ("many", "alike"):
@@ -45,19 +56,18 @@ def plain_blocked(rows):
                 if len(e["s"]) <= level:
                     continue
                 family = kids[host, tuple(e["s"][:level])]
-                pages, n, bad = family[e["s"][level]]
+                child = e["s"][level]
                 total = [sum(c) for c in zip(*family.values())]
+                gap = differs(family, child)
                 if rule == "many":
-                    star = len(family) > U.FANOUT and pages * U.FANOUT < total[0]
-                else:
-                    rest, rest_bad = total[1] - n, total[2] - bad
-                    differs = False
-                    if n and rest:
-                        share, gap = total[2] / total[1], bad / n - rest_bad / rest
-                        differs = abs(gap) >= U.DIFFERS * (share * (1 - share) * (1 / n + 1 / rest)) ** 0.5 and gap != 0
-                    star = len(family) > 1 and not differs
-                if star:
+                    if len(family) > U.FANOUT and family[child][0] * U.FANOUT < total[0] and not gap:
+                        e["new"] = "*"
+                elif not gap and len(family) > 1:
                     e["new"] = "*"
+                elif gap:
+                    side = {k: v for k, v in family.items() if (g := differs(family, k)) and (g > 0) == (gap > 0)}
+                    if len(side) > 1 and not differs(side, child):
+                        e["new"] = "*bad" if gap > 0 else "*good"
             for e in shapes.values():
                 if "new" in e:
                     e["s"] = e["s"][:level] + [e.pop("new")] + e["s"][level + 1:]
@@ -97,6 +107,22 @@ def test_tree(spark):
     assert verdicts["block"] >= 225 and verdicts["allow"] >= 600
 
 
+def test_ten_bad_sections_make_one_template(spark):
+    """Three labels each prove too little; the ten together are blocked, deep ones too."""
+    deep = "/".join("abcdefghijkl")
+    urls, bad = [], {}
+    for d in range(40):
+        for i in range(12):
+            bad[len(urls)] = int(d < 10) if i < 3 else None
+            urls.append(f"http://big.com/{deep}/dir{chr(97 + d % 26)}{chr(97 + d // 26)}/{i}")
+    bad = {i: b for i, b in bad.items() if b is not None and i not in (3, 5)}
+    verdicts = check(spark, urls, bad)
+    assert verdicts == {"block": 120, "allow": 360}
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    out = U.judge(pages, spark.createDataFrame(list(bad.items()), "page_id long, bad int")).filter("verdict = 'block'")
+    assert out.select("blocked_template").distinct().count() == 1
+
+
 def test_no_pages(spark):
     pages = spark.createDataFrame([], "page_id long, url string")
     assert U.judge(pages, spark.createDataFrame([], "page_id long, bad int")).count() == 0

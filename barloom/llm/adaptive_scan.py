@@ -184,7 +184,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, target: float =
         for b in batches:
             yield b.assign(list=lists.home(matrix(b["v"])) if len(b) else pd.Series([], dtype="int64"))
 
-    placed = cut(base.dropDuplicates(["vec_id", "v"]).mapInPandas(place, "vec_id long, v array<float>, list long"))
+    kind, asked_kind = (df.schema["v"].dataType.simpleString() for df in (base, asked))  # components stay as exact as they came
+    placed = cut(base.dropDuplicates(["vec_id", "v"]).mapInPandas(place, f"vec_id long, v {kind}, list long"))
     n = len(lists.centroids)
     held, ids = np.zeros((2, n), np.int64)
     for r in placed.groupBy("list", "vec_id").count().groupBy("list").agg(F.sum("count").alias("rows"), F.count(F.lit(1)).alias("ids")).collect():  # at most LISTS rows
@@ -197,7 +198,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, target: float =
                 who, where, turn = lists.probed(matrix(some["v"]), ids, k)
                 yield some.iloc[who].assign(list=where, turn=turn)
 
-    probed = asked.mapInPandas(probe, "query_id long, v array<float>, list long, turn int")
+    probed = asked.mapInPandas(probe, f"query_id long, v {asked_kind}, list long, turn int")
     wanted = np.zeros((3, n), np.int64)
     counts = asked.mapInPandas(lambda batches: (p[["list", "turn"]] for p in probe(batches)), "list long, turn int").groupBy("list", "turn").count()
     for r in counts.collect():  # at most twice LISTS rows

@@ -27,3 +27,11 @@ def test_many_vectors_under_one_id(spark):
         if r.vec_id:
             scores.setdefault(r.vec_id, []).append(float(np.dot(np.array(r.embedding), x[0])))
     assert got == sorted(scores, key=lambda i: -max(scores[i]))[:20] and got[0] == 7
+
+
+def test_double_vectors_keep_their_digits(spark):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(60, 8)) * (1 + 1e-9 * rng.normal(size=(60, 8)))
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    for r in adaptive_scan.nearest(frame, frame.filter("vec_id < 5"), k=4).collect():
+        assert abs(r.score - float(x[r.query_id] @ x[r.vec_id])) <= 1e-12

@@ -136,6 +136,17 @@ class Series:
         """Exact interpolated quantile of the frame."""
         return self.roll(lambda x: F.percentile(x, F.lit(q)), c, n, least)
 
+    def parts(self, agg, c: str, part: str, rows: int, n: int, least: int | None = None) -> Column:
+        """Frame of n rows of a bar column from column `part`, which holds the frame of `rows` rows of each row.
+
+        The n rows are the frames at every `rows`-th lag, so the cost is `rows` + n / `rows`, not n.
+        `agg` combines the columns of the frames; missing ones are null.
+        """
+        if n % rows:
+            raise ValueError("a frame must be made of whole parts")
+        seen = F.col(f"_k_{c}") - F.coalesce(self.lag(f"_k_{c}", n), F.lit(0))
+        return F.when(seen >= (n if least is None else least), agg([F.col(part), *[self.lag(part, rows * i) for i in range(1, n // rows)]]))
+
     def values(self, c, n: int) -> Column:
         return F.collect_list(c).over(self.rows(-(n - 1), 0))
 
@@ -143,9 +154,19 @@ class Series:
 def rank_pct(value, frame_values, least: int) -> Column:
     """Average-tie rank of `value` among the collected frame, as a share of its size."""
     v, arr = col(value), col(frame_values)
-    below = F.size(F.filter(arr, lambda x: x < v))
-    same = F.size(F.filter(arr, lambda x: x == v))
-    return F.when(v.isNotNull() & (F.size(arr) >= least), (below + (same + 1) / 2) / F.size(arr))
+    # Twice the number of smaller values and once that of equal ones, in one walk over the frame.
+    twice = F.aggregate(arr, F.lit(0), lambda n, x: n + F.when(x < v, 2).when(x == v, 1).otherwise(0))
+    return F.when(v.isNotNull() & (F.size(arr) >= least), (twice + 1) / 2 / F.size(arr))
+
+
+def above_median(value, frame_values, least: int) -> Column:
+    """Whether `value`, one of the collected frame, lies above the frame's median.
+
+    No value lies between the two in the middle, so it does if at least half of the frame is
+    smaller: a count, without sorting the frame.
+    """
+    v, arr = col(value), col(frame_values)
+    return (F.size(arr) >= least) & (F.size(F.filter(arr, lambda x: x < v)) * 2 >= F.size(arr))
 
 
 def edge_weights(window: int, degree: int, deriv: int = 0, edge: str = "right") -> list[float]:

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from barloom.config import IndicatorConfig
-from barloom.functions.cols import Series, clip, div, edge_weights, fill, fir, flag, num, rank_pct, ratio
+from barloom.functions.cols import Series, above_median, clip, div, edge_weights, fill, fir, flag, num, rank_pct, ratio
 from barloom.functions.joins import asof_calendar
 from barloom.functions.longseries import forward_fill
 from barloom.functions.recur import Tracker, span_ema
@@ -50,6 +50,14 @@ def change(a: Column, b: Column) -> Column:
     return div(a, b) - 1
 
 
+def highest(parts: list[Column]) -> Column:
+    return F.greatest(*parts)
+
+
+def lowest(parts: list[Column]) -> Column:
+    return F.least(*parts)
+
+
 LAGS = (1, 3, 5, 10, 20)
 
 RETURNS = {
@@ -63,8 +71,9 @@ RETURNS = {
 }
 
 RANGES = {
-    0: lambda s, c: {"_h252": s.high("close", 252, 50), "_l252": s.low("close", 252, 50)},
-    1: lambda s, c: {
+    0: lambda s, c: {"_h21": s.high("close", 21, 1), "_l21": s.low("close", 21, 1)},
+    2: lambda s, c: {"_h252": s.parts(highest, "close", "_h21", 21, 252, 50), "_l252": s.parts(lowest, "close", "_l21", 21, 252, 50)},
+    3: lambda s, c: {
         "f_close_to_52w_high": ratio("close", "_h252"), "f_close_to_52w_low": ratio("close", "_l252"),
         "f_high_low_range": clip(fill(div(F.nullif(C("high") - C("low"), num(0)), "close"), 0.02), 0, 0.15),
     },
@@ -73,8 +82,8 @@ RANGES = {
 VOLATILITY = {
     2: lambda s, c: {"f_realized_vol_5d": fill(s.std("_ret", 5), 0.015),
                      "f_realized_vol_20d": fill(s.std("_ret", 20), 0.015)},
-    6: lambda s, c: {"_vmed": s.quantile("f_realized_vol_20d", 0.5, 120, 30)},
-    8: lambda s, c: {"f_vol_regime": flag(C("f_realized_vol_20d") > C("_vmed")).cast("double")},
+    6: lambda s, c: {"_vols": s.values("f_realized_vol_20d", 120)},
+    8: lambda s, c: {"f_vol_regime": flag(above_median("f_realized_vol_20d", "_vols", 30)).cast("double")},
 }
 
 

@@ -213,6 +213,20 @@ def sequence_sampling(spark, sf_dir):
     return datasets.sequence_stride(tables.bars(spark, sf_dir), 5000)
 
 
+STEPS = """steps AS (SELECT symbol, CAST(greatest(5, floor(available * 2000 / t)) AS BIGINT) AS take, CAST(greatest(1, floor(available / greatest(5, floor(available * 2000 / t)))) AS BIGINT) AS step FROM
+ (SELECT symbol, available, CAST(greatest(1, sum(available) OVER ()) AS DOUBLE) AS t FROM (SELECT symbol, greatest(0, count(*) - 30) AS available FROM bars GROUP BY 1 HAVING count(*) >= 35))),
+sq AS (SELECT symbol, ts, close, row_number() OVER (PARTITION BY symbol ORDER BY ts) - 31 AS i, list(close) OVER (PARTITION BY symbol ORDER BY ts ROWS 29 PRECEDING) AS seq FROM bars)"""
+
+
+@query("sampled_sequences", q.with_(q.BARS, STEPS) + f"""SELECT symbol, ts, {rnd(['list_sum(list_transform(range(1, 31), lambda j: seq[j] * j)) / 1000 AS digest', 'close AS label'], 2)} FROM sq JOIN steps USING (symbol)
+ WHERE i >= 0 AND i % step = 0 AND i / CAST(step AS DOUBLE) < take""")
+def sampled_sequences(spark, sf_dir):
+    """Sequences at the proportional step of each symbol, up to its share of 2,000."""
+    out = datasets.sampled_sequences(tables.bars(spark, sf_dir), ["close"], 2000, 30, label="close")
+    digest = F.aggregate(F.transform("sequence", lambda x, i: x[0] * (i + 1)), F.lit(0.0), lambda a, x: a + x) / 1000
+    return tidy(out.select("symbol", "ts", digest.alias("digest"), F.col("close").alias("label")), digits=2)
+
+
 @query("sequence_split", q.with_(q.BARS, """days AS (SELECT ts, count(*) AS c FROM bars GROUP BY 1),
  cut AS (SELECT min(ts) AS cutoff FROM (SELECT ts, CAST(sum(c) OVER (ORDER BY ts) AS DOUBLE) / sum(c) OVER () AS s FROM days) WHERE s > 0.85),
  sides AS (SELECT symbol, ts, CASE WHEN ts < cutoff THEN 'train' ELSE 'test' END AS part FROM bars, cut)""")

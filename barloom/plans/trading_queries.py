@@ -321,6 +321,22 @@ def equity_curve(spark, sf_dir):
     return tidy(equity(spark, sf_dir), digits=2)
 
 
+MARKED_EQUITY = """mf AS (SELECT ts, sum(cash) AS cash FROM (SELECT ts, -entry_price * quantity AS cash FROM ct UNION ALL SELECT CAST(ts + CAST(hold_days AS INTEGER) AS DATE), exit_price * quantity FROM ct) GROUP BY 1),
+mm AS (SELECT CAST(ts + CAST(i AS INTEGER) AS DATE) AS ts, sum(quantity * (entry_price + (exit_price - entry_price) * i / hold_days)) AS value FROM ct, unnest(range(0, hold_days)) t(i) GROUP BY 1),
+me AS (SELECT ts, 1000000 + sum(coalesce(cash, 0)) OVER (ORDER BY ts ROWS UNBOUNDED PRECEDING) + coalesce(value, 0) AS equity FROM mf FULL JOIN mm USING (ts))"""
+
+
+@query("marked_equity", q.with_(q.FILLS, CLOSED, MARKED_EQUITY) + f"SELECT ts, {rnd(['equity'], 2)} FROM me")
+def marked_equity(spark, sf_dir):
+    """Equity with open positions: bought at entry, sold after `hold_days`, marked on the line between the prices."""
+    t = closed_trades(spark, sf_dir)
+    value = C("quantity") * C("entry_price")
+    flows = t.select("ts", (-value).alias("cash")).union(t.select(F.date_add("ts", C("hold_days")), C("quantity") * C("exit_price")))
+    held = t.filter("hold_days > 0").withColumn("i", F.explode(F.sequence(F.lit(0), C("hold_days") - 1)))
+    marks = held.select(F.date_add("ts", C("i")).alias("ts"), (C("quantity") * (C("entry_price") + (C("exit_price") - C("entry_price")) * C("i") / C("hold_days"))).alias("value"))
+    return tidy(performance.equity_curve(flows, 1_000_000.0, marks), digits=2)
+
+
 @query("drawdowns", EQ_SQL + f"SELECT ts, {rnd(['peak'], 2)}, {rnd(['(equity - peak) / peak * 100 AS drawdown'])} FROM dd")
 def drawdowns(spark, sf_dir):
     out = performance.drawdowns(equity(spark, sf_dir))

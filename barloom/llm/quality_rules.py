@@ -179,7 +179,8 @@ def judged(measured: DataFrame, cutoffs: dict[str, dict[str, int]]) -> DataFrame
     """doc_id, the base measures, base_failed and kept, a row per row of `measured`.
 
     A null text has no words and fails the base rules; a null language falls into the shared
-    stratum; without labels no cutoff is certified and the base rules alone decide.
+    stratum; without labels no cutoff is certified and the base rules alone decide. Rows are
+    judged one by one: repeated ones alike, those without an id too.
     """
     m = F.col("m")
     base = [m[c].alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
@@ -187,4 +188,9 @@ def judged(measured: DataFrame, cutoffs: dict[str, dict[str, int]]) -> DataFrame
 
 
 def measured(docs: DataFrame) -> DataFrame:
+    """doc_id, lang and m (see `measures`) of each row of `docs`, whole texts whatever their length.
+
+    A null text counts as one without words; repeated rows give repeated rows; a null doc_id or
+    lang stays null; other columns are ignored; an empty table gives no rows.
+    """
     return docs.select("doc_id", "lang", measures(F.col("text")).alias("m"))

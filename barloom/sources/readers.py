@@ -68,6 +68,7 @@ def session_state(df: DataFrame, ts: str = "ts") -> DataFrame:
 
 # --- option contracts -------------------------------------------------------------------
 
+# Column headings of the exchange's contract files.
 CONTRACT_COLUMNS = {
     "strike": ("STRIKE_PR", "double"), "open_int": ("OPEN_INT", "double"), "oi_change": ("CHG_IN_OI", "double"),
     "close_price": ("CLOSE", "double"), "settle_price": ("SETTLE_PR", "double"), "volume": ("CONTRACTS", "double")}
@@ -127,6 +128,7 @@ def append_days(new: DataFrame, path: str, date: str = "trade_date") -> None:
      .partitionBy(date).parquet(path))
 
 
+# Field names of an option chain's JSON.
 SIDE = "struct<lastPrice:double,openInterest:bigint,changeinOpenInterest:bigint,totalTradedVolume:bigint>"
 CHAIN = ("struct<records:struct<underlyingValue:double,expiryDates:array<string>,"
          f"data:array<struct<expiryDate:string,strikePrice:double,CE:{SIDE},PE:{SIDE}>>>>")

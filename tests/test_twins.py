@@ -12,7 +12,8 @@ DIR = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 NAMES = ["top_ranked", "rsi", "directional_index", "supertrend", "hurst_exponent", "kalman_trend", "triple_barrier_label",
          "walk_forward_folds", "daily_options_summary", "max_pain_by_join", "option_greeks", "news_sentiment", "sector_tags",
-         "article_mentions", "trade_outcomes", "trade_verdicts", "performance_summary", "candles", "asof_fill_quote"]
+         "article_mentions", "trade_outcomes", "trade_verdicts", "performance_summary", "candles", "asof_fill_quote", "mark_to_market",
+         "life_verdicts", "marked_equity", "sampled_sequences", "yearly_extremes"]
 
 
 def rows(df: pd.DataFrame) -> list:

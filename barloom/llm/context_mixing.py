@@ -5,15 +5,17 @@ newline where a word could start ends the text. Each bit is predicted by counts
 hashed contexts (one to four bytes before it, the word so far, and the word so far together
 with the class of the previous word). The predictions are mixed in the logistic domain by
 weights that a gate picks (place in the word, how well the word so far is known, class of the
-previous word); weights are learned online, and an adaptive map refines the mixture. The
+previous word), and an adaptive map refines the mixture. The
 probabilities of all bits multiply to that of the text.
 
 A word's probability depends on its spelling and on the class of the word before it, so it is
 computed once per word and class over the whole corpus, and documents sum over their words.
 Counts come from all training documents: words are counted before they are shuffled, and the
-hashed counts have a fixed number of slots. Weights and map are fitted on a bounded sample of
-training words, each left out of its own counts. The most frequent words (HEAD, a bounded
-table) are summed where the text is read; the others are joined.
+hashed counts have a fixed number of slots. Weights and map are learned from all training words
+as often as they occur, each occurrence left out of its own counts: every task learns online from
+its share of the words, then weights are averaged by what their gates saw and the hits of the map
+are added. The most frequent words (HEAD, a bounded table) are summed where the text is read; the
+others are joined.
 """
 
 from __future__ import annotations
@@ -35,7 +37,9 @@ CLASSES = 8  # of the previous word
 SLOTS = (18, 19, 20, 20, 20, 20)  # bits of each context's table
 OFFSETS = np.cumsum([0] + [2**b for b in SLOTS])
 GATES = 8 * 3 * CLASSES
-FIT = 30_000  # sampled words that fit the mixer; bounded, does not grow
+RATE = 0.08  # of a step along a gate's mean slope
+LEAST = 256  # bits a gate's slope is taken over at least
+STRIDE = 1 << 14  # bytes between two steps
 TRAINERS = 64  # most tasks that hold a table of counts
 BLOCK = 1 << 18  # slots of a block of counts
 HEAD = 100_000  # words summed where they are read
@@ -65,10 +69,10 @@ class Classes(dict):
         return found
 
 
-def pairs_of(words: list[bytes], classes: Classes) -> Counter:
+def pairs_of(words: list[bytes], classes: Classes) -> Iterator[tuple[bytes, int]]:
     """(word, class before it) of all tokens of a text; the start counts as the end of a sentence."""
     before = [1, *map(classes.__getitem__, words)]
-    return Counter(zip([*words, END.encode()], before, strict=True))
+    return zip([*words, END.encode()], before, strict=True)
 
 
 class Bits:
@@ -108,7 +112,8 @@ class Bits:
             node = np.uint64(1) << np.uint64(k) | self.bytes >> np.uint64(8 - k)
             bit = (self.bytes >> np.uint64(7 - k) & np.uint64(1)).astype(np.int64)
             with np.errstate(over="ignore"):
-                slots = [(((c + node * np.uint64(0xE7037ED1A0B428DB)) * np.uint64(0x8EBC6AF09C88C6E3)) >> np.uint64(64 - SLOTS[i])).astype(np.int64) + OFFSETS[i]
+                node = node * np.uint64(0xE7037ED1A0B428DB)
+                slots = [(((c + node) * np.uint64(0x8EBC6AF09C88C6E3)) >> np.uint64(64 - SLOTS[i])).astype(np.int64) + OFFSETS[i]
                          for i, c in enumerate(self.contexts)]
             yield slots, bit, k
 
@@ -167,32 +172,39 @@ class Mixer:
         mapped = self.map[row, low] * (1 - part) + self.map[row, low + 1] * part
         return np.clip((1 / (1 + np.exp(-t)) + mapped) / 2, 1e-6, 1 - 1e-6)
 
-    def learn(self, x: np.ndarray, gate: np.ndarray, bit: np.ndarray, rate: float) -> None:
-        """One online step over a small block of bits."""
+    def learn(self, x: np.ndarray, gate: np.ndarray, bit: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """One online step over bits that occur n times. What each gate saw, and the bits and set bits at each place of the map."""
         t = self.mixed(x, gate)
-        p = 1 / (1 + np.exp(-t))
-        step = np.zeros_like(self.weights)
-        np.add.at(step, gate, ((bit - p)[:, None] * x).astype(np.float32))
-        seen = np.bincount(gate, minlength=GATES)[:, None]
-        self.weights += (rate * step / np.sqrt(np.maximum(seen, 1))).astype(np.float32)
-
-    def fit(self, samples: list[tuple[np.ndarray, np.ndarray, np.ndarray]], block: int = 256) -> Mixer:
-        """samples: (inputs, gate, bit). Two passes for the weights, one for the map."""
-        if not samples:
-            return self
-        x, gate, bit = (np.concatenate(c) for c in zip(*samples, strict=True))
-        order = np.random.default_rng(2).permutation(len(bit))
-        for sweep in range(2):
-            for n, at in enumerate(range(0, len(order), block)):
-                some = order[at:at + block]
-                self.learn(x[some], gate[some], bit[some], 0.005 / (1 + sweep * 4 + n / 2000))
-        t = self.mixed(x, gate)
-        near = np.rint((t + 8) * (self.STEPS / 16)).astype(np.int64)
-        ones, all_of = np.zeros_like(self.map), np.zeros_like(self.map)
-        np.add.at(ones, (gate // CLASSES, near), bit)
-        np.add.at(all_of, (gate // CLASSES, near), 1.0)
-        self.map = (ones + 20 * self.map) / (all_of + 20)
-        return self
+        near = gate // CLASSES * (self.STEPS + 1) + np.rint((t + 8) * (self.STEPS / 16)).astype(np.int64)
+        off, seen = (bit - 1 / (1 + np.exp(-t))) * n, np.bincount(gate, n, GATES)
+        slope = np.stack([np.bincount(gate, off * x[:, i], GATES) for i in range(x.shape[1])], 1)
+        self.weights += (RATE * slope / np.maximum(seen, LEAST)[:, None]).astype(np.float32)
+        return seen, np.stack([np.bincount(near, w, self.map.size).reshape(self.map.shape) for w in (n, n * bit)], 2)
+
+    def mapped(self, hits: np.ndarray, prior: float = 20.0) -> None:
+        self.map = (hits[:, :, 1] + prior * self.map) / (hits[:, :, 0] + prior)
+
+
+class Predictions:
+    """Stretched predictions and confidences of all slots (a fixed size), with a bit's own occurrence left out of both."""
+
+    def __init__(self, counts: np.ndarray):
+        n0, n1 = counts[:, 0], counts[:, 1]
+        self.left_out = np.stack([stretched(n0 - 1, n1), stretched(n0, n1 - 1)], 1).astype(np.float16).reshape(-1)
+        self.sure = confidence(counts[OFFSETS[4]:OFFSETS[5]].sum(1) - 1).astype(np.uint8)
+
+    def teach(self, mixer: Mixer, words: list[bytes], classes: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All bits of words that occur n times after a class, learned in turn; sums of what `learn` gives."""
+        seen, hits = np.zeros(GATES), np.zeros((*mixer.map.shape, 2))
+        for at in batches_of(words, STRIDE):
+            bits = Bits(words[at], classes[at])
+            times = n[at][bits.word].astype(np.float64)
+            for slots, bit, _ in bits.steps():
+                x = np.stack([self.left_out[2 * s + bit] for s in slots], 1).astype(np.float32)
+                some = mixer.learn(x, mixer.gate(bits, self.sure[slots[4] - OFFSETS[4]].astype(np.int64)), bit, times)
+                seen += some[0]
+                hits += some[1]
+        return seen, hits
 
 
 class Model:
@@ -281,30 +293,35 @@ def bit_counts(vocabulary: DataFrame, tasks: int) -> np.ndarray:
     return out
 
 
-def fitted(vocabulary: DataFrame, counts: np.ndarray, total: int) -> Mixer:
-    """The mixer, learned on sampled training words that are left out of their own counts."""
-    n = F.aggregate("trained", F.lit(0).cast("long"), lambda a, x: a + x)
-    draw = F.pmod(F.xxhash64("word"), F.lit(1 << 30)) / float(1 << 30)
-    rows = vocabulary.filter((F.length("word") <= HEAD_BYTES) & (draw * total < n * FIT)).select("word", "trained").limit(2 * FIT).collect()
-    if not rows:
-        return Mixer()
-    rows = sorted(rows, key=lambda r: zlib.crc32(r["word"].encode()))
-    words, cls, _, n = flat(pd.Series([r["word"] for r in rows]), pd.Series([r["trained"] for r in rows]))
-    times = np.random.default_rng(1).poisson(np.minimum(n * (FIT / total), 200.0))  # occurrences of frequent words in a sample of FIT
-    rare = n * (FIT / total) < 1
-    times[rare] = np.maximum(times[rare], 1)
-    words, cls = [w for w, t in zip(words, times, strict=True) for _ in range(t)], np.repeat(cls, times)
-    shuffled = np.random.default_rng(3).permutation(len(words))[:FIT]
-    samples, bits = [], Bits([words[i] for i in shuffled], cls[shuffled])
-    for slots, bit, _ in bits.steps():
-        inputs = []
-        for s in slots:
-            pair = counts[s].astype(np.float64)
-            pair[np.arange(len(bit)), bit] -= 1
-            inputs.append(stretched(pair[:, 0], pair[:, 1]))
-        sure = confidence(counts[slots[4]].sum(1) - 1)
-        samples.append((np.stack(inputs, 1), Mixer.gate(bits, sure), bit))
-    return Mixer().fit(samples)
+def fitted(vocabulary: DataFrame, counts: np.ndarray, tasks: int) -> Mixer:
+    """The mixer, learned from all training words as often as they occur, each occurrence left out of its own counts.
+
+    Words are dealt and ordered by their hashes, so the same words give the same mixer.
+    """
+    predictions = vocabulary.sparkSession.sparkContext.broadcast(Predictions(counts))  # a fixed number of slots
+
+    def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        mixer = Mixer()
+        seen, hits = np.zeros(GATES), np.zeros((*mixer.map.shape, 2))
+        for batch in batches:
+            words, cls, _, n = flat(batch["word"], batch["trained"])
+            some = predictions.value.teach(mixer, words, cls, n)
+            seen, hits = seen + some[0], hits + some[1]
+        if seen.any():
+            yield pd.DataFrame({"part": [0, 1, 2], "data": [x.tobytes() for x in (mixer.weights * seen[:, None], seen, hits)]})
+
+    def added(group: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"part": group["part"].iloc[:1], "data": [sum(np.frombuffer(d) for d in sorted(group["data"])).tobytes()]})
+
+    dealt = vocabulary.select("word", "trained").repartition(tasks, "word").sortWithinPartitions(F.xxhash64("word"), "word")
+    rows = dealt.mapInPandas(task, "part int, data binary").groupBy("part").applyInPandas(added, "part int, data binary").collect()
+    predictions.destroy()
+    mixer = Mixer()
+    if rows:
+        weights, seen, hits = (np.frombuffer(r["data"]) for r in sorted(rows, key=lambda r: r["part"]))
+        mixer.weights = np.where(seen[:, None] > 0, weights.reshape(GATES, -1) / np.maximum(seen, 1)[:, None], mixer.weights).astype(np.float32)
+        mixer.mapped(hits.reshape(*mixer.map.shape, 2))
+    return mixer
 
 
 def scored(docs: DataFrame, folds: int = 7, held: int = 2) -> DataFrame:
@@ -322,8 +339,9 @@ def scored(docs: DataFrame, folds: int = 7, held: int = 2) -> DataFrame:
     trained = F.aggregate("trained", F.lit(0).cast("long"), lambda a, x: a + x)
     size = vocabulary.agg(F.sum(trained).alias("n"), F.sum((trained > 0).cast("long")).alias("v"), F.count(F.lit(1)).alias("rows")).first()
     total, distinct = size["n"] or 0, size["v"] or 0
-    counts = bit_counts(vocabulary, max(1, min(TRAINERS, size["rows"] // 50_000)))
-    model = spark.sparkContext.broadcast(Model(counts, fitted(vocabulary, counts, total)))  # a fixed number of slots
+    tasks = max(1, min(TRAINERS, size["rows"] // 50_000))
+    counts = bit_counts(vocabulary, tasks)
+    model = spark.sparkContext.broadcast(Model(counts, fitted(vocabulary, counts, tasks)))  # a fixed number of slots
     del counts
 
     def spell(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

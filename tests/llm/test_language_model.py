@@ -94,3 +94,16 @@ def test_no_training_rows(spark, nothing):
     assert (rows[0].n_known, rows[0].train_tokens, rows[0].base_score) == (0, 0, 0.0)
     assert rows[0].score == pytest.approx(-(3 + 1) * 8 * math.log10(2), rel=1e-6)
     assert M.scored(nothing).count() == 0
+
+
+def test_mixer_learns_from_all_words(spark):
+    """Every training word teaches the mixer, long ones too, and how words lie in partitions changes nothing."""
+    words = [f"{'averylongword' * 4}{i}" for i in range(70)]
+    n = [i % 5 + 1 for i in range(70)]
+    vocabulary = spark.createDataFrame([(w, [k] + [0] * (M.CLASSES - 1)) for w, k in zip(words, n, strict=True)], "word string, trained array<long>")
+    counts = np.zeros((int(M.OFFSETS[-1]), 2), np.float32)
+    M.count_bits(counts, [w.encode() for w in words], np.zeros(70, np.int64), np.array(n))
+    mixers = [M.fitted(v, counts, 2) for v in (vocabulary.coalesce(1), vocabulary.repartition(5), vocabulary.filter("word not like '%7'"))]
+    assert not np.array_equal(mixers[0].weights, M.Mixer().weights)
+    assert np.array_equal(mixers[0].weights, mixers[1].weights) and np.array_equal(mixers[0].map, mixers[1].map)
+    assert not np.array_equal(mixers[0].map, mixers[2].map)

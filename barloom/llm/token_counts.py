@@ -6,6 +6,9 @@ both end a token and where the split of the pattern is proven: a place no pre-to
 cross, whatever stands around it. Where the overlap has no such place it is widened
 fourfold until it has one or reaches the end of the text. Memory follows the chunk (or the
 stretch without a proven place), not the text.
+
+A shorter text is cut before spaces where no pre-token can cross either. Counts of pieces that
+come again are kept, most pieces are among them; the others are encoded in a row.
 """
 
 from __future__ import annotations
@@ -21,6 +24,38 @@ from barloom.llm.common import per_row, texts
 # cross. A pre-token holds white space only in front, letters and digits never meet in one,
 # and letters are never followed by these marks.
 PROVEN = re.compile(r"(?<=[A-Za-z0-9])(?=[ \n])|(?<=[A-Za-z])(?=[0-9.,;:!?])|(?<=[0-9])(?=[A-Za-z])")
+# The same for a space after any visible ASCII character: white space stands only in front of a pre-token.
+PIECE = re.compile(r"(?<=[!-~])(?= )")
+KNOWN = 200_000  # counts of pieces a task keeps, forgotten when there are more
+SHORT = 48  # longest piece kept, in characters
+
+
+class Known(dict):
+    """Token counts of pieces met twice or more. `count` gives those of a list of strings."""
+
+    def __init__(self, count):
+        self.count, self.met = count, set()
+
+    def counts(self, texts: list[str]) -> list[int]:
+        """Tokens of each text: the sum over its known pieces, and what the other ones count in a row."""
+        if len(self) > KNOWN:
+            self.clear()
+        totals, rests, again = [], [], set()
+        for text in texts:
+            pieces = PIECE.split(text)
+            found = list(map(self.get, pieces))
+            rest = [p for p, n in zip(pieces, found, strict=True) if n is None]
+            totals.append(sum(filter(None, found)))
+            rests.append("".join(rest))
+            again.update(p for p in rest if p in self.met and len(p) <= SHORT)
+            self.met.update(rest)
+        again = list(again)
+        counts = self.count(rests + again)
+        self.update(zip(again, counts[len(rests):], strict=True))
+        self.met.difference_update(again)
+        if len(self.met) > KNOWN:
+            self.met.clear()
+        return [a + b for a, b in zip(totals, counts, strict=False)]
 
 
 def splice(left: list[tuple[int, int]], right: list[tuple[int, int]], places: list[int], shift: int) -> tuple[int, int] | None:
@@ -80,12 +115,13 @@ def token_counts(docs: DataFrame, tokenizer_path: str, limit: int = 1024, chunk:
         tok.no_truncation()
         tok.no_padding()
 
+        known = Known(lambda pieces: [len(e) for e in tok.encode_batch_fast(pieces, add_special_tokens=False)])
+
         def offsets(s):
             return tok.encode(s, add_special_tokens=False).offsets
 
         def work(rows):
-            short = [r["text"] for r in rows if len(r["text"]) <= chunk]
-            counts = iter([len(e) for e in tok.encode_batch_fast(short, add_special_tokens=False)])
+            counts = iter(known.counts([r["text"] for r in rows if len(r["text"]) <= chunk]))
             out = []
             for row in rows:
                 text = row["text"]

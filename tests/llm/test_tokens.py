@@ -109,3 +109,22 @@ def test_empty(nothing):
     assert token_counts.token_counts(nothing, COUNTS).count() == 0
     assert byte_bpe.round_trip(nothing, RANKS, P.PATTERN).count() == 0
     assert bin_packing.packed(nothing, PACKS).count() == 0
+
+
+def test_pieces_count_as_whole_texts():
+    """Counts of pieces add up to those of the library, and a piece met twice is not encoded a third time."""
+    rng = random.Random(8)
+    marks = ["a", "Z", "1", " ", "  ", "\n", "\t", "'", "'s", "!", "é", "中", "<|endoftext|>", "\xa0", "\u3000", "\x1c", "\x85", "\u200b", "~", "\U0001f600", "\r\n"]
+    texts = ["".join(rng.choice(marks) for _ in range(rng.randrange(25))) for _ in range(5000)]
+    tok, encoded = Tokenizer.from_file(COUNTS), []
+
+    def count(some):
+        encoded.append(sum(map(len, some)))
+        return [len(e.ids) for e in tok.encode_batch(some, add_special_tokens=False)]
+
+    known = token_counts.Known(count)
+    got = [n for at in range(0, 5000, 50) for n in known.counts(texts[at:at + 50])]
+    assert got == [len(e.ids) for e in tok.encode_batch(texts, add_special_tokens=False)]
+    words = token_counts.Known(count)
+    assert words.counts(["one two three"]) == words.counts(["one two three"]) == words.counts(["one two three"])
+    assert encoded[-1] == 0

@@ -1,6 +1,8 @@
-"""Near-duplicates by Jaccard similarity of word shingles.
+"""Near-duplicates by SimHash and by Jaccard similarity of word shingles.
 
-Contents (distinct texts) meet where one of BANDS bands of ROWS minimum hashes agrees: at the
+Contents (distinct texts) meet where their SimHash fingerprints are equal or linked by the
+vantage-point trees of `simhash_trees` (4 or fewer differing bits), which finds the closest
+ones. Similar texts differ in more bits than that, so contents also meet where one of BANDS bands of ROWS minimum hashes agrees: at the
 similarity asked for, a pair misses all bands with probability (1 - 0.8**5)**20 = 0.0004, and more
 similar ones less often. Every link is checked on the whole shingle sets. In a band members
 are compared with its leader first, the one that meets most others, then what is outside the
@@ -14,11 +16,11 @@ its similar pairs connect, and a group of copies costs a few links per row.
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barloom.llm.common import cut, per_row
-from barloom.llm.simhash_trees import stars
+from barloom.llm.simhash_trees import fingerprint, links, stars
 
 WIDTH = 5  # words of a shingle
 SIMILAR = 0.8
@@ -92,9 +94,11 @@ def bounded(members: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
     """`members` with the size of each set and how many of its shingles occur under several roots; those shingles with their frequency."""
     roots = members.select("key", "root").distinct()
     spread = sets.join(roots, "key").select("key", "root", F.explode("shingles").alias("shingle")).repartition("shingle")
-    common = spread.groupBy("shingle").agg(F.min("root").alias("one"), F.max("root").alias("two"), F.count(F.lit(1)).alias("df")).filter("one <> two").select("shingle", "df")
-    common = cut(common)
-    shared = spread.join(common, "shingle", "left_semi").groupBy("key").agg(F.count(F.lit(1)).alias("shared"))
+    same = Window.partitionBy("shingle")  # shingles move once
+    several = cut(spread.select("key", "shingle", F.min("root").over(same).alias("one"), F.max("root").over(same).alias("two"), F.count(F.lit(1)).over(same).alias("df"))
+                  .filter("one <> two").select("key", "shingle", "df"))
+    common = several.select("shingle", "df").distinct()
+    shared = several.groupBy("key").agg(F.count(F.lit(1)).alias("shared"))
     sized = sets.join(roots, "key", "left_semi").select("key", F.size("shingles").alias("size")).join(shared, "key", "left")
     return cut(members.join(sized.withColumn("shared", F.coalesce("shared", F.lit(0))), "key")), common
 
@@ -128,6 +132,15 @@ def prefix_links(members: DataFrame, sets: DataFrame, common: DataFrame) -> Data
             .select(F.greatest("key", "other_key").alias("a"), F.least("key", "other_key").alias("b")).distinct())
 
 
+def close(prints: DataFrame) -> DataFrame:
+    """Pairs (a, b) of contents that connect what equal and linked SimHash fingerprints connect. `prints`: key, fp."""
+    named = cut(prints.groupBy("fp").agg(F.min("key").alias("name"), F.count(F.lit(1)).alias("n")))
+    equal = prints.join(named.filter("n > 1"), "fp").filter("key <> name").select(F.col("key").alias("a"), F.col("name").alias("b"))
+    near = (links(named.select("fp")).join(named.select(F.col("fp").alias("a"), F.col("name").alias("x")), "a")
+            .join(named.select(F.col("fp").alias("b"), F.col("name").alias("y")), "b").select(F.col("x").alias("a"), F.col("y").alias("b")))
+    return cut(equal.union(near).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+
+
 def joined(star: DataFrame, links: DataFrame) -> DataFrame:
     """Components of a star and further links."""
     links = cut(links)
@@ -141,22 +154,24 @@ def components(docs: DataFrame) -> DataFrame:
     an empty table gives no rows; other columns are ignored.
     """
     def banded():
-        return lambda rows: [{"key": r["key"], "bands": bands(shingles(r["text"])).tolist()} for r in rows]
+        return lambda rows: [{"key": r["key"], "fp": fingerprint(r["text"]), "bands": bands(shingles(r["text"])).tolist()} for r in rows]
 
     def whole():
         return lambda rows: [{"key": r["key"], "shingles": shingles(r["text"]).view(np.int64).tolist()} for r in rows]
 
-    prints = cut(per_row(contents(docs), banded, "key long, bands array<long>").dropDuplicates(["key"]))
+    prints = cut(per_row(contents(docs), banded, "key long, fp long, bands array<long>").dropDuplicates(["key"]))
     rows = prints.select("key", F.posexplode("bands").alias("place", "band")).repartition("place", "band")  # counted and joined in place
     crowds = rows.groupBy("place", "band").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     crowd = cut(rows.join(crowds, ["place", "band"]))
     fame = cut(crowd.groupBy("key").agg(F.sum("n").alias("fame")))
-    one_each = contents(docs).join(fame.select("key"), "key", "left_semi").groupBy("key").agg(F.first("text").alias("text"))
+    simhash = close(prints.select("key", "fp"))
+    met = fame.select("key").union(simhash.select("a")).union(simhash.select("b")).distinct()
+    one_each = contents(docs).join(met, "key", "left_semi").groupBy("key").agg(F.first("text").alias("text"))
     sets = cut(per_row(one_each, whole, "key long, shingles array<long>"))
 
     leaders = crowd.join(fame, "key").groupBy("place", "band").agg(F.max(F.struct("fame", "key"))["key"].alias("leader"))
     led = cut(crowd.join(leaders, ["place", "band"]).filter("key <> leader")
-              .select(F.greatest("key", "leader").alias("a"), F.least("key", "leader").alias("b")).distinct())
+              .select(F.greatest("key", "leader").alias("a"), F.least("key", "leader").alias("b")).union(simhash).distinct())
     star = stars(similar(led, sets))
 
     def rooted(rows, star):

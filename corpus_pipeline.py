@@ -33,6 +33,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component of texts with a 5-word Jaccard similarity of 0.8 or more.
 
+    Texts are compared where SimHash trees link their fingerprints and where bands of minimum hashes agree.
+
     The one with the smallest doc_id stays, of equal ids the one with the smallest hash of its
     row; rows without an id come after all others. Rows that agree in all columns are one.
     """

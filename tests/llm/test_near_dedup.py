@@ -4,6 +4,7 @@ import random
 
 import corpus_pipeline
 from barloom.llm import shingle_sets
+from barloom.llm.simhash_trees import fingerprint
 from tests.llm.conftest import SMALL
 
 
@@ -100,3 +101,36 @@ def test_links_between_components(spark):
     rng.shuffle(rows)
     rows = [(i, " ".join(r)) for i, r in enumerate(rows)]
     assert kept(spark, rows) == plain_kept(rows)
+
+
+def test_simhash_takes_part(spark, monkeypatch):
+    """The stage asks the SimHash trees, and their pairs connect what 4 differing bits connect."""
+    rng, asked = random.Random(17), []
+    texts = []
+    for f in range(30):
+        base = [f"f{f}w{i}" for i in range(150)]
+        texts += [" ".join(edited(base, n, rng)) for n in (0, 1, 1, 2)]
+    plain = shingle_sets.close
+
+    def watched(prints):
+        asked.append((prints, plain(prints)))
+        return asked[-1][1]
+
+    monkeypatch.setattr(shingle_sets, "close", watched)
+    assert kept(spark, list(enumerate(texts))) == plain_kept(list(enumerate(texts)))
+    prints, pairs = ([tuple(r) for r in df.collect()] for df in asked[0])
+    assert {p[1] for p in prints} == {fingerprint(t) for t in texts}
+    assert parts(prints, pairs) == parts(prints, [(a, b) for a, x in prints for b, y in prints if ((x ^ y) & (2**64 - 1)).bit_count() <= 4])
+    assert pairs
+
+
+def parts(prints, pairs):
+    """The component's least key of each key."""
+    root = {k: k for k, _ in prints}
+    for _ in prints:
+        before = dict(root)
+        for a, b in pairs:
+            root[a] = root[b] = min(root[a], root[b])
+        if root == before:
+            break
+    return root

@@ -16,7 +16,7 @@ from math import log2
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm.common import cut, per_row
+from barloom.llm.common import cut, parted, per_row
 
 KINDS = ("assign", "access", "hex", "token")  # in the order of equal starts; the last is the method's
 # Patterns of the base kinds.
@@ -123,13 +123,17 @@ def listed(spans: Column) -> Column:
 
 
 def masked(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """`docs` with all spans of `found` (see `secrets`) overwritten by as many asterisks; texts keep their length."""
-    spans = (found.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), F.concat("base", "added").alias("_spans"))
+    """`docs` with all spans of `found` (see `secrets`) overwritten by as many asterisks; texts keep their length.
+
+    Only rows that may have spans are joined; the others stay where they are.
+    """
+    spans = cut(found.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), F.concat("base", "added").alias("_spans"))
              .filter(F.size("_spans") > 0).dropDuplicates(["_id", "_hash"]))
-    same = docs["doc_id"].eqNullSafe(F.col("_id")) & (F.xxhash64(docs["text"]) == F.col("_hash"))
+    some, rest = parted(docs, F.xxhash64(F.col("doc_id").cast("long"), F.xxhash64("text")), spans.select(F.xxhash64("_id", "_hash")))
+    same = some["doc_id"].eqNullSafe(F.col("_id")) & (F.xxhash64(some["text"]) == F.col("_hash"))
 
     def mask(text, s):
         return F.concat(F.substring(text, F.lit(1), s["start"]), F.repeat(F.lit("*"), s["end"] - s["start"]), F.substring(text, s["end"] + 1, F.length(text)))
 
-    text = F.when(F.col("_spans").isNull(), docs["text"]).otherwise(F.aggregate("_spans", docs["text"], mask))
-    return docs.join(spans, same, "left").select(*[text.alias(c) if c == "text" else docs[c] for c in docs.columns])
+    text = F.when(F.col("_spans").isNull(), some["text"]).otherwise(F.aggregate("_spans", some["text"], mask))
+    return some.join(spans, same, "left").select(*[text.alias(c) if c == "text" else some[c] for c in docs.columns]).union(rest)

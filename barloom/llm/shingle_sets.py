@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from barloom.llm.common import cut, per_row
+from barloom.llm.common import cut, parted, per_row
 from barloom.llm.simhash_trees import fingerprint, links, stars
 
 WIDTH = 5  # words of a shingle
@@ -165,8 +165,9 @@ def components(docs: DataFrame) -> DataFrame:
     crowd = cut(rows.join(crowds, ["place", "band"]))
     fame = cut(crowd.groupBy("key").agg(F.sum("n").alias("fame")))
     simhash = close(prints.select("key", "fp"))
-    met = fame.select("key").union(simhash.select("a")).union(simhash.select("b")).distinct()
-    one_each = contents(docs).join(met, "key", "left_semi").groupBy("key").agg(F.first("text").alias("text"))
+    met = cut(fame.select("key").union(simhash.select("a")).union(simhash.select("b")).distinct())
+    some, _ = parted(contents(docs), F.col("key"), met)  # other texts stay where they are
+    one_each = some.join(met, "key", "left_semi").groupBy("key").agg(F.first("text").alias("text"))
     sets = cut(per_row(one_each, whole, "key long, shingles array<long>"))
 
     leaders = crowd.join(fame, "key").groupBy("place", "band").agg(F.max(F.struct("fame", "key"))["key"].alias("leader"))

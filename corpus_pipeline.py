@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from barloom.llm import bin_packing, quality_rules, secret_owners, shingle_sets
-from barloom.llm.common import cut, table
+from barloom.llm.common import cut, parted, table
 from barloom.session import checkpoint_folder
 
 
@@ -22,10 +22,9 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rules and the certified cutoffs keep.
 
     Cutoffs are fitted on the labelled documents among `docs`; null texts have no words and go.
+    Measures meet the labels, texts do not move.
     """
-    labels = table(spark, sf_dir, "labels")
-    labelled = docs.select("doc_id", "lang", "text").join(labels.select("doc_id").dropna().distinct(), "doc_id", "left_semi")
-    cutoffs = quality_rules.fit(cut(quality_rules.measured(labelled)), labels)
+    cutoffs = quality_rules.fit(cut(quality_rules.measured(docs)), table(spark, sf_dir, "labels"))
     m = quality_rules.measures(docs["text"])
     return docs.withColumn("_measures", m).filter(quality_rules.kept(F.col("_measures"), F.col("lang"), cutoffs)).select(docs.columns)
 
@@ -39,13 +38,16 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     row; rows without an id come after all others. Rows that agree in all columns are one.
     """
     row = F.xxhash64("doc_id", "text", "lang", "source", "n_chars")
-    roots = shingle_sets.components(docs).select(F.col("key").alias("_key"), F.col("root").alias("_root"))
-    narrow = docs.select("doc_id", row.alias("_hash"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("_key")).join(roots, "_key", "left")
+    key = F.xxhash64(F.coalesce("text", F.lit("")))
+    roots = cut(shingle_sets.components(docs).select(F.col("key").alias("_key"), F.col("root").alias("_root")))
+    copies = docs.groupBy(key.alias("_key")).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")
+    some, alone = parted(docs, key, copies.select("_key").union(roots.select("_key")).union(roots.select("_root")))  # the latter have no duplicate and stay
+    narrow = some.select("doc_id", row.alias("_hash"), key.alias("_key")).join(roots, "_key", "left")
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_hash"))["_hash"].alias("_hash")
     stays = narrow.groupBy(F.coalesce("_root", "_key")).agg(first).select("_hash")
     copy = F.row_number().over(Window.partitionBy("_hash").orderBy("_hash"))  # where the join puts them, so texts move once
-    kept = docs.withColumn("_hash", row).join(stays, "_hash", "left_semi").withColumn("_copy", copy)
-    return kept.filter("_copy = 1").select(docs.columns)
+    kept = some.withColumn("_hash", row).join(stays, "_hash", "left_semi").withColumn("_copy", copy)
+    return kept.filter("_copy = 1").select(docs.columns).union(alone)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

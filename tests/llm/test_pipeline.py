@@ -104,3 +104,62 @@ def test_registry():
     names = [re.match(r"op(\d+)_", n)[1] for n in queries.QUERIES]
     assert names == [str(n) for n in range(1, 14)]
     assert quality_rules.STRATA and [name for name, _ in corpus_pipeline.STAGES] == ["quality_rules", "simhash_near_dedup", "secret_scan", "best_fit_packing"]
+
+
+def moved(df):
+    """Rows that go into shuffles while `df` is collected."""
+    df.collect()
+    plans, rows = [df._jdf.queryExecution().executedPlan()], 0
+    while plans:
+        plan = plans.pop()
+        name, metrics = plan.nodeName(), plan.metrics()
+        if metrics.contains("shuffleRecordsWritten"):
+            rows += metrics.apply("shuffleRecordsWritten").value()
+        if name.startswith("AdaptiveSparkPlan"):
+            plans.append(plan.executedPlan())
+        elif name.endswith("QueryStage"):
+            plans.append(plan.plan())
+        else:
+            plans += [plan.children().apply(i) for i in range(plan.children().size())]
+    return rows
+
+
+@pytest.fixture
+def large(spark):
+    """Joins as with tables too large to broadcast."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    yield
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_texts_stay(spark, large, monkeypatch):
+    """Texts without a duplicate or a secret are not shuffled, labels meet measures instead of texts."""
+    rng = random.Random(9)
+    texts = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(60)) for _ in range(1500)]
+    texts += [texts[0], texts[1] + " more", "password = hunter2hunter2 " + texts[2]]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long").repartition(2).cache()
+    docs.count()
+    kept = corpus_pipeline.near_dedup(spark, docs, SMALL)
+    assert moved(kept) < 200
+    assert sorted(r.doc_id for r in kept.collect()) == [i for i in range(len(texts)) if i not in (1500, 1501, 1502)]
+    masked = corpus_pipeline.secrets(spark, docs, SMALL)
+    assert moved(masked) < 200
+    assert {r.doc_id: r.text for r in masked.collect()} == {i: t if i != 1502 else "*" * 25 + t[25:] for i, t in enumerate(texts)}
+    seen, plain = [], corpus_pipeline.cut
+    monkeypatch.setattr(corpus_pipeline, "cut", lambda df: seen.append(df._jdf.queryExecution().executedPlan().toString()) or plain(df))
+    assert corpus_pipeline.quality(spark, docs, SMALL).count() == len(texts)
+    assert len(seen) == 1 and "SortMergeJoin" not in seen[0]
+
+
+def test_parted(spark):
+    """Every row on one side, all keys among the former; without keys none."""
+    from pyspark.sql import functions as F
+
+    from barloom.llm.common import parted
+    rows = spark.range(-500, 500).union(spark.createDataFrame([(None,)], "id long"))
+    keys = spark.createDataFrame([(i,) for i in range(-500, 500, 7)] + [(None,)], "k long")
+    some, rest = ({r.id for r in part.collect()} for part in parted(rows, F.col("id"), keys))
+    assert {*range(-500, 500, 7), None} <= some and not some & rest and len(some | rest) == 1001 and len(some) < 200
+    some, rest = parted(rows, F.col("id"), keys.filter("false"))
+    assert (some.count(), rest.count()) == (0, 1001)

@@ -44,7 +44,7 @@ TRAINERS = 64  # most tasks that hold a table of counts
 BLOCK = 1 << 18  # slots of a block of counts
 HEAD = 100_000  # words summed where they are read
 HEAD_BYTES = 48  # longest of them, in characters
-FLUSH = 300_000  # distinct words a counting task holds before it passes them on
+FLUSH = 250_000  # distinct words a counting task holds before it passes them on
 BATCH = 1 << 19  # bytes coded at a time
 MARKS = frozenset(b".,!?:;")
 SYMBOLS = frozenset(b"#*$%&|<>!")
@@ -69,16 +69,63 @@ class Classes(dict):
         return found
 
 
-def pairs_of(words: list[bytes], classes: Classes) -> Iterator[tuple[bytes, int]]:
-    """(word, class before it) of all tokens of a text; the start counts as the end of a sentence."""
-    before = [1, *map(classes.__getitem__, words)]
-    return zip([*words, END.encode()], before, strict=True)
+class Pairs(dict):
+    """Numbers of words seen, and how often each follows each class in texts held out and others."""
+
+    def __init__(self):
+        self.forget()
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = number = len(self)
+        self.classes.append(word_class(word))
+        return number
+
+    def forget(self) -> None:
+        self.clear()
+        self[END.encode()] = 0
+        self.classes = [1]  # the start of a text, which follows the end of another, counts as the end of a sentence
+        self.counts = {out: np.zeros(0, np.int64) for out in (True, False)}
+        self.tokens: dict[bool, list[np.ndarray]] = {True: [], False: []}
+        self.waiting = 0
+
+    def add(self, words: list[bytes], out: bool) -> None:
+        """All tokens of a text, its end too."""
+        self.tokens[out].append(np.fromiter(map(self.__getitem__, [*words, END.encode()]), np.int32, len(words) + 1))
+        self.waiting += len(words) + 1
+        if self.waiting > BATCH:
+            self.settle()
+
+    def settle(self) -> None:
+        """Count the tokens that wait."""
+        classes = np.array(self.classes, np.int64)
+        for out, texts in self.tokens.items():
+            if texts:
+                number = np.concatenate(texts)
+                pair = number * np.int64(CLASSES)
+                pair[0] += 1
+                pair[1:] += classes[number[:-1]]
+                counts = np.bincount(pair, minlength=CLASSES * len(self))
+                counts[:len(self.counts[out])] += self.counts[out]
+                self.counts[out] = counts
+                texts.clear()
+        self.waiting = 0
+
+    def passed(self) -> Iterator[pd.DataFrame]:
+        """word, cls, held_out and n of all pairs seen, which are forgotten then."""
+        self.settle()
+        words = np.array([w.decode() for w in self], object)
+        for out, counts in self.counts.items():
+            row, cls = np.nonzero(counts.reshape(-1, CLASSES))
+            if len(row):
+                yield pd.DataFrame({"word": words[row], "cls": cls.astype(np.int32), "held_out": out, "n": counts[row * CLASSES + cls]})
+        self.forget()
 
 
 class Bits:
     """The bits of many words: for each of the eight bits of every byte, slots, gate parts and values.
 
-    `word` gives the word of each byte, so sums over bytes give words.
+    `word` gives the word of each byte, so sums over bytes give words. Words that begin alike
+    share their first bytes, which `distinct` keeps once: the more so the closer they are sorted.
     """
 
     def __init__(self, words: list[bytes], classes: np.ndarray):
@@ -106,6 +153,14 @@ class Bits:
             self.contexts = [c * np.uint64(0xD6E8FEB86659FD93) for c in (
                 one, two, three, four, prefix, prefix + (self.classes.astype(np.uint64) + np.uint64(1)) * np.uint64(0xA0761D6478BD642F))]
 
+    def distinct(self) -> np.ndarray:
+        """Keep each byte after the same beginning of a word and class once; gives the place of every byte among those kept."""
+        with np.errstate(over="ignore"):
+            key = (self.contexts[5] + self.bytes + np.uint64(1)) * np.uint64(0xE7037ED1A0B428DB)
+        _, first, place = np.unique(key, return_index=True, return_inverse=True)
+        self.bytes, self.place, self.classes, self.contexts = self.bytes[first], self.place[first], self.classes[first], [c[first] for c in self.contexts]
+        return place
+
     def steps(self) -> Iterator[tuple[list[np.ndarray], np.ndarray, int]]:
         """(slots per context, bit, its number in the byte), from the highest bit on."""
         for k in range(8):
@@ -134,7 +189,7 @@ def count_bits(counts: np.ndarray, words: list[bytes], classes: np.ndarray, weig
     """Add weighted bits to counts (slots x 2)."""
     for at in batches_of(words):
         bits = Bits(words[at], classes[at])
-        w = weight[at][bits.word].astype(np.float32)
+        w = np.bincount(bits.distinct(), weight[at][bits.word]).astype(np.float32)
         for slots, bit, _ in bits.steps():
             for s in slots:
                 np.add.at(counts.reshape(-1), 2 * s + bit, w)
@@ -220,34 +275,27 @@ class Model:
         out = np.zeros(len(words))
         for at in batches_of(words):
             bits = Bits(words[at], classes[at])
+            place = bits.distinct()
             total = np.zeros(len(bits.bytes))
             for slots, bit, _ in bits.steps():
                 x = np.stack([self.predictions[s] for s in slots], 1).astype(np.float32)
                 gate = self.mixer.gate(bits, self.sure[slots[4] - OFFSETS[4]].astype(np.int64))
                 p = self.mixer.refined(self.mixer.mixed(x, gate), gate)
                 total += np.log10(np.where(bit > 0, p, 1 - p))
-            out[at] = np.bincount(bits.word, total, minlength=at.stop - at.start)
+            out[at] = np.bincount(bits.word, total[place], minlength=at.stop - at.start)
         return out
 
 
 def counted(docs: DataFrame) -> DataFrame:
     """word and, in all documents and in training ones, how often it follows each class (arrays of CLASSES)."""
     def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        classes, held = Classes(), {True: Counter(), False: Counter()}
-
-        def passed():
-            for out, counts in held.items():
-                if counts:
-                    yield pd.DataFrame({"word": [w.decode() for w, _ in counts], "cls": np.array([c for _, c in counts], np.int32),
-                                        "held_out": out, "n": np.array(list(counts.values()), np.int64)})
-                counts.clear()
-
+        pairs = Pairs()
         for batch in batches:
             for text, out in zip(batch["text"], batch["held_out"], strict=True):
-                held[bool(out)].update(pairs_of(words_of(text), classes))
-                if sum(map(len, held.values())) > FLUSH:
-                    yield from passed()
-        yield from passed()
+                pairs.add(words_of(text), bool(out))
+                if len(pairs) > FLUSH:
+                    yield from pairs.passed()
+        yield from pairs.passed()
 
     pairs = docs.select("text", "held_out").mapInPandas(task, "word string, cls int, held_out boolean, n long")
 
@@ -284,7 +332,7 @@ def bit_counts(vocabulary: DataFrame, tasks: int) -> np.ndarray:
         total = sum(np.frombuffer(zlib.decompress(d), np.float32).astype(np.float64) for d in group["data"])
         return pd.DataFrame({"block": group["block"].iloc[:1], "data": [zlib.compress(total.astype(np.float32).tobytes(), 1)]})
 
-    spread = vocabulary.select("word", "trained").repartition(tasks)
+    spread = vocabulary.select("word", "trained").repartition(tasks).sortWithinPartitions("word")
     rows = spread.mapInPandas(task, "block int, data binary").groupBy("block").applyInPandas(added, "block int, data binary").collect()
     out = np.zeros((slots, 2), np.float32)
     for r in rows:
@@ -353,7 +401,7 @@ def scored(docs: DataFrame, folds: int = 7, held: int = 2) -> DataFrame:
             n = np.array(batch["uses"].tolist(), np.int64).reshape(-1, CLASSES).sum(1)
             yield pd.DataFrame({"word": batch["word"], "n": n, "known": known, "logs": list(table)})
 
-    spelled = cut(vocabulary.mapInPandas(spell, "word string, n long, known long, logs array<double>"))
+    spelled = cut(vocabulary.sortWithinPartitions("word").mapInPandas(spell, "word string, n long, known long, logs array<double>"))
     top = spelled.filter(F.length("word") <= HEAD_BYTES).orderBy(F.desc("n"), "word").limit(HEAD).select("word", "known", "logs").collect()
     under = float(total + distinct + 1)
     head = spark.sparkContext.broadcast((  # at most HEAD short words

@@ -107,3 +107,41 @@ def test_mixer_learns_from_all_words(spark):
     assert not np.array_equal(mixers[0].weights, M.Mixer().weights)
     assert np.array_equal(mixers[0].weights, mixers[1].weights) and np.array_equal(mixers[0].map, mixers[1].map)
     assert not np.array_equal(mixers[0].map, mixers[2].map)
+
+
+def test_shared_beginnings_are_coded_once(monkeypatch):
+    """Words that begin alike share their first bytes, with the scores and counts of words coded alone."""
+    words, classes = [b"abcdef", b"abcdeg", b"abcdef", b"xyz", b"abc"], np.array([0, 0, 1, 0, 0])
+    together, alone = np.zeros((int(M.OFFSETS[-1]), 2), np.float32), np.zeros((int(M.OFFSETS[-1]), 2), np.float32)
+    M.count_bits(together, words, classes, np.array([3, 1, 2, 5, 1]))
+    for i, n in enumerate([3, 1, 2, 5, 1]):
+        M.count_bits(alone, words[i:i + 1], classes[i:i + 1], np.array([n]))
+    assert (together == alone).all() and together.sum() > 0
+    model = M.Model(together, M.Mixer())
+    coded, mixed = [], M.Mixer.mixed
+    monkeypatch.setattr(M.Mixer, "mixed", lambda self, x, gate: coded.append(len(x)) or mixed(self, x, gate))
+    scores = model.scores(words, classes)
+    assert coded == [7 + 2 + 7 + 4 + 1] * 8
+    assert scores.tolist() == [float(model.scores(words[i:i + 1], classes[i:i + 1])[0]) for i in range(len(words))]
+
+
+def test_pairs(monkeypatch):
+    """Words and the classes before them are counted apart for texts held out, whatever waits or is passed on."""
+    texts = [["one", "two.", "one", "$x"], [], ["two.", "two.", "é", "one"], ["one"] * 9]
+    plain = {True: Counter(), False: Counter()}
+    for i, words in enumerate(texts):
+        before = 1
+        for w in [*words, M.END]:
+            plain[i % 2 == 1][w, before] += 1
+            before = M.word_class(w.encode())
+    for limit in (1 << 19, 2):
+        monkeypatch.setattr(M, "BATCH", limit)
+        pairs = M.Pairs()
+        for _ in range(2):  # the second time after all was forgotten
+            for i, words in enumerate(texts):
+                pairs.add([w.encode() for w in words], i % 2 == 1)
+            got = {True: Counter(), False: Counter()}
+            for rows in pairs.passed():
+                for r in rows.itertuples():
+                    got[r.held_out][r.word, r.cls] += r.n
+            assert got == plain

@@ -5,27 +5,42 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from barloom.session import cut
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _sales(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _sales(spark: SparkSession, sf_dir: str, orders: DataFrame | None = None) -> DataFrame:
+    """Lines with brand and size of their part; only those whose order key is among `orders`, if given."""
     li = table(spark, sf_dir, "lineitem")
+    if orders is not None:
+        li = li.join(orders, li.l_orderkey.eqNullSafe(orders[orders.columns[0]]), "left_semi")
     part = table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_size")
     return li.join(part, li.l_partkey == part.p_partkey)
 
 
 def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One bar per brand and ship date."""
+    """One bar per brand and ship date.
+
+    Open and close come from the first and last line in the order of `key`, which only a sort of all
+    lines could aggregate. So a first pass sums plain numbers, with the first and last order key of
+    each bar (null comes first), and is written: at most two keys a bar. Open and close
+    then look only at lines of those orders.
+    """
     key = F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity")
     price = F.col("l_extendedprice") / F.col("l_quantity")
-    return (
-        _sales(spark, sf_dir)
-        .groupBy(F.col("p_brand").alias("symbol"), F.to_date("l_shipdate").alias("ts"))
-        .agg(F.min_by(price, key).alias("open"), F.max(price).alias("high"), F.min(price).alias("low"),
-             F.max_by(price, key).alias("close"), F.sum("l_quantity").cast("double").alias("volume"))
-    )
+    by = [F.col("p_brand").alias("symbol"), F.to_date("l_shipdate").alias("ts")]
+    sums = cut(_sales(spark, sf_dir).groupBy(*by).agg(
+        F.max(price).alias("high"), F.min(price).alias("low"), F.sum("l_quantity").cast("double").alias("volume"),
+        F.min("l_orderkey").alias("_from"), F.max("l_orderkey").alias("_to"), F.count_if(F.col("l_orderkey").isNull()).alias("_unknown")))
+    first = F.when(F.col("_unknown") == 0, F.col("_from"))
+    orders = sums.select(F.explode(F.array(first, "_to")).alias("_order")).distinct()
+    ends = _sales(spark, sf_dir, orders).groupBy(*by).agg(F.min_by(price, key).alias("open"), F.max_by(price, key).alias("close"))
+    ends = ends.select(F.col("symbol").alias("_symbol"), F.col("ts").alias("_ts"), "open", "close")
+    same = F.col("symbol").eqNullSafe(F.col("_symbol")) & F.col("ts").eqNullSafe(F.col("_ts"))
+    return sums.join(ends, same, "left").select("symbol", "ts", "open", "high", "low", "close", "volume")
 
 
 # Brands that stand for index symbols where a query is about an index.

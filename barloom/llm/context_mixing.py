@@ -21,19 +21,21 @@ others are joined.
 from __future__ import annotations
 
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 from itertools import repeat
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm.common import cut, per_row, texts
+from barloom.llm.common import cut, texts
 
 END = "\n"  # the end of a text, as a word of its own
 CLASSES = 8  # of the previous word
+COUNTS = [f"{kind}_{c}" for kind in ("trained", "held") for c in range(CLASSES)]  # of a word after each class
 SLOTS = (18, 19, 20, 20, 20, 20)  # bits of each context's table
 OFFSETS = np.cumsum([0] + [2**b for b in SLOTS])
 GATES = 8 * 3 * CLASSES
@@ -44,7 +46,7 @@ TRAINERS = 64  # most tasks that hold a table of counts
 BLOCK = 1 << 18  # slots of a block of counts
 HEAD = 100_000  # words summed where they are read
 HEAD_BYTES = 48  # longest of them, in characters
-FLUSH = 250_000  # distinct words a counting task holds before it passes them on
+SLICE = 1 << 22  # bytes of text cut into words at a time
 BATCH = 1 << 19  # bytes coded at a time
 MARKS = frozenset(b".,!?:;")
 SYMBOLS = frozenset(b"#*$%&|<>!")
@@ -55,70 +57,68 @@ def word_class(word: bytes) -> int:
     return (word[-1] in MARKS) + 2 * (not SYMBOLS.isdisjoint(word)) + 4 * (not word.isascii())
 
 
-def words_of(text: str) -> list[bytes]:
-    return text.encode().lower().split()
-
-
-class Classes(dict):
-    """Classes of words seen, forgotten when there are many."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > FLUSH:
-            self.clear()
-        self[word] = found = word_class(word)
-        return found
-
-
-class Pairs(dict):
-    """Numbers of words seen, and how often each follows each class in texts held out and others."""
+def word_classes(words: pa.Array) -> np.ndarray:
+    """`word_class` of many words, none of them empty."""
+    size = pc.binary_length(words).to_numpy().astype(np.int64)
+    if not len(size):
+        return size
+    raw = np.frombuffer(b"".join(words.cast(pa.binary()).to_numpy(zero_copy_only=False)), np.uint8)
+    starts = np.cumsum(size) - size
+    symbol, beyond = (np.logical_or.reduceat(x, starts) for x in (np.isin(raw, [*SYMBOLS]), raw > 127))
+    return np.isin(raw[starts + size - 1], [*MARKS]) + 2 * symbol + 4 * beyond
+
+
+def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Rows of a batch by about SLICE bytes of text; a longer text is one by itself."""
+    size = np.cumsum(pc.binary_length(batch["text"]).to_numpy(zero_copy_only=False).astype(np.int64))
+    start = 0
+    while start < batch.num_rows:
+        stop = max(start + 1, int(np.searchsorted(size, (size[start - 1] if start else 0) + SLICE, "right")))
+        yield batch.slice(start, stop - start)
+        start = stop
+
+
+def tokens(text: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct words of some texts, the end first; of every token, a text's end after its words: its number among them, the class before it and its text."""
+    split = pc.ascii_split_whitespace(pc.ascii_lower(text))
+    flat, row = split.flatten(), pc.list_parent_indices(split)
+    some = pc.greater(pc.binary_length(flat), 0)  # space at an end of a text leaves an empty word
+    coded, row = flat.filter(some).dictionary_encode(), row.filter(some).to_numpy().astype(np.int64)
+    number = np.zeros(len(row) + len(text), np.int64)
+    number[np.arange(len(row)) + row] = coded.indices.to_numpy() + 1
+    kind = np.concatenate([[1], word_classes(coded.dictionary)])  # the start of a text counts as the end of a sentence
+    before = np.ones(len(number), np.int64)
+    before[1:] = kind[number[:-1]]
+    words = pa.concat_arrays([pa.array([END], coded.dictionary.type), coded.dictionary])
+    return words, number, before, np.repeat(np.arange(len(text)), np.bincount(row, minlength=len(text)) + 1)
+
+
+class Pairs:
+    """How often each word follows each class in texts held out and others."""
 
     def __init__(self):
-        self.forget()
-
-    def __missing__(self, word: bytes) -> int:
-        self[word] = number = len(self)
-        self.classes.append(word_class(word))
-        return number
-
-    def forget(self) -> None:
-        self.clear()
-        self[END.encode()] = 0
-        self.classes = [1]  # the start of a text, which follows the end of another, counts as the end of a sentence
-        self.counts = {out: np.zeros(0, np.int64) for out in (True, False)}
-        self.tokens: dict[bool, list[np.ndarray]] = {True: [], False: []}
-        self.waiting = 0
+        self.waiting: list[tuple[str, bool]] = []
 
     def add(self, words: list[bytes], out: bool) -> None:
         """All tokens of a text, its end too."""
-        self.tokens[out].append(np.fromiter(map(self.__getitem__, [*words, END.encode()]), np.int32, len(words) + 1))
-        self.waiting += len(words) + 1
-        if self.waiting > BATCH:
-            self.settle()
-
-    def settle(self) -> None:
-        """Count the tokens that wait."""
-        classes = np.array(self.classes, np.int64)
-        for out, texts in self.tokens.items():
-            if texts:
-                number = np.concatenate(texts)
-                pair = number * np.int64(CLASSES)
-                pair[0] += 1
-                pair[1:] += classes[number[:-1]]
-                counts = np.bincount(pair, minlength=CLASSES * len(self))
-                counts[:len(self.counts[out])] += self.counts[out]
-                self.counts[out] = counts
-                texts.clear()
-        self.waiting = 0
+        self.waiting.append((b" ".join(words).decode(), out))
 
     def passed(self) -> Iterator[pd.DataFrame]:
         """word, cls, held_out and n of all pairs seen, which are forgotten then."""
-        self.settle()
-        words = np.array([w.decode() for w in self], object)
-        for out, counts in self.counts.items():
-            row, cls = np.nonzero(counts.reshape(-1, CLASSES))
-            if len(row):
-                yield pd.DataFrame({"word": words[row], "cls": cls.astype(np.int32), "held_out": out, "n": counts[row * CLASSES + cls]})
-        self.forget()
+        texts, out = zip(*self.waiting, strict=True) if self.waiting else ((), ())
+        self.waiting = []
+        for part in slices(pa.record_batch({"text": pa.array(texts, pa.string()), "held_out": pa.array(out, pa.bool_())})):
+            rows = pairs_of(part).to_pandas().melt("word", COUNTS, value_name="n")
+            rows["cls"] = rows["variable"].str[-1:].astype(int)
+            yield rows.assign(held_out=rows["variable"].str.startswith("held")).query("n > 0")[["word", "cls", "held_out", "n"]]
+
+
+def pairs_of(part: pa.RecordBatch) -> pa.RecordBatch:
+    """Each distinct word of some texts, and how often it follows each class in training texts and in those held out (COUNTS)."""
+    words, number, before, owner = tokens(part["text"])
+    held = part["held_out"].to_numpy(zero_copy_only=False)[owner].astype(np.int64)
+    counts = np.bincount((held * CLASSES + before) * len(words) + number, minlength=len(COUNTS) * len(words)).reshape(len(COUNTS), -1)
+    return pa.RecordBatch.from_arrays([words, *map(pa.array, counts)], ["word", *COUNTS])
 
 
 class Bits:
@@ -253,7 +253,7 @@ class Predictions:
         seen, hits = np.zeros(GATES), np.zeros((*mixer.map.shape, 2))
         for at in batches_of(words, STRIDE):
             bits = Bits(words[at], classes[at])
-            times = n[at][bits.word].astype(np.float64)
+            times = np.bincount(bits.distinct(), n[at][bits.word])
             for slots, bit, _ in bits.steps():
                 x = np.stack([self.left_out[2 * s + bit] for s in slots], 1).astype(np.float32)
                 some = mixer.learn(x, mixer.gate(bits, self.sure[slots[4] - OFFSETS[4]].astype(np.int64)), bit, times)
@@ -288,22 +288,14 @@ class Model:
 
 def counted(docs: DataFrame) -> DataFrame:
     """word and, in all documents and in training ones, how often it follows each class (arrays of CLASSES)."""
-    def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        pairs = Pairs()
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for text, out in zip(batch["text"], batch["held_out"], strict=True):
-                pairs.add(words_of(text), bool(out))
-                if len(pairs) > FLUSH:
-                    yield from pairs.passed()
-        yield from pairs.passed()
-
-    pairs = docs.select("text", "held_out").mapInPandas(task, "word string, cls int, held_out boolean, n long")
+            yield from map(pairs_of, slices(batch))
 
-    def by_class(n):
-        return F.array(*[F.sum(F.when(F.col("cls") == c, n).otherwise(F.lit(0))) for c in range(CLASSES)])
-
-    n = F.col("n")
-    return pairs.groupBy("word").agg(by_class(n).alias("uses"), by_class(F.when(F.col("held_out"), 0).otherwise(n)).alias("trained"))
+    pairs = docs.select("text", "held_out").mapInArrow(task, ", ".join(["word string", *[f"{c} long" for c in COUNTS]]))
+    sums = pairs.groupBy("word").agg(*[F.sum(c).alias(c) for c in COUNTS])
+    trained, held = COUNTS[:CLASSES], COUNTS[CLASSES:]
+    return sums.select("word", F.array(*[F.col(t) + F.col(h) for t, h in zip(trained, held, strict=True)]).alias("uses"), F.array(*trained).alias("trained"))
 
 
 def flat(words: pd.Series, uses: pd.Series) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]:
@@ -405,40 +397,36 @@ def scored(docs: DataFrame, folds: int = 7, held: int = 2) -> DataFrame:
     top = spelled.filter(F.length("word") <= HEAD_BYTES).orderBy(F.desc("n"), "word").limit(HEAD).select("word", "known", "logs").collect()
     under = float(total + distinct + 1)
     head = spark.sparkContext.broadcast((  # at most HEAD short words
-        {r["word"].encode(): i for i, r in enumerate(top)}, np.array([r["known"] for r in top], np.int64), np.array([r["logs"] for r in top]).reshape(-1, CLASSES)))
+        {r["word"]: i for i, r in enumerate(top)}, np.array([r["known"] for r in top], np.int64), np.array([r["logs"] for r in top]).reshape(-1, CLASSES)))
     del top
 
-    def make():
+    schema = ("row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, "
+              "words array<string>, cls array<int>, times array<long>")
+
+    def read_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
         index, known, logs = head.value
-        base = np.log10((known + 1) / under)
-        classes, state = Classes(), {"row": TaskContext.get().partitionId() << 40}
-        class_of = np.array([word_class(w) for w in index] or [0], np.int64)
-
-        def work(rows):
-            out = []
-            for r in rows:
-                words = words_of(r["text"])
-                tokens = [*words, END.encode()]
-                place = np.fromiter(map(index.get, tokens, repeat(-1)), np.int64, len(tokens))
+        base, first = np.log10((known + 1) / under), TaskContext.get().partitionId() << 40
+        for batch in batches:
+            for part in slices(batch):
+                words, number, before, owner = tokens(part["text"])
+                size = part.num_rows
+                place = np.fromiter(map(index.get, words.to_numpy(zero_copy_only=False), repeat(-1)), np.int64, len(words))[number]
                 here = place >= 0
-                before = np.ones(len(tokens), np.int64)  # the start counts as the end of a sentence
-                before[1:] = class_of[place[:-1]]
-                missed = np.flatnonzero(~here).tolist()
-                for i in missed:
-                    if i + 1 < len(tokens):
-                        before[i + 1] = classes[tokens[i]]
-                p = place[here]
-                rest = Counter(zip([tokens[i] for i in missed], before[missed].tolist(), strict=True))
-                out.append({"row": state["row"], "doc_id": r["doc_id"], "held_out": r["held_out"], "n_tokens": len(tokens),
-                            "n_known": int((known[p] > 0).sum()), "base": float(base[p].sum()), "score": float(logs[p, before[here]].sum()),
-                            "words": [w.decode() for w, _ in rest], "cls": [c for _, c in rest], "times": list(rest.values())})
-                state["row"] += 1
-            return out
-        return work
-
-    read = cut(per_row(split, make, "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, "
-                                    "words array<string>, cls array<int>, times array<long>"))
+                p, mine = place[here], owner[here]
+                sums = [np.bincount(mine, x, size) for x in (known[p] > 0, base[p], logs[p, before[here]])]
+                rest, times = np.unique((owner[~here] * len(words) + number[~here]) * CLASSES + before[~here], return_counts=True)
+                rest, cls = np.divmod(rest, CLASSES)
+                whose, which = np.divmod(rest, len(words))
+                ends = pa.array(np.concatenate([[0], np.cumsum(np.bincount(whose, minlength=size))]).astype(np.int32))
+                lists = [pa.ListArray.from_arrays(ends, x) for x in (words.take(pa.array(which)), pa.array(cls.astype(np.int32)), pa.array(times))]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(first + np.arange(size)), part["doc_id"], part["held_out"], pa.array(np.bincount(owner, minlength=size)),
+                     *[pa.array(x.astype(t)) for x, t in zip(sums, (np.int64, float, float), strict=True)], *lists], names)
+                first += size
+
+    names = ["row", "doc_id", "held_out", "n_tokens", "n_known", "base", "score", "words", "cls", "times"]
+    read = cut(split.withColumn("doc_id", F.col("doc_id").cast("long")).mapInArrow(read_task, schema))
     rest = read.select("row", F.explode(F.arrays_zip("words", "cls", "times")).alias("x")).select("row", F.col("x.words").alias("word"), "x.cls", "x.times")
     sums = (rest.join(spelled.select("word", "known", "logs"), "word")
             .groupBy("row").agg(F.sum(F.when(F.col("known") > 0, F.col("times")).otherwise(0)).alias("known"),

@@ -145,3 +145,35 @@ def test_pairs(monkeypatch):
                 for r in rows.itertuples():
                     got[r.held_out][r.word, r.cls] += r.n
             assert got == plain
+
+
+def test_tokens_of_many_texts():
+    """Texts cut together give the words, classes and ends of each text by itself, however they are sliced."""
+    import pyarrow as pa
+    texts = ["", " ", " a  b ", "\x0bÀÉ İ a b\x1cx\x85y", "A\tB\nC\rD\x0cE\x0b", " x y　z! $q", "\x00 \x1f q.", "é, !a", "one two. one"]
+    words, number, before, owner = M.tokens(pa.array(texts))
+    spelled, got = words.to_pylist(), [[] for _ in texts]
+    for n, b, o in zip(number, before, owner, strict=True):
+        got[o].append((spelled[n], b))
+    for text, pairs in zip(texts, got, strict=True):
+        last, plain_pairs = 1, []
+        for w in [*[w.decode() for w in text.encode().lower().split()], M.END]:
+            plain_pairs.append((w, last))
+            last = M.word_class(w.encode())
+        assert pairs == plain_pairs
+    batch = pa.record_batch({"text": pa.array(texts), "held_out": pa.array([i % 2 > 0 for i in range(len(texts))])})
+    counts = Counter()
+    for row in M.pairs_of(batch).to_pylist():
+        counts.update({(row["word"], c): row[c] for c in M.COUNTS if row[c]})
+    assert counts == Counter((w, f"{'held' if i % 2 else 'trained'}_{b}") for i, pairs in enumerate(got) for w, b in pairs)
+
+
+def test_teaching_shares_beginnings():
+    """A batch with words and classes that come twice teaches what the same batch with added counts teaches."""
+    words, classes, n = [b"then", b"the", b"then", b"thing", b"the"], np.array([0, 1, 0, 0, 1]), np.array([2, 1, 3, 4, 5])
+    predictions, got = M.Predictions(trained(words)), []
+    for rows in ((words, classes, n), (words[1:4], classes[1:4], np.array([6, 5, 4]))):
+        mixer = M.Mixer()
+        got.append((*predictions.teach(mixer, *rows), mixer.weights))
+    for a, b in zip(*got, strict=True):
+        assert np.allclose(a, b)

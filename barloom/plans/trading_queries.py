@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 from barloom.config import COST_PLANS, RiskConfig
 from barloom.operators import datasets, features as fe, indicators as ind, labels, models, performance, risk, scoring, trades
 from barloom.plans import sql_base as q
+from barloom.plans.feature_queries import market
 from barloom.plans.registry import near as near_to
 from barloom.plans.registry import query, tidy
 from barloom.plans.sql_base import rnd
+from barloom.session import cut
 from barloom.sources import tables
 
 C = F.col
@@ -506,7 +508,15 @@ INPUTS = ["ret_1d", "ret_5d", "ret_20d", "realized_vol_20d", "vol_ratio", "body_
 
 
 def training_table(spark, sf_dir):
-    """Features and labels of all bars, kept once for the several passes of fitting."""
+    """All 80 features and labels of all bars, kept once for the several passes of fitting."""
+    df = fe.features(tables.bars(spark, sf_dir), market(spark, sf_dir))
+    df = labels.sharpe_target(labels.triple_barrier(df))
+    df = df.select("symbol", "ts", "label", "target", *fe.FEATURES)
+    return cut(datasets.complete(df, ["label", "target", *fe.FEATURES]))
+
+
+def small_table(spark, sf_dir):
+    """INPUTS and labels of all bars, kept once for the several passes of fitting."""
     fams = [ind.ATR, fe.RETURNS, fe.VOLATILITY, fe.CANDLES, fe.GAPS, fe.VOLUME]
     df = ind.run(tables.bars(spark, sf_dir), fams, ind.CFG)
     df = labels.sharpe_target(labels.triple_barrier(df))
@@ -517,31 +527,28 @@ def training_table(spark, sf_dir):
 @query("walk_forward_auc")
 def walk_forward_auc(spark, sf_dir):
     """AUC and accuracy of the forest per fold, from out-of-fold predictions."""
-    oof = models.out_of_fold(training_table(spark, sf_dir), INPUTS, k=4, cfg=SMALL)
+    oof = models.out_of_fold(small_table(spark, sf_dir), INPUTS, k=4, cfg=SMALL)
     return models.auc(oof, "forest_prob", by=("fold",))
 
 
 @query("stacked_ensemble")
 def stacked_ensemble(spark, sf_dir):
     """Meta-learner over the out-of-fold members of the earlier folds, scored on the last fold."""
-    oof = models.out_of_fold(training_table(spark, sf_dir), INPUTS, k=4, cfg=SMALL)
+    oof = models.out_of_fold(small_table(spark, sf_dir), INPUTS, k=4, cfg=SMALL)
     return models.auc(models.stacked(models.stack(oof.filter("fold < 3")), oof.filter("fold = 3")))
 
 
 @query("feature_importance")
 def feature_importance(spark, sf_dir):
-    return models.importances(models.fit(split_table(spark, sf_dir).filter("part = 'train'"), INPUTS, SMALL), INPUTS)
+    df = datasets.chronological_split(small_table(spark, sf_dir))
+    return models.importances(models.fit(df.filter("part = 'train'"), INPUTS, SMALL), INPUTS)
 
 
 @query("target_regression")
 def target_regression(spark, sf_dir):
-    """Fitted on the first 70 % of the panel, correlated on the untouched last 15 %."""
-    df = split_table(spark, sf_dir)
-    return models.target_correlation(models.fit_target(df.filter("part = 'train'"), INPUTS, SMALL).transform(df.filter("part = 'test'")))
-
-
-def split_table(spark, sf_dir):
-    return datasets.chronological_split(training_table(spark, sf_dir))
+    """All features and rounds, fitted on the first 70 % of the panel, correlated on the untouched last 15 %."""
+    df = datasets.chronological_split(training_table(spark, sf_dir))
+    return models.target_correlation(models.fit_target(df.filter("part = 'train'"), fe.FEATURES).transform(df.filter("part = 'test'")))
 
 
 AUC_SQL = f"""sv AS (SELECT symbol, {PROB_SQL} AS p, CAST(close > open AS INTEGER) AS label FROM bars),
